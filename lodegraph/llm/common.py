@@ -95,14 +95,10 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tu
     """Slices of the batches with their texts as UTF-8, about ``CHUNK_BYTES`` of text each; null is empty."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
-        start, size = 0, 0
-        lengths = column.fill_null(b"").to_pylist() if batch.num_rows == 0 else None
-        if lengths is not None:
-            continue
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-        for row, size_of in enumerate(np.diff(offsets).tolist()):
-            size += size_of
-            if size >= CHUNK_BYTES or row + 1 == batch.num_rows:
-                part = column.slice(start, row + 1 - start)
-                yield batch.slice(start, row + 1 - start), [x or b"" for x in part.to_pylist()]
-                start, size = row + 1, 0
+        start, size = 0, 0
+        for row, length in enumerate(np.diff(offsets).tolist(), 1):
+            size += length
+            if size >= CHUNK_BYTES or row == batch.num_rows:
+                yield batch.slice(start, row - start), [x or b"" for x in column.slice(start, row - start).to_pylist()]
+                start, size = row, 0

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, urls
-from .common import table
+from . import decontamination, languages, licenses, mixing, outliers, quality, secrets, urls
+from .common import fold, table
 
 URL_RULES = [
     ("allow", "com/"),
@@ -16,6 +16,31 @@ URL_RULES = [
 ]
 
 
+BASE_SECRETS = ("assign", "access", "hex")
+
+
+def quality_model(spark, sf_dir, docs):
+    """Fitted on labelled rows outside fold 1; the pipeline uses the same model."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.fit(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
+
+
+def op1_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.score(docs, quality_model(spark, sf_dir, docs), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op2_outliers(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return outliers.judge(docs).select("doc_id", *outliers.COUNTS, "base_failed", "kept")
+
+
 def op3_urls(spark, sf_dir):
     """Outcomes: ``labels.quality`` of the document with the page's id (a convention of these tables)."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
@@ -23,6 +48,65 @@ def op3_urls(spark, sf_dir):
     return urls.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def _span_list(spans):
+    return F.array_join(
+        F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))),
+        ",",
+    )
+
+
+def op5_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, keep=["doc_id"])
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+
+    base = F.filter("secrets", lambda x: x["kind"].isin(*BASE_SECRETS))
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in BASE_SECRETS],
+        F.sha2(_span_list(base), 256).alias("base_sha256"),
+        _span_list(F.col("secrets")).alias("spans"),
+    )
+
+
+def op6_licenses(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = lambda *c: F.array_join(F.array_sort(F.array_distinct(F.concat(*c))), ",")
+    return licenses.scan(docs, keep=["doc_id"]).select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min("phrases.start").cast("long").alias("first_word"),
+        F.array_max("phrases.start").cast("long").alias("last_word"),
+        labels("phrases.label").alias("base_labels"),
+        labels("phrases.label", "licenses.label").alias("labels"),
+        F.when(F.size("licenses") > 0, 1.0).when(F.size("phrases") > 0, 0.5).otherwise(0.0).alias("score"),
+    )
+
+
+def op7_languages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profile = languages.profiles(docs.where(fold(F.col("doc_id"), 3) != 1))
+    found = languages.predict(docs.select("doc_id", "text"), profile, ["doc_id"])
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op8_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.overlaps(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    hit = decontamination.n_hit()
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
 def op10_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select(
@@ -122,9 +206,112 @@ FROM rates
 """
 
 
+LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS_SQL = rf"coalesce(regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+OP5_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents),
+kinds AS (
+  SELECT * FROM (VALUES
+    (1, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+    (2, 'access', 'AKIA[A-Z0-9]+'),
+    (3, 'hex', '[0-9a-f]{24,}'),
+    (4, 'private_key', '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----'),
+    (5, 'github', 'gh[opsur]_[A-Za-z0-9]{36,}'),
+    (6, 'slack', 'xox[abprs]-[A-Za-z0-9-]{10,}'),
+    (7, 'google', 'AIza[A-Za-z0-9_-]{35,}'),
+    (8, 'jwt', 'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}'),
+    (9, 'url_password', '[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/@]{1,64}@')) AS t(ord, kind, re)),
+found AS (
+  SELECT doc_id, ord, kind, regexp_extract_all(text, re) AS m, string_split_regex(text, re) AS gaps FROM cut, kinds),
+placed AS (
+  SELECT doc_id, ord, kind, m[i] AS match,
+         list_sum(list_transform(gaps[:i], lambda x: length(x)))::BIGINT
+         + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0)::BIGINT AS s
+  FROM found, unnest(range(1, len(m) + 1)) AS u(i)),
+valid AS (
+  SELECT doc_id, ord, kind, s, s + length(match) AS e FROM placed
+  WHERE CASE kind WHEN 'access' THEN length(match) >= 20
+        WHEN 'assign' THEN length(regexp_extract(match, '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) >= 6
+        ELSE true END),
+lists AS (
+  SELECT doc_id, count(*) FILTER (ord = 1) AS n_assign, count(*) FILTER (ord = 2) AS n_access,
+         count(*) FILTER (ord = 3) AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (ord <= 3) AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans
+  FROM valid GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN lists USING (doc_id)
+"""
+
+OP6_SQL = f"""
+WITH cut AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+joined AS (SELECT doc_id, len(w)::BIGINT AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS j FROM cut),
+phrases AS (SELECT * FROM (VALUES {", ".join(f"('{p}', '{x}')" for p, x in licenses.PHRASES)}) AS t(phrase, label)),
+pieces AS (
+  SELECT doc_id, label, string_split(j, ' ' || phrase || ' ') AS p, len(string_split(phrase, ' ')) AS size
+  FROM joined, phrases WHERE contains(j, ' ' || phrase || ' ')),
+placed AS (
+  SELECT doc_id, label,
+         (list_sum(list_transform(p[:i], lambda x: len(regexp_extract_all(x, '[^ ]+')))) + (i - 1) * size)::BIGINT AS place
+  FROM pieces, unnest(range(1, len(p))) AS u(i)),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels
+  FROM placed GROUP BY doc_id),
+templates AS (
+  SELECT * FROM (VALUES {", ".join(f"('{x}', '{licenses.template_regex(t)}')" for x, t in licenses.TEMPLATES)}) AS t(label, re)),
+whole AS (
+  SELECT doc_id, list(DISTINCT label) AS labels FROM joined, templates WHERE regexp_matches(j, re) GROUP BY doc_id)
+SELECT c.doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(t.labels, [])))), ',') AS labels,
+       CASE WHEN t.labels IS NOT NULL THEN 1.0 WHEN b.labels IS NOT NULL THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM joined c LEFT JOIN base b USING (doc_id) LEFT JOIN whole t USING (doc_id)
+"""
+
+OP8_SQL = f"""
+WITH docs AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+items AS (
+  SELECT item_id, w, least(10, len(w)) AS size
+  FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL) WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[i : i + size - 1], ' ') AS gram
+  FROM items, unnest(range(1, len(w) - size + 2)) AS u(i)),
+grams AS (
+  SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS gram
+  FROM docs, (SELECT DISTINCT size FROM items) AS s, unnest(range(1, greatest(len(w) - size + 2, 1))) AS u(i)),
+hits AS (SELECT doc_id, i, g.size, item_id FROM grams g JOIN windows v ON v.gram = g.gram AND v.size = g.size),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + o)::BIGINT AS n_hit FROM hits, unnest(range(0, size)) AS u(o) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {"op3_urls": op3_urls, "op10_mixing": op10_mixing}
+    return {
+        "op1_quality": op1_quality,
+        "op2_outliers": op2_outliers,
+        "op3_urls": op3_urls,
+        "op5_secrets": op5_secrets,
+        "op6_licenses": op6_licenses,
+        "op7_languages": op7_languages,
+        "op8_decontamination": op8_decontamination,
+        "op10_mixing": op10_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": OP3_SQL, "op10_mixing": OP10_SQL}
+    return {
+        "op3_urls": OP3_SQL,
+        "op5_secrets": OP5_SQL,
+        "op6_licenses": OP6_SQL,
+        "op8_decontamination": OP8_SQL,
+        "op10_mixing": OP10_SQL,
+    }
