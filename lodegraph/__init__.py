@@ -1 +1,8 @@
 """Spark-native retrieval, knowledge-graph analytics and corpus preparation."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
