@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, languages, licenses, mixing, outliers, quality, secrets, urls
+from . import decontamination, languages, licenses, mixing, near_duplicates, outliers, quality, secrets, urls
 from .common import fold, table
 
 URL_RULES = [
@@ -55,6 +55,11 @@ def _span_list(spans):
     )
 
 
+def op4_near_duplicates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates.near_duplicates(docs, shingle=3, percent=85)
+
+
 def op5_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, keep=["doc_id"])
@@ -299,6 +304,7 @@ def queries() -> dict:
         "op1_quality": op1_quality,
         "op2_outliers": op2_outliers,
         "op3_urls": op3_urls,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_secrets": op5_secrets,
         "op6_licenses": op6_licenses,
         "op7_languages": op7_languages,
