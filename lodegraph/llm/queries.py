@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, languages, licenses, mixing, near_duplicates, outliers, quality, secrets, urls
+from . import decontamination, language_model, languages, licenses, mixing, near_duplicates, outliers, quality, secrets, urls
 from .common import fold, table
 
 URL_RULES = [
@@ -112,6 +112,20 @@ def op8_decontamination(spark, sf_dir):
     )
 
 
+def op9_language_model(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = language_model.Model(docs.where(fold(F.col("doc_id"), 7) != 2))
+    return language_model.score(docs, model).select(
+        "doc_id",
+        (fold(F.col("doc_id"), 7) == 2).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op10_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select(
@@ -309,6 +323,7 @@ def queries() -> dict:
         "op6_licenses": op6_licenses,
         "op7_languages": op7_languages,
         "op8_decontamination": op8_decontamination,
+        "op9_language_model": op9_language_model,
         "op10_mixing": op10_mixing,
     }
 
