@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from . import lexical  # noqa: F401
+from .registry import ORACLES, QUERIES
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return QUERIES["rrf_fuse"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
