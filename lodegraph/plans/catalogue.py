@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import lexical  # noqa: F401
+from . import graphs, lexical, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["rrf_fuse"](spark, sf_dir)
+    return graphs.route(spark, sf_dir)
 
 
 def queries() -> dict:
