@@ -113,7 +113,7 @@ def within_budget(rows: DataFrame, by: str, size: Column, most: float, *order: C
     return rows.withColumn("running", F.sum(size).over(frame)).where(F.col("running") <= most)
 
 
-def tiered(rows: DataFrame, name: Column, alias: Column, query: Column) -> Column:
+def tiered(name: Column, alias: Column, query: Column) -> Column:
     """Palette order: exact name 0, prefix 1, substring 2, prefix of an alias 3, else null."""
     return (
         F.when(name == query, 0)

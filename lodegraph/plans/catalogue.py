@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graphs, lexical, texts  # noqa: F401
+from . import checks, events, graphs, lexical, streams, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
