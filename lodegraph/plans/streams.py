@@ -30,7 +30,7 @@ def stream_token_bucket(spark, sf_dir):
         F.col("event_id").alias("id"),
         F.when(F.col("event_type") == "purchase", 5).otherwise(1).alias("cost"),
     )
-    out = state.run_once(state.token_bucket(rows, 6.0, 0.002, idle_ms=3_600_000), scratch(spark, "bucket"))
+    out = state.run_once(state.token_bucket(rows, 6.0, 0.002), scratch(spark, "bucket"))
     return out.select("key", "id", "allowed")
 
 

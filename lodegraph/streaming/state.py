@@ -14,12 +14,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def token_bucket(requests: DataFrame, capacity: float, per_minute: float, idle_ms: int | None = None) -> DataFrame:
     """key, id, allowed, retry_after for a stream of (key, at_ms, id, cost).
 
-    State is a bucket's level and time, and goes after ``idle_ms`` without a
-    request (by default the time in which an empty bucket fills up again, after
-    which forgetting changes nothing).
+    State is a bucket's level and time.  With ``idle_ms`` it goes after that long
+    without a request; from ``capacity / per_minute`` minutes on, forgetting
+    changes nothing.  (A stream that runs once over what there is must not set
+    it: Spark would go on until every timeout has passed.)
     """
     rate = per_minute / 60000.0
-    idle = idle_ms or math.ceil(capacity / rate)
 
     def fold(key, batches, state: GroupState):
         if state.hasTimedOut:
@@ -35,7 +35,8 @@ def token_bucket(requests: DataFrame, capacity: float, per_minute: float, idle_m
             wait.append(0 if fine else max(1, math.ceil((cost - left) / rate / 1000.0)))
             left -= cost if fine else 0
         state.update((float(left), last))
-        state.setTimeoutDuration(idle)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"key": rows["key"], "id": rows["id"], "allowed": allowed, "retry_after": wait})
 
     kind = dict(requests.dtypes)
@@ -44,7 +45,7 @@ def token_bucket(requests: DataFrame, capacity: float, per_minute: float, idle_m
         f"key {kind['key']}, id {kind['id']}, allowed boolean, retry_after long",
         "held double, last long",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout,
     )
 
 
