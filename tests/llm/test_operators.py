@@ -1,0 +1,458 @@
+"""Corpus operators: defined cases on small tables, and brute-force versions."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodegraph.llm import (
+    components,
+    decontamination,
+    language_model,
+    languages,
+    licenses,
+    mixing,
+    near_duplicates,
+    outliers,
+    quality,
+    secrets,
+    urls,
+)
+from lodegraph.llm.common import fold
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_words string, score string, node string"
+UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+WORDS = [a + b for a in ("ka", "lo", "mi", "ra", "su", "te", "vo", "ny") for b in ("n", "rt", "sh", "l", "mp", "x", "d", "ck")]
+
+
+def prose(seed: int, n: int = 120) -> str:
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) + rng.choice(["", "", ".", ","]) for _ in range(n))
+
+
+def edge_rows():
+    """Nulls in every column, empty and very long texts, repeated rows, clashing extra columns."""
+    long_text = prose(1, 30_000)
+    rows = [
+        (1, None, "en", "a"),
+        (2, "", "en", "a"),
+        (3, " \n\t ", None, None),
+        (4, "Und " * 500, "de", "b"),
+        (5, long_text, "en", "a"),
+        (5, long_text, "en", "a"),
+        (None, prose(2), "en", None),
+        (None, None, None, None),
+        (7, "é ẞ 𝒳 password = abcdef123 \u00a0x", "fr", "c"),
+        (8, prose(2), "en", "b"),
+        *[(100 + i, prose(10 + i), "en", "ab"[i % 2]) for i in range(30)],
+    ]
+    return [(*r, "x", "y", "z") for r in rows]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return spark.createDataFrame(edge_rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+LABELS = "doc_id long, label int"
+
+
+def applied(name, spark, docs):
+    labels = spark.createDataFrame([(100 + i, i % 2) for i in range(30)] + [(None, 1), (100, None)], LABELS)
+    items = spark.createDataFrame([("q", prose(12, 15)), (None, "x"), ("n", None), ("e", "")], "item_id string, text string")
+    return {
+        "quality": lambda: quality.score(docs, quality.fit(docs, labels), keep=["doc_id"]),
+        "outliers": lambda: outliers.judge(docs),
+        "near_duplicates": lambda: near_duplicates.near_duplicates(docs),
+        "secrets": lambda: secrets.scan(docs, keep=["doc_id", "text"], redact=True),
+        "licenses": lambda: licenses.scan(docs),
+        "languages": lambda: languages.predict(docs, languages.profiles(docs), ["doc_id"]),
+        "decontamination": lambda: decontamination.overlaps(docs, items),
+        "language_model": lambda: language_model.score(docs, language_model.Model(docs)),
+        "mixing": lambda: mixing.mix(docs),
+    }[name]()
+
+
+ALL = ["quality", "outliers", "near_duplicates", "secrets", "licenses", "languages", "decontamination", "language_model", "mixing"]
+
+
+@pytest.mark.parametrize("name", ALL)
+def test_edge_cases_keep_every_row(name, spark, edge):
+    got = applied(name, spark, edge).select("doc_id").collect()
+    assert collections.Counter(r[0] for r in got) == collections.Counter(r[0] for r in edge_rows())
+
+
+@pytest.mark.parametrize("name", ALL)
+def test_empty_tables(name, spark, empty):
+    assert applied(name, spark, empty).count() == 0
+
+
+def test_edge_values(spark, edge):
+    pred = {r["doc_id"]: r for r in applied("languages", spark, edge).collect()}
+    assert pred[1]["lang_pred"] == "und" and pred[3]["lang_pred"] == "und" and pred[4]["lang_pred"] == "de"
+    near = {(r["doc_id"], r["component_id"], r["kept"]) for r in applied("near_duplicates", spark, edge).collect()}
+    assert {(1, 1, True), (2, 2, True), (3, 3, True), (5, 5, True), (None, 8, False), (8, 8, True)} <= near
+    lost = {r["doc_id"]: r for r in applied("secrets", spark, edge).collect()}
+    assert lost[7]["text"].startswith("é ẞ 𝒳 [SECRET] ") and lost[7]["secrets"][0]["start"] == 6 and lost[1]["text"] is None
+    rows = {r["doc_id"]: r for r in applied("outliers", spark, edge).collect()}
+    assert rows[4]["base_failed"] and rows[4]["n_repeat_words"] == 500 and not rows[4]["kept"]
+    assert rows[7]["n_words"] == 7 and rows[100]["kept"]
+
+
+# 1 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_quality_learns_and_is_calibrated(spark):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(600):
+        text = prose(1000 + i, rng.randint(30, 90))
+        if i % 3 == 0:
+            text = " ".join(w + rng.choice(["###", "$$$"]) for w in text.split())
+        rows.append((i, text))
+        labels.append((i, int(i % 3 != 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, LABELS).where(fold(F.col("doc_id"), 3) != 1)
+    model = quality.fit(docs, known)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model, ["doc_id"]).collect()}
+    unseen = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(got[i] >= 0.5) == (i % 3 != 0) for i in unseen]) > 0.95
+    assert model["net"]["temperature"] > 0
+
+
+def test_quality_with_one_class(spark, edge):
+    ones = spark.createDataFrame([(100, 1), (101, 1)], LABELS)
+    assert {r["score"] for r in quality.score(edge, quality.fit(edge, ones), ["doc_id"]).collect()} == {0.75}
+
+
+# 2 -----------------------------------------------------------------------------------------------------------------
+
+
+def brute_counts(text):
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines, seen, dup = t.split("\n"), set(), 0
+    for x in lines:
+        if re.search(r"[^\x20\x09-\x0D]", x):
+            dup += x in seen
+            seen.add(x)
+    windows = collections.Counter(zip(words, words[1:], words[2:]))
+    covered = {i + j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in range(3)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_counts(seed):
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["a ", "b", "c ", "\n", "é", "#", "a b a b ", "\u00a0", "\r", "x\nx\n"]) for _ in range(rng.randint(0, 90)))
+    assert outliers.statistics(text.encode())[0] == brute_counts(text)
+
+
+def test_outliers_against_all_rows_at_once(spark):
+    rng = np.random.default_rng(0)
+    clean = [(i, prose(i, 200), "en", "ab"[i % 2]) for i in range(300)]
+    junk = [(900 + i, " ".join(w.upper() + "!!" for w in prose(i, 200).split()), "en", "ab"[i % 2]) for i in range(20)]
+    out = outliers.judge(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string"))
+    kept = {r["doc_id"]: r["kept"] for r in out.collect()}
+    assert not any(kept[i] for i in range(900, 920)) and np.mean([kept[i] for i in range(300)]) > 0.98
+    # a concentration step equals the estimate from the h-subset itself, up to a bin
+    vectors = np.array([outliers.statistics(t.encode())[1] for _, t, _, s in clean + junk if s == "a"])
+    model = outliers.estimate(
+        spark.createDataFrame([("p", v.tolist(), False) for v in vectors], "pool string, vector array<double>, base_failed boolean")
+    ).first()
+    center, inverse = np.array(model["center"]), np.array(model["inverse"]).reshape(outliers.WIDTH, -1)
+    d2 = np.einsum("ij,jk,ik->i", vectors - center, inverse, vectors - center)
+    half = vectors[np.argsort(d2)[: int(0.75 * len(vectors))]]
+    assert np.abs(half.mean(0) - center).max() < 0.02 and rng is not None
+
+
+# 3 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_urls(spark):
+    pages = [
+        (1, "HTTP://WWW.Example.COM/en/x?y"),
+        (2, "https://a.net/fr/"),
+        (3, "x://y.com"),
+        (4, None),
+        (5, "no scheme"),
+        (6, "https://bad.org/p"),
+        (7, "https://good.org/p"),
+        (8, "https://new.bad.co.uk/#f"),
+    ]
+    pages += [(100 + i, "https://bad.org/p") for i in range(40)] + [(200 + i, "https://good.org/p") for i in range(40)]
+    outcomes = [(100 + i, 0) for i in range(40)] + [(200 + i, 1) for i in range(40)] + [(None, 1), (3, None)]
+    got = urls.judge(
+        spark.createDataFrame(pages, "page_id long, url string"),
+        spark.createDataFrame(outcomes, "page_id long, good int"),
+        [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/fr/")],
+    )
+    rows = {r["page_id"]: r for r in got.collect()}
+    assert (rows[1]["host"], rows[1]["path"], rows[1]["rule"], rows[1]["verdict"]) == ("www.example.com", "/en/x", "www.example.com/en/", "allow")
+    assert rows[2]["verdict"] == "block" and rows[3]["rule"] is None and rows[4]["host"] == rows[5]["host"] == ""
+    assert rows[6]["verdict"] == "block" and rows[7]["verdict"] == "allow" and rows[8]["verdict"] == "allow"
+    assert rows[6]["rate"] < rows[8]["rate"] < rows[7]["rate"]
+    assert urls.judge(got.select("page_id", F.lit("u").alias("url")).limit(0), got.selectExpr("page_id", "1 as good").limit(0), []).count() == 0
+
+
+# 4 -----------------------------------------------------------------------------------------------------------------
+
+
+def brute_components(texts: dict, size: int, percent: int):
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().translate(UPPER).split()
+        sets[i] = {tuple(w[j : j + size]) for j in range(max(len(w) - size + 1, 1))} if w else set()
+    group = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in sorted(texts):
+            if i < j and sets[i] and sets[j]:
+                both = len(sets[i] & sets[j])
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = sorted((group[i], group[j]))
+                    group = {k: a if v == b else v for k, v in group.items()}
+    return sets, group
+
+
+def near_texts():
+    rng = random.Random(7)
+    texts, n = {}, 0
+    for family in range(12):
+        base = prose(500 + family, rng.randint(5, 260)).split()
+        for _ in range(rng.randint(1, 9)):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(words) // 14))):
+                words[rng.randrange(len(words))] = rng.choice(WORDS) + str(rng.randrange(50))
+            texts[n] = " ".join(words)
+            n += 1
+    for t in ("", None, "one", "one", "One two", "one two", "one two three"):
+        texts[n] = t
+        n += 1
+    return texts
+
+
+@pytest.mark.parametrize(("family", "size", "percent"), [(400, 3, 85), (4, 3, 85), (4, 5, 80)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, family, size, percent):
+    monkeypatch.setattr(near_duplicates, "FAMILY", family)
+    texts = near_texts()
+    sets, group = brute_components(texts, size, percent)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in near_duplicates.near_duplicates(docs, size, percent).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == group
+    assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
+    assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+
+
+def test_register_estimates():
+    rng = np.random.default_rng(1)
+    for n, share in ((2000, 0.9), (300, 0.85), (60, 0.9), (3000, 0.2)):
+        pool = np.unique(rng.integers(0, 1 << 63, n * 2, dtype=np.uint64) * np.uint64(2))
+        common = int(round(2 * n * share / (1 + share)))
+        a = np.sort(pool[rng.permutation(len(pool))[: n * 2 - common]])
+        perm = rng.permutation(len(a))
+        x, y = np.sort(a[perm[:n]]), np.sort(np.concatenate([a[perm[:common]], a[perm[n:]]]))
+        true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+        got = near_duplicates.estimates(
+            np.stack([near_duplicates.registers(x), near_duplicates.registers(y)]), np.array([len(x), len(y)])
+        )[0, 1]
+        assert abs(got - true) < 0.1
+
+
+def test_components_of_a_long_chain(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (5, 5)]
+    random.Random(0).shuffle(edges)
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 103: 100}
+
+
+# 5 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_trigram_queries():
+    query = {r.kind: secrets.trigram_query(r) for r in secrets.RULES}
+    assert query["hex"] is True
+    assert query["access"] == ("and", [b"aki", b"kia"])
+    assert query["assign"][0] == "or" and {b"pas", b"tok", b"sec", b"api"} <= secrets.trigrams_of(query["assign"])
+    assert b"://" in secrets.trigrams_of(query["url_password"])
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_index_loses_no_match(seed):
+    rng = random.Random(seed)
+    parts = ["password", " = ", "'", "AKIA", "ABCDEFGHIJ0123456789", "deadbeef01", "xoxb-1234567890ab", "://u:p@", "http", "token:", "é", " ", "eyJ" + "a" * 9 + ".", "-----BEGIN RSA PRIVATE KEY-----"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(25)]
+    queries = [secrets.trigram_query(r) for r in secrets.RULES]
+    postings = secrets.Index(queries).postings([t.encode() for t in texts])
+    for rule, q in zip(secrets.RULES, queries, strict=True):
+        may = secrets.answer(q, postings, len(texts))
+        for t, m in zip(texts, may, strict=True):
+            assert m or not re.search(rule.pattern, t, rule.flags)
+
+
+# 6 -----------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_automata_accept_what_the_regex_does(seed):
+    rng = random.Random(seed)
+    for _, template in licenses.TEMPLATES:
+        words = re.sub(r"<<[^>]*>>", lambda m: rng.choice(["", "x", "x y"]) if "var" in m[0] else "", template).split()
+        if rng.random() < 0.5:
+            words[rng.randrange(len(words))] = "other"
+        words = ["a"] * rng.randint(0, 3) + words + ["b"]
+        automaton = licenses.Automaton(template)
+        tokens = [w.encode() for w in words]
+        joined = b" " + b" ".join(tokens) + b" "
+        ours = any(automaton.accepts(tokens, s) is not None for s in licenses.places(joined, automaton.anchor))
+        assert ours == bool(re.search(licenses.template_regex(template), joined.decode()))
+
+
+def test_phrase_places(spark):
+    text = "Under the MIT-License, under THE mit license; CC BY-NC under the mit licensee"
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(p["start"], p["label"]) for p in row["phrases"]] == [(0, "mit"), (4, "mit"), (8, "cc-by-nc")]
+
+
+# 7 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_profiles_are_the_most_frequent_grams(spark):
+    docs = spark.createDataFrame([(1, "aa ab", "x"), (2, "aa", "x"), (3, None, "y"), (4, "zz", None)], "doc_id long, text string, lang string")
+    got = languages.profiles(docs, size=2).collect()
+    keys = {r["rank"]: r["gram"] for r in got}
+    assert keys == {0: ord("a"), 1: 1 << 21 | ord("a")}  # five of the letter, three word beginnings
+
+
+# 8 -----------------------------------------------------------------------------------------------------------------
+
+
+def brute_overlaps(text, items):
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    words, hit, names = cut(text), set(), set()
+    for name, item in items:
+        w = cut(item)
+        size = min(10, len(w))
+        for s in range(len(w) - size + 1) if w else ():
+            for i in range(len(words) - size + 1):
+                if words[i : i + size] == w[s : s + size]:
+                    hit |= set(range(i, i + size))
+                    names.add(name)
+    return len(words), len(hit), sorted(names)
+
+
+@pytest.mark.parametrize("block", [2_000_000, 60])
+def test_overlaps_against_all_windows(spark, block):
+    rng = random.Random(5)
+    items = [(f"i{n}", prose(70 + n, n)) for n in (1, 2, 9, 10, 11, 14, 30, 45)] + [("same", prose(100, 30))]
+    texts = []
+    for i in range(40):
+        words = prose(i, rng.randint(0, 60)).split()
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(items)[1].split()
+            a = rng.randrange(len(w))
+            at = rng.randint(0, len(words))
+            words[at:at] = w[a : a + rng.randint(1, 25)]
+        texts.append((i, " ".join(words).upper() if i % 5 == 0 else " ".join(words)))
+    texts += [(90, None), (91, "lon " * 300), (91, "lon " * 300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = decontamination.overlaps(docs, spark.createDataFrame(items, "item_id string, text string"), block_bytes=block)
+    rows = got.select("doc_id", "text", "n_words", decontamination.n_hit().alias("n_hit"), "items").collect()
+    assert len(rows) == len(texts) and any(r["n_hit"] for r in rows)
+    for r in rows:
+        assert (r["n_words"], r["n_hit"], r["items"]) == brute_overlaps(r["text"], items)
+
+
+# 9 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_model_sums_to_one_and_scores_like_the_definition(spark):
+    rng = random.Random(2)
+    texts = [(i, " ".join(rng.choices(WORDS, [1 / (k + 1) for k in range(len(WORDS))], k=rng.randint(0, 60)))) for i in range(80)]
+    texts += [(90, None), (91, "never seen words"), (91, "never seen words")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = language_model.Model(docs.where("doc_id < 60"))
+    got = language_model.score(docs, model).collect()
+    train = [(t or "").encode().split() + [b"\0E"] for i, t in texts if i < 60]
+    c2 = collections.Counter(w for x in train for w in x)
+    pairs = collections.Counter(p for x in train for p in zip([b"\0S"] + x, x))
+    n, v = sum(c2.values()), len(c2)
+    assert (model.tokens, model.types) == (n, v)
+    d1, d2 = (language_model.discounts(collections.Counter(c.values())) for c in (c2, pairs))
+    cut = lambda c, d: c * (d[c - 1] if c <= language_model.K else 1)
+    p1 = {w: cut(c, d1) / n for w, c in c2.items()}
+    unknown = 1 - sum(p1.values())
+    after = collections.defaultdict(list)
+    for a, b in pairs:
+        after[a].append(b)
+    prob, backoff = {}, {}
+    for a, seen in after.items():
+        c1 = sum(pairs[a, b] for b in seen)
+        mass = sum(cut(pairs[a, b], d2) for b in seen) / c1
+        left = max(1 - mass, 1 / (c1 + 1))
+        for b in seen:
+            prob[a, b] = (1 - left) / mass * cut(pairs[a, b], d2) / c1
+        backoff[a] = left / (1 - sum(p1[b] for b in seen))
+        everything = sum(prob[a, b] for b in seen) + backoff[a] * (sum(p1[w] for w in c2 if (a, w) not in prob) + unknown)
+        assert everything == pytest.approx(1)
+    want = collections.defaultdict(list)
+    for i, t in texts:
+        w = (t or "").encode().split() + [b"\0E"]
+        s = sum(
+            math.log10(prob[p] if p in prob else backoff.get(p[0], 1) * p1.get(p[1], unknown)) for p in zip([b"\0S"] + w, w)
+        )
+        want[i].append((len(w), sum(c2[x] > 0 for x in w), sum(math.log10((c2[x] + 1) / (n + v + 1)) for x in w), s))
+    assert len(got) == len(texts)
+    for r in got:
+        assert (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) == pytest.approx(want[r["doc_id"]][0])
+
+
+# 10 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_targets_fill_up_like_water(spark):
+    sizes = {"a": 10, "b": 1000, "c": 300, "d": 50, None: 640}
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(docs).collect()}
+    weight = dict(zip(["a", "b", "c", "d", None], (5, 2, 1, 5, 2), strict=True))
+    goal, open_ = 1.5 * sum(sizes.values()), set(sizes)
+    want = {}
+    while open_:
+        level = (goal - sum(want.values())) / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * sizes[s]}
+        want |= {s: 2.0 * sizes[s] for s in full}
+        open_ -= full
+        if not full:
+            want |= {s: level * weight[s] for s in open_}
+            break
+    assert got == pytest.approx(want)
+
+
+def test_mix_takes_what_it_should_and_agrees_with_itself(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 9), "abcd"[i % 4]) for i in range(4000)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs).collect()
+    taken = collections.Counter()
+    for r in rows:
+        assert r["copies"] <= 2
+        taken[r["source"]] += r["copies"] * r["size"]
+    for r in rows:
+        assert taken[r["source"]] == pytest.approx(r["target"], rel=0.06)
+    emitted = mixing.emit(docs.repartition(7)).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in emitted} == {r["doc_id"]: r["copies"] for r in rows if r["copies"]}
+
+
+def test_coin_is_the_documented_hash(spark):
+    value = spark.range(1).select(mixing.coin(F.lit(42), 10).alias("c")).first()["c"]
+    assert value == int(hashlib.md5(b"10:42").hexdigest()[:13], 16) / 2**52
