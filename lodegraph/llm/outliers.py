@@ -39,7 +39,7 @@ STATISTICS = ("symbols", "upper", "digits", "dup_lines", "repeats", "punctuation
 WIDTH = len(STATISTICS)
 #: Pseudo-words of the shrunk rates, and the least standard deviation of each statistic.
 PRIOR_WORDS = 50.0
-FLOORS = (0.04, 0.06, 0.05, 0.06, 0.08, 0.05, 0.06)
+FLOORS = (0.04, 0.06, 0.05, 0.10, 0.10, 0.05, 0.06)
 LEAST_ROWS = 60
 BINS = 4
 LOW, HIGH = -80, 160
@@ -256,9 +256,11 @@ def estimate(pooled: DataFrame, h: float = 0.75, steps: int = 4) -> DataFrame:
     return materialise(model, "estimate")
 
 
-def judge(docs: DataFrame, cut: float = 40.0, h: float = 0.75) -> DataFrame:
+def judge(docs: DataFrame, cut: float = 29.9, h: float = 0.75) -> DataFrame:
     """doc_id, the counts, base_failed, distance (squared, null without an estimate) and kept.
 
+    ``cut``: the chi-square quantile 0.9999 for the seven statistics.
+
     ``docs``: doc_id, text, lang, source.
     """
     measured = materialise(measure(docs, ["doc_id", "lang", "source"]), "measured")
