@@ -114,13 +114,13 @@ def op8_decontamination(spark, sf_dir):
 
 def op9_language_model(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = language_model.Model(docs.where(fold(F.col("doc_id"), 7) != 2))
-    return language_model.score(docs, model).select(
+    scored, sums = language_model.score_corpus(docs.withColumn("train", fold(F.col("doc_id"), 7) != 2))
+    return scored.select(
         "doc_id",
         (fold(F.col("doc_id"), 7) == 2).alias("held_out"),
         "n_tokens",
         "n_known",
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.lit(sums["n"]).cast("long").alias("train_tokens"),
         "base_score",
         "score",
     )

@@ -81,7 +81,7 @@ def applied(name, spark, docs):
         "licenses": lambda: licenses.scan(docs),
         "languages": lambda: languages.predict(docs, languages.profiles(docs), ["doc_id"]),
         "decontamination": lambda: decontamination.overlaps(docs, items),
-        "language_model": lambda: language_model.score(docs, language_model.Model(docs)),
+        "language_model": lambda: language_model.score_corpus(docs.withColumn("train", F.lit(True)))[0],
         "mixing": lambda: mixing.mix(docs),
     }[name]()
 
@@ -378,33 +378,34 @@ def test_overlaps_against_all_windows(spark, block):
 # 9 -----------------------------------------------------------------------------------------------------------------
 
 
-def test_model_sums_to_one_and_scores_like_the_definition(spark):
+@pytest.mark.parametrize(("tokens", "keys"), [(2_000_000, 1_500_000), (150, 4)])
+def test_model_sums_to_one_and_scores_like_the_definition(spark, monkeypatch, tokens, keys):
+    monkeypatch.setattr(language_model, "CHUNK_TOKENS", tokens)
+    monkeypatch.setattr(language_model, "RANGE_KEYS", keys)
     rng = random.Random(2)
     texts = [(i, " ".join(rng.choices(WORDS, [1 / (k + 1) for k in range(len(WORDS))], k=rng.randint(0, 60)))) for i in range(80)]
-    texts += [(90, None), (91, "never seen words"), (91, "never seen words")]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    model = language_model.Model(docs.where("doc_id < 60"))
-    got = language_model.score(docs, model).collect()
+    texts += [(90, None), (91, "never seen words"), (91, "never seen words"), (92, "never kan lort")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("train", F.col("doc_id") < 60)
+    scored, sums = language_model.score_corpus(docs)
     train = [(t or "").encode().split() + [b"\0E"] for i, t in texts if i < 60]
     c2 = collections.Counter(w for x in train for w in x)
     pairs = collections.Counter(p for x in train for p in zip([b"\0S"] + x, x))
     n, v = sum(c2.values()), len(c2)
-    assert (model.tokens, model.types) == (n, v)
+    assert (sums["n"], sums["v"], sums["texts"]) == (n, v, 60)
     d1, d2 = (language_model.discounts(collections.Counter(c.values())) for c in (c2, pairs))
     cut = lambda c, d: c * (d[c - 1] if c <= language_model.K else 1)
-    p1 = {w: cut(c, d1) / n for w, c in c2.items()}
+    p1 = {w: cut(c, d1) / (n + 1) for w, c in c2.items()}
     unknown = 1 - sum(p1.values())
+    assert sums["unknown"] == pytest.approx(unknown)
     after = collections.defaultdict(list)
     for a, b in pairs:
         after[a].append(b)
     prob, backoff = {}, {}
     for a, seen in after.items():
         c1 = sum(pairs[a, b] for b in seen)
-        mass = sum(cut(pairs[a, b], d2) for b in seen) / c1
-        left = max(1 - mass, 1 / (c1 + 1))
         for b in seen:
-            prob[a, b] = (1 - left) / mass * cut(pairs[a, b], d2) / c1
-        backoff[a] = left / (1 - sum(p1[b] for b in seen))
+            prob[a, b] = cut(pairs[a, b], d2) / (c1 + 1)
+        backoff[a] = (1 - sum(prob[a, b] for b in seen)) / (1 - sum(p1[b] for b in seen))
         everything = sum(prob[a, b] for b in seen) + backoff[a] * (sum(p1[w] for w in c2 if (a, w) not in prob) + unknown)
         assert everything == pytest.approx(1)
     want = collections.defaultdict(list)
@@ -414,11 +415,23 @@ def test_model_sums_to_one_and_scores_like_the_definition(spark):
             math.log10(prob[p] if p in prob else backoff.get(p[0], 1) * p1.get(p[1], unknown)) for p in zip([b"\0S"] + w, w)
         )
         want[i].append((len(w), sum(c2[x] > 0 for x in w), sum(math.log10((c2[x] + 1) / (n + v + 1)) for x in w), s))
+    got = scored.collect()
     assert len(got) == len(texts)
     for r in got:
         assert (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) == pytest.approx(want[r["doc_id"]][0])
 
 
+@pytest.mark.parametrize("kind", [np.uint64, np.int32, np.float64, bool])
+def test_packing_is_exact(kind):
+    for n in (0, 1, 1000):
+        values = np.random.default_rng(n).integers(0, 200, n).astype(kind)
+        assert (language_model.unpack(language_model.pack(values), kind) == values).all()
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2))
+    assert (language_model.unpack_sorted(language_model.pack_sorted(keys)) == keys).all()
+    cuts = language_model.ranges(keys, 4)
+    assert cuts[0] == 0 and cuts[-1] == 500 and all((keys[a:b] >> np.uint64(60) == i).all() for i, (a, b) in enumerate(zip(cuts, cuts[1:])))
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------
 
 
