@@ -38,10 +38,12 @@ CHUNK_BYTES = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the one the session names, or a new one where none is named."""
+    """The folder all executors share: the one the session names; a temporary one only in local mode, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodegraph-"))
     return context.getCheckpointDir()
 
