@@ -12,9 +12,12 @@ from .registry import ORACLES, query, table
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder that all executors share: under the checkpoint folder the session names, if it names one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodegraph-")
-    return f"{named}/{name}-{uuid.uuid4().hex}"
+    """A new folder under the checkpoint folder that the session names; a temporary one only in local mode."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='lodegraph-')}/{name}-{uuid.uuid4().hex}"
 
 
 def event_stream(spark, sf_dir):
