@@ -180,3 +180,47 @@ def test_lines(spark):
     sse = [(1, 1, "event: t"), (1, 2, "data: x"), (1, 3, "data: y"), (1, 4, ""), (1, 5, ": c"), (1, 6, "data: [DONE]")]
     got = lines.server_events(spark.createDataFrame(sse, "s int, n int, value string"), "s", "n").collect()
     assert sorted((r["event"], r["data"]) for r in got) == [("message", "[DONE]"), ("t", "x\ny")]
+
+
+def test_effort_and_shades(spark):
+    from lodegraph.operators import profiles
+
+    assert column(spark, profiles.parse_effort(F.lit(" HIGH "))) == "high"
+    assert column(spark, profiles.parse_effort(F.lit("none"))) == "medium"
+    step = profiles.accessible_shade(F.lit(200.0), F.lit(200.0), F.lit(200.0), F.lit(1.0), 4.5)
+    assert column(spark, step) == 9
+
+
+@pytest.mark.parametrize(("brief", "medium"), [("a Tkinter form", "tkinter"), ("landing page", "web"), ("poem", "generic")])
+def test_medium(spark, brief, medium):
+    assert column(spark, text.medium_of(F.lit(brief))) == medium
+
+
+def test_question_shaping(spark):
+    assert column(spark, text.content_tokens(F.lit("are cows evil?"))) == ["cows", "evil"]
+    assert column(spark, text.content_tokens(F.lit("how do I?"))) == ["how", "do", "i"]
+
+
+def test_entities(spark):
+    assert column(spark, text.entities(F.lit('why does "the panel" need php8.3-fpm'))) == ["the panel", "php8.3-fpm"]
+    assert column(spark, text.entities(F.lit("baking bread with flour"))) == ["baking", "bread", "flour"]
+
+
+def test_upsert_keeps_what_blanks_would_erase(spark):
+    now = spark.createDataFrame([(1, "a", "x", 1), (2, "b", "y", 0)], "id int, name string, kind string, seeded int")
+    new = spark.createDataFrame([(1, "", None, 0), (3, "c", "z", 1)], "id int, name string, kind string, seeded int")
+    got = tables.upsert(now, new, "id", ["name", "kind"], ["seeded"]).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "a", "x", 1), (2, "b", "y", 0), (3, "c", "z", 1)]
+
+
+def test_stream_agrees_with_batch(spark, tmp_path):
+    from lodegraph.streaming import state
+
+    rows = [(k, at, i, 1) for i, (k, at) in enumerate([("a", 0), ("a", 1), ("b", 5), ("a", 2), ("a", 90_000), ("b", 6)])]
+    table = spark.createDataFrame(rows, "key string, at_ms long, id long, cost int")
+    table.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
+    got = state.run_once(state.token_bucket(stream, 2.0, 1.0), str(tmp_path / "out"))
+    want = tables.token_bucket(table, 2.0, 1.0)
+    key = lambda df: sorted(tuple(r) for r in df.select("key", "id", "allowed", "retry_after").collect())
+    assert key(got) == key(want)
