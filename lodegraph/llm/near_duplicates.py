@@ -25,8 +25,9 @@ all bands with a probability below ``MISS``.
 
 Defined cases: null, empty and wordless texts have no set and link with nothing;
 texts with fewer words than a shingle are one shingle; rows that share an id
-are taken as one document; rows without an id take part in links, but are never
-anyone's ``component_id``; an empty table gives an empty result.
+are taken as one document; rows without an id belong to the group of the rows
+with the same set, and are never anyone's ``component_id``; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
