@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import profiles, tables
+from .checks import LINEAR, LUM
 from .registry import query, table
 
 
@@ -153,7 +154,28 @@ def context_text(spark, sf_dir):
     return profiles.context_block(held, "source", F.col("doc_id").cast("string"), F.col("text"), "n_chars", "doc_id")
 
 
-@query("accessible_shade")
+def _lum(*values: str) -> str:
+    return LUM.format(**{c: LINEAR.format(v=v) for c, v in zip("rgb", values, strict=True)})
+
+
+def _moved(c: str) -> str:
+    return f"round({c} + (goal - {c}) * i / 20.0::DOUBLE)"
+
+
+SHADE = _lum(_moved("r"), _moved("g"), _moved("b"))
+
+
+@query(
+    "accessible_shade",
+    f"""WITH c AS (
+  SELECT p_partkey, (p_partkey * 7 % 256)::DOUBLE AS r, (p_partkey * 13 % 256)::DOUBLE AS g, (p_size * 5 % 256)::DOUBLE AS b,
+         p_size * 3 % 256 AS s, p_partkey % 256 AS t, p_partkey * 31 % 256 AS u FROM part),
+d AS (SELECT *, {_lum("s", "t", "u")} AS back FROM c),
+e AS (SELECT *, CASE WHEN back > 0.35 THEN 0.0 ELSE 255.0 END::DOUBLE AS goal FROM d),
+f AS (SELECT p_partkey, i, back, {SHADE} AS lum FROM e, unnest(range(1, 21)) AS v(i)),
+g AS (SELECT p_partkey, min(i)::INT AS step FROM f WHERE (greatest(lum, back) + 0.05) / (least(lum, back) + 0.05) >= 4.5 GROUP BY p_partkey)
+SELECT p_partkey, step FROM part LEFT JOIN g USING (p_partkey)""",
+)
 def accessible_shade(spark, sf_dir):
     """How far a colour must move to be readable on the part's ground, in twentieths; null if it never is."""
     k, s = F.col("p_partkey"), F.col("p_size")
