@@ -32,10 +32,8 @@ def breadth(docs: DataFrame, text: str, domain: str) -> DataFrame:
     """term, n_domains, breadth: the share of all domains whose texts hold the term."""
     words = docs.select(F.col(domain).alias("domain"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
     held = words.distinct().groupBy("term").agg(F.count("domain").alias("n_domains"))
-    whole = docs.agg(F.count_distinct(domain).alias("all_domains"))
-    return held.join(F.broadcast(whole)).select(
-        "term", "n_domains", (F.col("n_domains") / F.col("all_domains")).alias("breadth")
-    )
+    all_domains = docs.agg(F.count_distinct(domain)).scalar()
+    return held.select("term", "n_domains", (F.col("n_domains") / all_domains).alias("breadth"))
 
 
 def distinctive(queries: DataFrame, frequency: DataFrame, spread: DataFrame, n_docs: int) -> DataFrame:
@@ -76,15 +74,13 @@ def bm25(asked: DataFrame, docs: DataFrame, key: str, fields: dict[str, float])
     """
     index = postings(docs, key, fields)
     lengths = docs.select(sum((F.size(tokens(F.col(name))) for name in fields), F.lit(0)).alias("length"))
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+    n, mean_length = lengths.agg(F.count("*")).scalar(), lengths.agg(F.avg("length")).scalar()
     wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
     frequency = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    ranked = frequency.join(F.broadcast(whole)).select(
-        "term", "mean_length", F.when(idf > 0, idf).otherwise(1e-6).alias("idf")
-    )
+    idf = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    ranked = frequency.select("term", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
     part = F.col("idf") * F.col("wtf") * (K1 + 1) / (
-        F.col("wtf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
+        F.col("wtf") + K1 * (1 - B + B * F.col("length") / mean_length)
     )
     return asked.join(ranked, "term").join(wanted, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
 

@@ -118,11 +118,11 @@ def npmi_brand_baskets(spark, sf_dir):
     terms = baskets.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p_brand")).alias("held"))
     both = graph.pairs(terms, F.col("held")).groupBy("a", "b").agg(F.count("*").alias("both"))
     df = terms.select(F.explode("held").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    n = terms.agg(F.count("*").alias("n"))
+    n = terms.agg(F.count("*")).scalar()
     known = (
         both.join(df.select(F.col("t").alias("a"), F.col("df").alias("df_a")), "a")
         .join(df.select(F.col("t").alias("b"), F.col("df").alias("df_b")), "b")
-        .join(F.broadcast(n))
+        .withColumn("n", n)
     )
     value = known.withColumn("npmi", npmi(F.col("n"), F.col("df_a"), F.col("df_b"), F.col("both")))
     weight = npmi_to_weight(F.col("npmi"), F.col("df_b"), F.col("n"))

@@ -50,8 +50,8 @@ def store_counts(spark, sf_dir):
         F.count_distinct("source").alias("domains"),
         F.coalesce(F.max("n_chars"), F.lit(0)).alias("longest"),
     )
-    pages = table(spark, sf_dir, "pages").agg(F.count("*").alias("pages"))
-    return docs.join(F.broadcast(pages)).select("documents", "pages", "domains", "longest")
+    pages = table(spark, sf_dir, "pages").agg(F.count("*")).scalar()
+    return docs.select("documents", pages.alias("pages"), "domains", "longest")
 
 
 @query(
