@@ -36,9 +36,18 @@ def breadth(docs: DataFrame, text: str, domain: str) -> DataFrame:
     return held.select("term", "n_domains", (F.col("n_domains") / all_domains).alias("breadth"))
 
 
-def distinctive(queries: DataFrame, frequency: DataFrame, spread: DataFrame, n_docs: int) -> DataFrame:
+def term_statistics(docs: DataFrame, text: str, domain: str) -> DataFrame:
+    """term, df, n_domains, breadth in one pass: documents per (term, domain), then per term."""
+    words = docs.select(F.col(domain).alias("domain"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    each = words.groupBy("term", "domain").agg(F.count("*").alias("n"))
+    held = each.groupBy("term").agg(F.sum("n").alias("df"), F.count("domain").alias("n_domains"))
+    all_domains = docs.agg(F.count_distinct(domain)).scalar()
+    return held.withColumn("breadth", F.col("n_domains") / all_domains)
+
+
+def distinctive(queries: DataFrame, statistics: DataFrame, n_docs: int) -> DataFrame:
     """query_id, term, df, breadth of the terms rare enough to identify a subject (``queries``: query_id, text)."""
-    known = asked_terms(queries).join(frequency, "term", "left").join(spread.select("term", "breadth"), "term", "left")
+    known = asked_terms(queries).join(statistics.select("term", "df", "breadth"), "term", "left")
     limit = max(2, n_docs * 5 // 100)
     return known.select(
         "query_id",
@@ -69,7 +78,8 @@ def asked_terms(queries: DataFrame) -> DataFrame:
 def bm25(asked: DataFrame, docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
     """query_id, key, score for every document that holds a term of ``asked`` (query_id, term).
 
-    The document statistics are one-row or per-term aggregates; only postings of
+    With a column ``rare`` in ``asked``, rare_score sums only the terms where it
+    is true (null where there is none).  The document statistics are one-row or per-term aggregates; only postings of
     asked terms reach the join with the questions.
     """
     index = postings(docs, key, fields)
@@ -82,7 +92,10 @@ def bm25(asked: DataFrame, docs: DataFrame, key: str, fields: dict[str, float])
     part = F.col("idf") * F.col("wtf") * (K1 + 1) / (
         F.col("wtf") + K1 * (1 - B + B * F.col("length") / mean_length)
     )
-    return asked.join(ranked, "term").join(wanted, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    sums = [F.sum(part).alias("score")]
+    if "rare" in asked.columns:
+        sums.append(F.sum(F.when(F.col("rare"), part)).alias("rare_score"))
+    return asked.join(ranked, "term").join(wanted, "term").groupBy("query_id", key).agg(*sums)
 
 
 def top_k(scored: DataFrame, key: str, k: int, score: str = "score", by: str = "query_id") -> DataFrame:

@@ -151,12 +151,8 @@ def distinctive_tokens(spark, sf_dir):
 
 def distinctive_of(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return corpus.distinctive(
-        benchmark_queries(spark, sf_dir),
-        corpus.doc_frequency(docs, "text"),
-        corpus.breadth(docs, "text", "source"),
-        docs.count(),
-    )
+    statistics = corpus.term_statistics(docs, "text", "source")
+    return corpus.distinctive(benchmark_queries(spark, sf_dir), statistics, docs.count())
 
 
 def lexical_list(spark, sf_dir):
@@ -165,11 +161,6 @@ def lexical_list(spark, sf_dir):
     return corpus.top_k(scored, "id", 20)
 
 
-def rare_list(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return corpus.bm25(distinctive_of(spark, sf_dir).select("query_id", "term"), docs, "id", DOCS)
-
-
 def vector_table(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
@@ -402,12 +393,19 @@ def evidence_weighted_rrf(spark, sf_dir):
 
 
 def gate_inputs(spark, sf_dir):
-    lexical, vector = hybrid_lists(spark, sf_dir)
+    """Fused hits and signals.  Rare terms are a flag on the asked ones, so the postings are read once."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    rare = distinctive_of(spark, sf_dir).select("query_id", "term", F.lit(True).alias("rare")).persist()
+    asked = corpus.asked_terms(benchmark_queries(spark, sf_dir)).join(rare, ["query_id", "term"], "left")
+    scored = corpus.bm25(asked.withColumn("rare", F.coalesce("rare", F.lit(False))), docs, "id", DOCS)
+    lexical = corpus.top_k(scored.drop("rare_score"), "id", 20).withColumn("retriever", F.lit("bm25"))
+    by_rare = scored.where("rare_score IS NOT NULL").select("query_id", "id", F.col("rare_score").alias("score"))
+    vector = vector_list(spark, sf_dir).withColumn("retriever", F.lit("vector"))
     fused = fusion.rrf(lexical.unionByName(vector))
     field = vectors.field_statistics(benchmark_vectors(spark, sf_dir), vector_table(spark, sf_dir))
-    signal = fusion.signals(fused, lexical, vector, field, rare_list(spark, sf_dir))
-    asked = distinctive_of(spark, sf_dir).select("query_id", F.lit(True).alias("has_rare")).distinct()
-    signal = signal.join(asked, "query_id", "left").withColumn("has_rare", F.coalesce("has_rare", F.lit(False)))
+    signal = fusion.signals(fused, lexical, vector, field, by_rare)
+    has_rare = rare.select("query_id", F.lit(True).alias("has_rare")).distinct()
+    signal = signal.join(has_rare, "query_id", "left").withColumn("has_rare", F.coalesce("has_rare", F.lit(False)))
     return fused, signal.withColumn("top_exact", F.lit(0.0))
 
 
