@@ -48,8 +48,8 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; ``files``: at most so many, for tables of a few rows.
 
     This cuts the lineage, so a lost executor costs no recomputation of what
     came before, and gives the planner true sizes: later joins broadcast the
@@ -57,7 +57,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

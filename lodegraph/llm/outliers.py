@@ -42,6 +42,8 @@ PRIOR_WORDS = 50.0
 FLOORS = (0.04, 0.06, 0.05, 0.10, 0.10, 0.05, 0.06)
 LEAST_ROWS = 60
 BINS = 4
+#: Tables with a row per group are written to so many files.
+FILES = 8
 LOW, HIGH = -80, 160
 
 _CONTINUED = bytes(range(0x80, 0xC0))
@@ -138,7 +140,7 @@ def grouped(measured: DataFrame) -> DataFrame:
     """Adds ``pool``: the group whose estimate judges the row."""
     good = measured.where(~F.col("base_failed"))
     sizes = good.groupBy("lang", "source").agg(F.count("*").alias("rows"))
-    sizes = materialise(sizes, "pool-sizes")
+    sizes = materialise(sizes, "pool-sizes", FILES)
     own = F.concat_ws("\x01", F.lit("own"), *[F.coalesce(c, F.lit("\x02")) for c in (F.col("lang"), F.col("source"))])
     of_lang = F.concat_ws("\x01", F.lit("lang"), F.coalesce(F.col("lang"), F.lit("\x02")))
     rest = (
@@ -155,7 +157,7 @@ def grouped(measured: DataFrame) -> DataFrame:
         .alias("pool"),
     )
     same = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
-    return measured.join(materialise(pools, "pools"), same, "left").drop("of_lang", "of_source")
+    return measured.join(materialise(pools, "pools", FILES), same, "left").drop("of_lang", "of_source")
 
 
 _UPPER_HALF = np.triu_indices(WIDTH)
@@ -250,10 +252,10 @@ def estimate(pooled: DataFrame, h: float = 0.75, steps: int = 4) -> DataFrame:
     columns = "pool string, bin int, moments array<double>"
     model = _summed(start.mapInPandas(_binner, columns)).groupBy("pool").applyInPandas(_medians, MODEL)
     for step in range(steps):
-        model = materialise(model, f"estimate-{step}")
+        model = materialise(model, f"estimate-{step}", FILES)
         binned = rows.join(model.select("pool", "center", "inverse"), "pool").mapInPandas(_binner, columns)
         model = _summed(binned).groupBy("pool").applyInPandas(_concentrated(h), MODEL)
-    return materialise(model, "estimate")
+    return materialise(model, "estimate", FILES)
 
 
 def judge(docs: DataFrame, cut: float = 29.9, h: float = 0.75) -> DataFrame:
