@@ -167,13 +167,6 @@ def split_packages(blob: Column) -> Column:
     return F.filter(F.split(blob, r"[\s,\\]+"), lambda t: (F.length(t) > 0) & ~t.startswith("-"))
 
 
-def redact(secret: Column) -> Column:
-    """First and last four characters of a long key, stars otherwise."""
-    return F.when(
-        F.length(secret) > 8, F.concat(F.substring(secret, 1, 4), F.lit("…"), F.substring(secret, -4, 4))
-    ).otherwise(F.lit("****"))
-
-
 def size_hint(name: Column) -> Column:
     """A model's parameter count named like ``7b`` or ``1.5B``, in upper case, or null."""
     found = F.regexp_extract(name, r"(?i)(\d+(?:\.\d+)?)\s*b\b", 1)

@@ -88,6 +88,13 @@ def eligible(table: DataFrame, min_obs: int = 3, min_domains: int = 2) -> DataFr
     return table.where((F.col("seeded") == 1) | enough)
 
 
+def seeded(curated: DataFrame, n_obs: int = 99) -> DataFrame:
+    """Curated pairs (src, dst, relation) as seeded edges of full weight, once in each direction."""
+    back = curated.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation")
+    both = curated.select("src", "dst", "relation").unionByName(back).distinct()
+    return both.select("*", F.lit(1.0).alias("weight"), F.lit(n_obs).alias("n_obs"), F.lit(1).alias("seeded"))
+
+
 def capped(table: DataFrame, most: int = 24) -> DataFrame:
     """The strongest ``most`` edges per source; seeded ones always stay."""
     order = Window.partitionBy("src").orderBy(F.col("seeded").desc(), F.round("weight", 9).desc(), "dst")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checks, events, graphs, lexical, stores, streams, texts  # noqa: F401
+from . import checks, events, graphs, lexical, payloads, stores, streams, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
