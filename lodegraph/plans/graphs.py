@@ -198,17 +198,6 @@ def activation_paths(spark, sf_dir):
     return flows.withColumn("contribution", F.round("contribution", 9))
 
 
-@query("resolve_alternatives")
-def resolve_alternatives(spark, sf_dir):
-    """Alternatives: terms that stand in one sentence with a cue of choice."""
-    from ..operators.extraction import alternatives
-
-    state, _ = graph.spread_activation(seeds_of(spark, sf_dir), usable_edges(spark, sf_dir), 2)
-    found = alternatives(docs_of(spark, sf_dir), "doc_id", F.col("text"), names_of(spark, sf_dir))
-    out = graph.resolve_alternatives(state.select("query_id", "id", "activation"), found.select("a", "b").distinct())
-    return out.withColumn("activation", F.round("activation", 6))
-
-
 @query(
     "why_module",
     f"""WITH {GRAPH},

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import web
-from ..operators import corpus, extraction, fusion, tables
-from .graphs import GRAPH, docs_of, names_of
+from ..operators import corpus, extraction, fusion, graph, tables
+from .graphs import GRAPH, docs_of, names_of, seeds_of, usable_edges
 from .lexical import TERMS, benchmark_queries, distinctive_of
 from .registry import first_distinct, query, table, tok
 
@@ -226,9 +226,7 @@ def term_merge_best(spark, sf_dir):
     return best.select("doc_id", "term", "confidence", "context", "sentence")
 
 
-@query(
-    "alternative_pairs",
-    f"""WITH {GRAPH},
+ALTERNATIVES = f"""
 cut AS (
   SELECT doc_id, i - 1 AS sentence, s[i] AS s
   FROM (SELECT doc_id, {SENTENCES} AS s FROM documents), unnest(range(1, len(s) + 1)) AS u(i) WHERE length(s[i]) BETWEEN 8 AND 400),
@@ -236,15 +234,52 @@ held AS (
   SELECT DISTINCT doc_id, sentence, term FROM (
     SELECT doc_id, sentence, unnest({tok('s')}) AS term FROM cut WHERE regexp_matches(s, '{tx.ALTERNATIVE_CUES}'))
   WHERE term IN (SELECT term FROM lexicon)),
-few AS (SELECT doc_id, sentence FROM held GROUP BY ALL HAVING count(*) BETWEEN 2 AND 4)
-SELECT x.doc_id, x.sentence, x.term AS a, y.term AS b FROM few f
-JOIN held x ON x.doc_id = f.doc_id AND x.sentence = f.sentence
-JOIN held y ON y.doc_id = x.doc_id AND y.sentence = x.sentence AND x.term < y.term""",
+few AS (SELECT doc_id, sentence FROM held GROUP BY ALL HAVING count(*) BETWEEN 2 AND 4),
+alt AS (
+  SELECT x.doc_id, x.sentence, x.term AS a, y.term AS b FROM few f
+  JOIN held x ON x.doc_id = f.doc_id AND x.sentence = f.sentence
+  JOIN held y ON y.doc_id = x.doc_id AND y.sentence = x.sentence AND x.term < y.term)"""
+
+
+@query(
+    "alternative_pairs",
+    f"""WITH {GRAPH}, {ALTERNATIVES} SELECT * FROM alt""",
 )
 def alternative_pairs(spark, sf_dir):
     return extraction.alternatives(docs_of(spark, sf_dir), "doc_id", F.col("text"), names_of(spark, sf_dir))
 
 
+@query(
+    "resolve_alternatives",
+    f"""WITH RECURSIVE {GRAPH}, {ALTERNATIVES},
+ways_out AS (SELECT a, b FROM alt UNION SELECT b, a FROM alt),
+nodes AS (
+  SELECT query_id, id, activation, row_number() OVER (PARTITION BY query_id ORDER BY round(activation, 12) DESC, id) AS place FROM s2),
+links AS (
+  SELECT n.query_id, n.place, m.id AS other FROM nodes n JOIN ways_out ON a = n.id JOIN nodes m ON m.query_id = n.query_id AND m.id = b),
+lists AS (SELECT query_id, place, list(other) AS others FROM links GROUP BY ALL),
+fold AS (
+  SELECT DISTINCT query_id, 0::BIGINT AS place, []::VARCHAR[] AS lost FROM nodes
+  UNION ALL
+  SELECT f.query_id, n.place, CASE WHEN list_contains(lost, n.id) THEN lost ELSE list_concat(lost, coalesce(others, [])) END
+  FROM fold f JOIN nodes n ON n.query_id = f.query_id AND n.place = f.place + 1
+  LEFT JOIN lists l ON l.query_id = n.query_id AND l.place = n.place),
+gone AS (SELECT query_id, arg_max(lost, place) AS lost FROM fold GROUP BY query_id),
+won AS (SELECT n.query_id, n.place, n.id FROM nodes n JOIN gone g ON g.query_id = n.query_id WHERE NOT list_contains(lost, n.id)),
+favour AS (
+  SELECT w.query_id, other AS id, arg_min(w.id, w.place) AS in_favour_of
+  FROM won w JOIN links l ON l.query_id = w.query_id AND l.place = w.place GROUP BY ALL)
+SELECT n.query_id, n.id, round(activation, 6) AS activation, in_favour_of
+FROM nodes n LEFT JOIN favour f ON f.query_id = n.query_id AND f.id = n.id""",
+)
+def resolve_alternatives(spark, sf_dir):
+    """Alternatives: terms that stand in one sentence with a cue of choice."""
+    state, _ = graph.spread_activation(seeds_of(spark, sf_dir), usable_edges(spark, sf_dir), 2)
+    found = extraction.alternatives(docs_of(spark, sf_dir), "doc_id", F.col("text"), names_of(spark, sf_dir))
+    out = graph.resolve_alternatives(state.select("query_id", "id", "activation"), found.select("a", "b").distinct())
+    return out.withColumn("activation", F.round("activation", 6))
+
+
 #: Sample commands, since the tables hold none.
 COMMANDS = (
     (1, "sudo apt-get install -y nginx php8.3-fpm mariadb-server"),
@@ -320,7 +355,21 @@ def grounding_check(spark, sf_dir):
     return asked.select("item_id", "proposal", tx.occurs_in(F.col("next"), F.col("proposal")).alias("grounded"))
 
 
-@query("entities_deterministic")
+STOPPED = "(" + ", ".join(f"'{w}'" for w in dict.fromkeys(tx.ENTITY_STOPWORDS)) + ")"
+
+
+@query(
+    "entities_deterministic",
+    f"""WITH a AS (
+  SELECT item_id, list_transform(regexp_extract_all(text, '["''`]([^"''`]{{2,40}})["''`]', 1), lambda x: lower(trim(x))) AS quoted,
+         list_transform(list_filter(regexp_extract_all(text, '\\b([A-Za-z][A-Za-z0-9_.+#/\\-]{{2,30}})\\b', 1),
+           lambda w: regexp_matches(w, '[0-9./\\-]|^[a-z]+[A-Z]')), lambda w: lower(w)) AS tech,
+         list_filter(string_split_regex(lower(text), '[^a-z0-9+#._\\-]+'), lambda w: length(w) >= 4 AND w NOT IN {STOPPED}) AS rest
+  FROM benchmark),
+b AS (SELECT item_id, list_filter(list_concat(quoted, tech), lambda x: length(x) > 0) AS found, rest FROM a),
+c AS (SELECT item_id, CASE WHEN len(found) > 0 THEN found ELSE rest END AS picked FROM b)
+SELECT item_id, array_to_string({first_distinct('picked', 12)}, ',') AS entities FROM c""",
+)
 def entities_deterministic(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(tx.entities(F.col("text")), ",").alias("entities"))
 
@@ -462,11 +511,19 @@ def any_subject(spark, sf_dir):
     return judged_words(spark, sf_dir).groupBy("query_id").agg(F.bool_or(F.col("cls") == "subject").alias("yes"))
 
 
-@query("learn_e2e")
+#: The graph over the pages' texts and hosts: the same relations as over documents, by other names.
+PAGE_GRAPH = GRAPH[: GRAPH.index("ok_edges AS")].replace("documents", "learned")
+
+
+@query(
+    "learn_e2e",
+    f"""WITH learned AS (SELECT page_id AS doc_id, {PLAIN} AS text, {DOMAIN} AS source FROM pages),
+{PAGE_GRAPH}
+capped AS (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(weight, 9) DESC, dst) <= 24)
+SELECT src, dst, round(npmi, 6) AS npmi, round(weight, 6) AS weight, n_obs, n_domains FROM capped""",
+)
 def learn_e2e(spark, sf_dir):
     """Pages to edges: text, lexicon, co-occurrence, association, evidence, out-degree, in one job."""
-    from ..operators import graph
-
     pages = pages_of(spark, sf_dir).select(
         "page_id", web.text_of(F.col("html")).alias("text"), web.domain_of(F.col("url")).alias("domain")
     )
