@@ -61,9 +61,7 @@ MARK = "\u0001"
 def tokens(text: Column) -> Column:
     """Lower-cased words of letters, digits and ``_+#.-`` without edge dots or dashes, two characters or more."""
     parts = F.split(F.lower(text), r"[^\p{L}\p{N}_+#.\-]+")
-    return F.filter(
-        F.transform(parts, lambda t: F.regexp_replace(t, r"^[-.]+|[-.]+$", "")), lambda t: F.length(t) >= 2
-    )
+    return F.filter(F.transform(parts, lambda t: F.btrim(t, F.lit("-."))), lambda t: F.length(t) >= 2)
 
 
 def query_tokens(text: Column, most: int = 24) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import npmi, npmi_to_weight
 from ..functions.text import query_tokens
 from ..operators import corpus, fusion, graph, tables
+from ..sources.tables import written
 from .lexical import GATE, HYBRID, TERMS, benchmark_queries, gate_inputs
 from .registry import first_distinct, query, table
 
@@ -20,17 +21,19 @@ def names_of(spark, sf_dir) -> list[str]:
     return graph.lexicon(docs_of(spark, sf_dir), "text")
 
 
-def edges_of(spark, sf_dir):
-    return graph.edges(docs_of(spark, sf_dir), "text", "source", names_of(spark, sf_dir))
+def edges_of(spark, sf_dir, names: list[str] | None = None):
+    names = names_of(spark, sf_dir) if names is None else names
+    return graph.edges(docs_of(spark, sf_dir), "text", "source", names)
 
 
-def usable_edges(spark, sf_dir):
-    return graph.with_brake(graph.capped(graph.eligible(edges_of(spark, sf_dir))))
+def usable_edges(spark, sf_dir, names: list[str] | None = None):
+    """The edges that carry activation, written once: every hop joins them."""
+    return written(graph.with_brake(graph.capped(graph.eligible(edges_of(spark, sf_dir, names)))), "edges")
 
 
-def seeds_of(spark, sf_dir, most: int = 6):
+def seeds_of(spark, sf_dir, names: list[str] | None = None, most: int = 6):
     """Seeds of a benchmark question: the first six of its terms that the lexicon knows."""
-    names = names_of(spark, sf_dir)
+    names = names_of(spark, sf_dir) if names is None else names
     known = F.array(*[F.lit(x) for x in names])
     asked = F.slice(F.array_intersect(query_tokens(F.col("text"), 1000), known), 1, most)
     return benchmark_queries(spark, sf_dir).select("query_id", F.explode(asked).alias("id"))
@@ -178,7 +181,8 @@ def spread_activation_2hop(spark, sf_dir):
 
 
 def activated_of(spark, sf_dir, hops):
-    state, _ = graph.spread_activation(seeds_of(spark, sf_dir), usable_edges(spark, sf_dir), hops)
+    names = names_of(spark, sf_dir)
+    state, _ = graph.spread_activation(seeds_of(spark, sf_dir, names), usable_edges(spark, sf_dir, names), hops)
     return state.select(
         "query_id",
         "id",
@@ -194,7 +198,8 @@ def activated_of(spark, sf_dir, hops):
     UNION ALL SELECT query_id, src, dst, round(contribution, 9), 2 FROM f2""",
 )
 def activation_paths(spark, sf_dir):
-    _, flows = graph.spread_activation(seeds_of(spark, sf_dir), usable_edges(spark, sf_dir), 2)
+    names = names_of(spark, sf_dir)
+    _, flows = graph.spread_activation(seeds_of(spark, sf_dir, names), usable_edges(spark, sf_dir, names), 2)
     return flows.withColumn("contribution", F.round("contribution", 9))
 
 
@@ -262,13 +267,14 @@ def module_budget_split(spark, sf_dir):
 
 def route(spark, sf_dir, gate: fusion.Gate = GATE, hops: int = 2):
     """query_id, id, how, value for all questions in one job: gate verdicts and the graph's activated terms."""
-    decided = fusion.seed_gate(*gate_inputs(spark, sf_dir), gate)
+    decided = written(fusion.seed_gate(*gate_inputs(spark, sf_dir), gate), "verdicts")
+    names = names_of(spark, sf_dir)
     documents = decided.select(
         "query_id", F.col("id").cast("string").alias("id"), F.col("verdict").alias("how"), F.col("rrf").alias("value")
     )
     routed = decided.where("verdict = 'SEED'").select("query_id").distinct()
-    seeds = seeds_of(spark, sf_dir).join(routed, "query_id", "left_semi")
-    state, _ = graph.spread_activation(seeds, usable_edges(spark, sf_dir), hops)
+    seeds = seeds_of(spark, sf_dir, names).join(routed, "query_id", "left_semi")
+    state, _ = graph.spread_activation(seeds, usable_edges(spark, sf_dir, names), hops)
     terms = state.where("activation >= 0.5").select(
         "query_id", "id", F.concat(F.lit("HOP_"), F.col("hop").cast("string")).alias("how"), F.col("activation").alias("value")
     )

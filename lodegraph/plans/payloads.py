@@ -9,9 +9,9 @@ from ..functions import payloads, web
 from ..functions import text as tx
 from ..operators import graph
 from ..sources import lines, results
+from ..sources.tables import scratch
 from ..streaming import state
 from .registry import first_distinct, query, table, tok
-from .streams import scratch
 from .texts import JUNK, TITLE, pages_of
 
 EVENT_LINES = "event_id long, user_id long, event_type string"

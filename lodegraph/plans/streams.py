@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch
 from ..streaming import state
 from .registry import ORACLES, query, table
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder under the checkpoint folder that the session names; a temporary one only in local mode."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named and not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{named or tempfile.mkdtemp(prefix='lodegraph-')}/{name}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark, sf_dir):
     path = f"{sf_dir}/events.parquet*"  # a glob: the table may be one file or a folder
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(path)

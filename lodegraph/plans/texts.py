@@ -274,8 +274,9 @@ FROM nodes n LEFT JOIN favour f ON f.query_id = n.query_id AND f.id = n.id""",
 )
 def resolve_alternatives(spark, sf_dir):
     """Alternatives: terms that stand in one sentence with a cue of choice."""
-    state, _ = graph.spread_activation(seeds_of(spark, sf_dir), usable_edges(spark, sf_dir), 2)
-    found = extraction.alternatives(docs_of(spark, sf_dir), "doc_id", F.col("text"), names_of(spark, sf_dir))
+    names = names_of(spark, sf_dir)
+    state, _ = graph.spread_activation(seeds_of(spark, sf_dir, names), usable_edges(spark, sf_dir, names), 2)
+    found = extraction.alternatives(docs_of(spark, sf_dir), "doc_id", F.col("text"), names)
     out = graph.resolve_alternatives(state.select("query_id", "id", "activation"), found.select("a", "b").distinct())
     return out.withColumn("activation", F.round("activation", 6))
 
