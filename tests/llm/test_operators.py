@@ -326,6 +326,40 @@ def test_phrase_places(spark):
     assert [(p["start"], p["label"]) for p in row["phrases"]] == [(0, "mit"), (4, "mit"), (8, "cc-by-nc")]
 
 
+def license_labels(text):
+    automata = [(label, licenses.Automaton(x)) for label, x in licenses.TEMPLATES]
+    tokens = text.encode().translate(licenses.ALNUM_TABLE).split()
+    return {label for _, _, label in licenses.scan_text(tokens, automata)[1]}
+
+
+def plain_wording(label):
+    wording = dict(licenses.WORDINGS[::-1])[label]
+    return re.sub(r"<<var \d+>>", "x", re.sub(r"<</?opt>>", "", wording))
+
+
+@pytest.mark.parametrize("label", ["mit", "isc", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "apache-2", "unlicense"])
+def test_only_whole_wordings_are_licenses(label):
+    whole = plain_wording(label)
+    assert license_labels(whole) == license_labels(re.sub('"(.*?)"', "\u201c\\1\u201d", whole)) == {label}
+    words = whole.split()
+    for cut in (len(words) - 1, len(words) // 2, len(words) // 3):
+        assert license_labels(" ".join(words[:cut])) == set()
+        assert license_labels(" ".join([*words[:cut], "but not for military use", *words[cut:]])) == set()
+
+
+def test_licenses_that_begin_alike_have_their_own_labels():
+    gnu = "This program is free software; redistribute it under the terms of the GNU {} Public License"
+    assert license_labels(gnu.format("General")) == {"gpl"}
+    assert license_labels(gnu.format("Lesser General")) == {"lgpl"}
+    assert license_labels(gnu.format("Affero General")) == {"agpl"}
+    cc = "This work is licensed under a Creative Commons Attribution{} License."
+    for kind, label in (("", "cc-by"), ("-NonCommercial", "cc-by-nc"), ("-ShareAlike", "cc-by-sa"), ("-NoDerivatives", "cc-by-nd"),
+                        ("-NonCommercial-ShareAlike", "cc-by-nc-sa"), ("-NonCommercial-NoDerivs", "cc-by-nc-nd")):
+        for version in ("", " 4.0 International", " 3.0 Unported", " 3.0 United States"):
+            assert license_labels(cc.format(kind + version)) == {label}
+    assert license_labels(cc.format("-Sampling Plus 1.0")) == set()
+
+
 # 7 -----------------------------------------------------------------------------------------------------------------
 
 
