@@ -23,10 +23,29 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8); rows without id stay."""
-    judged = near_duplicates.near_duplicates(docs.select("doc_id", "text"))
-    gone = materialise(judged.where(~F.col("kept")).select("doc_id").distinct(), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8), that of the smallest id.
+
+    Rows are judged each on its own: repeated rows, rows without id and several
+    texts under one id take part like all others.  Texts without words have no
+    shingles; only repeats of the same id and text go.
+    """
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    judged = near_duplicates.near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component")
+    )
+    blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = numbered.select("_row", "doc_id", F.when(blank, F.col("text")).alias("blank"))
+    wordless = F.col("component").isNull()
+    placed = materialise(
+        rows.join(judged, "_row").select(
+            "_row", "doc_id", "component", F.when(wordless, F.col("doc_id")).alias("same_id"), "blank"
+        ),
+        "placed",
+    )
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = placed.groupBy("component", "same_id", "blank").agg(F.min(order)["_row"].alias("_row"))
+    gone = materialise(placed.select("_row").join(first.select("_row"), "_row", "left_anti"), "duplicates")
+    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,3 +56,15 @@ def test_pipeline_is_its_stages(spark):
     assert got.columns == [*docs.columns, "copy"]
     assert sorted((r["doc_id"], r["copy"], r["text"]) for r in got.collect()) == want
     assert all(r["n_chars"] == len(r["text"]) for r in got.collect())
+
+
+def test_pipeline_judges_duplicates_by_row(spark):
+    words = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    near = words(4) + " end"
+    rows = [(2, words(2)), (2, words(2)), (1, words(1)), (None, words(3)), (None, words(3)), (None, words(4)), (7, near)]
+    rows += [(8, words(8)), (8, words(1)), (9, ""), (9, ""), (10, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.deduplicate(spark, docs, DATA)
+    assert got.columns == docs.columns
+    want = [(1, words(1)), (2, words(2)), (None, words(3)), (7, near), (8, words(8)), (9, ""), (10, ""), (None, None)]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(repr, want))
