@@ -51,9 +51,15 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", re.ASCII, 0, 20),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+#: A private key after its BEGIN line: up to its END line, or where that is cut off, all lines of base64 and PEM headers.
+_KEY_BODY = (
+    r"(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?:(?:[\s\"'>]|\\[nr])*+(?:[A-Z][A-Za-z0-9]*-[A-Z][A-Za-z-]*:[^\n]*|[A-Za-z0-9+/=]{16,}"
+    r"|[A-Za-z0-9+/=]++(?=[ \t\"']*(?:\r?\n|\\[nr]|-----|\Z))))*)"
+)
 #: Public formats of well-known credentials.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----" + _KEY_BODY),
     Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),

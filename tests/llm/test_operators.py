@@ -302,6 +302,33 @@ def test_index_loses_no_match(seed):
             assert m or not re.search(rule.pattern, t, rule.flags)
 
 
+def key_lines(n=6):
+    rng = random.Random(4)
+    return ["".join(rng.choice("ABCDEFGHabcdefgh0123+/") for _ in range(64)) for _ in range(n)] + ["q8Z/a=="]
+
+
+def test_private_keys_go_with_their_bodies(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123", ""]
+    lines = key_lines()
+    texts = {
+        1: "\n".join(["See", begin, *lines, end, "and so on."]),
+        2: "\n".join(["See", begin, *head, *lines, end, "and so on."]),
+        3: "\n".join(["See", begin, *head, *lines]),
+        4: "\n".join(["See", begin, *lines, "", "and so on."]),
+        5: 'See {"key": "' + "\\n".join([begin, *lines, end]) + '\\n"} and so on.',
+        6: "\n".join(["See", begin, *lines[:2], "Q" * 9]),
+        7: "\r\n".join(["See", begin, *lines, "-----END RSA PRI"]),
+        8: " ".join(["See", begin, *lines[:-1], "and so on."]),
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in secrets.scan(docs, redact=True).collect():
+        assert not any(x in r["text"] for x in [*lines, "Q" * 9, "DEK-Info", "PRIVATE KEY"]), r["doc_id"]
+        assert r["text"].startswith("See") and r["text"].endswith("and so on.") == (r["doc_id"] not in (3, 6, 7))
+        span = next(x for x in r["secrets"] if x["kind"] == "private_key")
+        assert texts[r["doc_id"]][span["start"] :].startswith(begin) and span["end"] - span["start"] > 150
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------
 
 
