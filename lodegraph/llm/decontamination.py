@@ -8,11 +8,13 @@ word to every window of the document that holds it, and a window counts when
 its words are a benchmark window.  Benchmark texts shorter than the window are
 one window each and are looked up by runs of exactly their length.
 
-The benchmark is the small side.  It is read in blocks of ``block_bytes`` of
-text, each block is broadcast, and the documents pass all blocks in one chain
-of narrow maps: nothing is shuffled and no document is grouped, so neither a
-common passage nor a hot source can skew anything, and memory is bounded by a
-block and a chunk of documents at any size of either table.
+Items count once per id and text.  A benchmark of at most ``block_bytes`` is
+broadcast, and the documents pass it in one narrow map.  A larger one is never
+gathered: tasks make the kept hashes and the windows behind them of both sides,
+and Spark joins them, first each document's distinct hashes with the
+benchmark's, then the windows around the hits.  The documents' side of each join
+is salted by row, so a passage that very many documents hold is dealt over tasks,
+and no task holds more than a chunk of texts or one document's hits.
 
 Defined cases: null texts have no words; a document without words has no hits;
 items without id or words match nothing; repeated items count once; documents
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_TABLE, WordHashes, chunks
+from .common import ALNUM_TABLE, WordHashes, chunks, materialise
 
 SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 FOUND = T.StructType(
@@ -44,6 +46,8 @@ FOUND = T.StructType(
     ]
 )
 NONE = np.iinfo(np.uint64).max
+#: A document's rows of a join go to one of so many places per key.
+SALTS = 8
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -152,18 +156,28 @@ def merged(spans) -> list[dict]:
     return out
 
 
-def _scanner(shared, k: int, window: int, keep: list[str], first: bool):
+def fingerprints(words: list[bytes], sizes: list[int], k: int, window: int, memo: WordHashes):
+    """By window size: places and hashes of one text that are looked up, and how far before a place windows begin."""
+    hashes, ends = memo.of(words), np.full(len(words), len(words))
+    for size in sizes:
+        if size == window:
+            grams, reach = gram_hashes(hashes, ends, k), window - k
+            places = np.flatnonzero(winnowed(grams, reach + 1)) if len(words) >= size else np.zeros(0, dtype=np.int64)
+        else:
+            grams, reach = gram_hashes(hashes, ends, size), 0
+            places = np.flatnonzero(grams != NONE)
+        yield size, places, grams[places].view(np.int64), reach
+
+
+def _scanner(shared, k: int, window: int, keep: list[str]):
     def run(batches):
         block, memo = shared.value, WordHashes()
         for batch, texts in chunks(batches):
             lengths, found = scan(texts, block, k, window, memo)
-            if first:
-                spans, items = [[] for _ in texts], [[] for _ in texts]
-            else:
-                spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
+            spans, items = [[] for _ in texts], [[] for _ in texts]
             for doc, (new, names) in found.items():
-                spans[doc] = merged(new | {(x["start"], x["end"]) for x in spans[doc]})
-                items[doc] = sorted({block["names"][i] for i in names} | set(items[doc]))
+                spans[doc] = merged(new)
+                items[doc] = sorted({block["names"][i] for i in names})
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep]
                 + [pa.array(lengths), pa.array(spans, SPAN), pa.array(items, pa.list_(pa.string()))],
@@ -173,6 +187,139 @@ def _scanner(shared, k: int, window: int, keep: list[str], first: bool):
     return run
 
 
+def _item_maker(k: int, window: int):
+    """hash, size, mark, item_id: the kept hashes of each item, with no mark, and the keys of its windows, with no hash."""
+
+    def run(batches):
+        memo = WordHashes()
+        for batch, texts in chunks(batches):
+            hashes, sizes, marks, names = [], [], [], []
+            for name, text in zip(batch.column("item_id").to_pylist(), texts, strict=True):
+                words = words_of(text)
+                if not words:
+                    continue
+                size = min(window, len(words))
+                _, _, kept, _ = next(fingerprints(words, [size], k, window, memo))
+                kept = np.unique(kept).tolist()
+                keys = list({window_key(words[i : i + size]) for i in range(len(words) - size + 1)})
+                n = len(kept) + len(keys)
+                hashes += kept + [None] * len(keys)
+                marks += [None] * len(kept) + keys
+                sizes += [size] * n
+                names += [name] * n
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(marks, pa.binary()), pa.array(names, pa.string())],
+                ["hash", "size", "mark", "item_id"],
+            )
+
+    return run
+
+
+def _counter(through: list[str]):
+    def run(batches):
+        for batch, texts in chunks(batches):
+            counts = pa.array([len(words_of(t)) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in through], counts], [*through, "n_words"])
+
+    return run
+
+
+def _doc_hashes(sizes: list[int], k: int, window: int):
+    def run(batches):
+        memo = WordHashes()
+        for batch, texts in chunks(batches):
+            rows, lengths, lists = [], [], []
+            for row, text in zip(batch.column("_row").to_pylist(), texts, strict=True):
+                for size, _, hashes, _ in fingerprints(words_of(text), sizes, k, window, memo):
+                    rows.append(row)
+                    lengths.append(size)
+                    lists.append(np.unique(hashes))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows, pa.int64()), pa.array(lengths, pa.int32()), pa.array(lists, pa.list_(pa.int64()))],
+                ["_row", "size", "hashes"],
+            )
+
+    return run
+
+
+def _doc_windows(sizes: list[int], k: int, window: int):
+    def run(batches):
+        memo = WordHashes()
+        for batch, texts in chunks(batches):
+            rows, starts, lengths, marks = [], [], [], []
+            own, hits = batch.column("_row").to_pylist(), batch.column("hits").to_pylist()
+            for row, hit, text in zip(own, hits, texts, strict=True):
+                words, wanted = words_of(text), {}
+                for x in hit:
+                    wanted.setdefault(x["size"], []).append(x["hash"])
+                used = [n for n in sizes if n in wanted]
+                for size, places, hashes, reach in fingerprints(words, used, k, window, memo):
+                    seen = -1
+                    for place in places[np.isin(hashes, wanted[size])].tolist():
+                        for start in range(max(0, place - reach, seen + 1), min(place, len(words) - size) + 1):
+                            seen = start
+                            rows.append(row)
+                            starts.append(start)
+                            lengths.append(size)
+                            marks.append(window_key(words[start : start + size]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows, pa.int64()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(marks, pa.binary())],
+                ["_row", "start", "size", "mark"],
+            )
+
+    return run
+
+
+def _merger(batches):
+    for batch in batches:
+        spans = [merged((x["start"], x["end"]) for x in own) for own in batch.column("spans").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(spans, SPAN)], ["_row", "spans"])
+
+
+def _salted(table: DataFrame) -> DataFrame:
+    return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _joined(docs: DataFrame, named: DataFrame, keep: list[str], k: int, window: int) -> DataFrame:
+    """``overlaps`` for a benchmark of any size; ``named``: distinct item_id, text."""
+    through = docs.columns
+    schema = T.StructType([*docs.schema.fields, FOUND["n_words"]])
+    counted = docs.mapInArrow(_counter(through), schema)
+    counted = materialise(counted.withColumn("_row", F.monotonically_increasing_id()), "counted")
+    made = named.mapInArrow(_item_maker(k, window), "hash long, size int, mark binary, item_id string")
+    made = materialise(made, "items")
+    sizes = sorted(r["size"] for r in made.select("size").distinct().collect())
+    salt = F.pmod("_row", F.lit(SALTS)).cast("int").alias("salt")
+
+    texts = counted.select("_row", "text")
+    hashes = texts.mapInArrow(_doc_hashes(sizes, k, window), "_row long, size int, hashes array<long>")
+    hashes = hashes.select("_row", "size", F.explode("hashes").alias("hash"), salt)
+    looked = _salted(made.where("hash is not null").select("size", "hash").distinct())
+    hits = hashes.join(looked, ["size", "hash", "salt"], "left_semi")
+    hits = materialise(hits.groupBy("_row").agg(F.collect_list(F.struct("size", "hash")).alias("hits")), "hits")
+
+    windows = texts.join(hits, "_row").mapInArrow(
+        _doc_windows(sizes, k, window), "_row long, start int, size int, mark binary"
+    )
+    windows = windows.select("_row", "start", "size", "mark", salt)
+    marks = materialise(made.where("mark is not null").select("size", "mark", "item_id").distinct(), "marks")
+    held = windows.join(_salted(marks.select("size", "mark").distinct()), ["size", "mark", "salt"], "left_semi")
+    held = materialise(held, "windows")
+    ends = F.struct("start", (F.col("start") + F.col("size")).alias("end"))
+    spans = held.groupBy("_row").agg(F.collect_list(ends).alias("spans"))
+    merged_type = T.StructType([T.StructField("_row", T.LongType()), FOUND["spans"]])
+    spans = spans.mapInArrow(_merger, merged_type)
+    names = held.select("_row", "size", "mark", "salt").distinct().join(_salted(marks), ["size", "mark", "salt"])
+    names = names.select("_row", "item_id").distinct().groupBy("_row").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    found = materialise(spans.join(names, "_row"), "overlaps")
+    return counted.join(found, "_row", "left").select(
+        *keep,
+        "n_words",
+        F.coalesce("spans", F.array().cast(FOUND["spans"].dataType)).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+    )
+
+
 def overlaps(
     docs: DataFrame,
     items: DataFrame,
@@ -190,20 +337,17 @@ def overlaps(
     named = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(
         F.col("item_id").cast("string").alias("item_id"), "text"
     )
-    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = int(size // block_bytes) + 1
+    named = named.where("text != ''").distinct()
+    size = named.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
     new = [f.name for f in FOUND]
     keep = [c for c in (keep or docs.columns) if c not in new]
     through = list(dict.fromkeys([*keep, "text"]))
-    out = docs.select(*through)
-    for b in range(n_blocks):
-        part = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
-        rows = [(r["item_id"], r["text"].encode()) for r in part.toLocalIterator()]
-        shared = spark.sparkContext.broadcast(build_block(rows, k, window))
-        columns = keep if b + 1 == n_blocks else through
-        schema = T.StructType([docs.schema[c] for c in columns] + FOUND.fields)
-        out = out.mapInArrow(_scanner(shared, k, window, columns, b == 0), schema)
-    return out
+    if size > block_bytes:
+        return _joined(docs.select(*through), named, keep, k, window)
+    rows = [(r["item_id"], r["text"].encode()) for r in named.collect()]
+    shared = spark.sparkContext.broadcast(build_block(rows, k, window))
+    schema = T.StructType([docs.schema[c] for c in keep] + FOUND.fields)
+    return docs.select(*through).mapInArrow(_scanner(shared, k, window, keep), schema)
 
 
 def n_hit(spans="spans"):

@@ -436,6 +436,18 @@ def test_overlaps_against_all_windows(spark, block):
         assert (r["n_words"], r["n_hit"], r["items"]) == brute_overlaps(r["text"], items)
 
 
+def test_repeated_items_do_not_grow_the_broadcast(spark, monkeypatch):
+    built = []
+    build = decontamination.build_block
+    monkeypatch.setattr(decontamination, "build_block", lambda items, *a: built.append(list(items)) or build(items, *a))
+    item, docs = ("one", prose(3, 40)), spark.createDataFrame([(1, prose(3, 40)), (2, prose(4, 40))], "doc_id long, text string")
+    items = spark.createDataFrame([item] * 500 + [("two", prose(5, 40))], "item_id string, text string")
+    got = {r["doc_id"]: r["items"] for r in decontamination.overlaps(docs, items, block_bytes=1500).collect()}
+    assert got == {1: ["one"], 2: []} and [len(x) for x in built] == [2]
+    got = {r["doc_id"]: r["items"] for r in decontamination.overlaps(docs, items, block_bytes=100).collect()}
+    assert got == {1: ["one"], 2: []} and len(built) == 1
+
+
 # 9 -----------------------------------------------------------------------------------------------------------------
 
 
