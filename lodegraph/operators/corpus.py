@@ -116,18 +116,20 @@ def _gram(n: int):
     return lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")
 
 
-def ngram_hits(texts: DataFrame, key: str, text: Column, names: DataFrame, longest: int = 3) -> DataFrame:
+def ngram_hits(texts: DataFrame, key: str, text: Column, names: DataFrame) -> DataFrame:
     """key, name: names (canonical, words between blanks) that stand in the text at word boundaries.
 
-    An equi-join on the text's word n-grams instead of a containment join.
+    An equi-join on the text's word n-grams, of all lengths that names have, instead of a containment join.
     """
+    n_words = F.size(F.filter(F.split("name", " "), lambda w: w != ""))
+    lengths = [r[0] for r in names.select(n_words.alias("n")).where("n > 0").distinct().collect()]
     words = F.filter(F.split(F.trim(text), " "), lambda w: w != "")
     rows = texts.select(key, words.alias("w"))
-    runs = None
-    for n in range(1, longest + 1):
+    runs = F.array().cast("array<string>")
+    for n in sorted(lengths):
         places = F.sequence(F.lit(1), F.size("w") - n + 1)
         grams = F.when(
             F.size("w") >= n, F.transform(places, _gram(n))
         ).otherwise(F.array().cast("array<string>"))
-        runs = grams if runs is None else F.concat(runs, grams)
+        runs = F.concat(runs, grams)
     return rows.select(key, F.explode(F.array_distinct(runs)).alias("name")).join(names, "name")

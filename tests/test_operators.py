@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodegraph.functions import scores, text, web
-from lodegraph.operators import extraction, fusion, graph, tables, vectors
+from lodegraph.operators import corpus, extraction, fusion, graph, tables, vectors
 from lodegraph.sources import lines
 
 
@@ -224,3 +224,10 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     want = tables.token_bucket(table, 2.0, 1.0)
     key = lambda df: sorted(tuple(r) for r in df.select("key", "id", "allowed", "retry_after").collect())
     assert key(got) == key(want)
+
+
+def test_names_of_any_length_are_found(spark):
+    texts = spark.createDataFrame([(1, " the one two three four five way "), (2, " one two three four ")], "id long, text string")
+    names = spark.createDataFrame([("one two three four five",), ("two",)], "name string")
+    got = corpus.ngram_hits(texts, "id", F.col("text"), names).collect()
+    assert sorted((r["id"], r["name"]) for r in got) == [(1, "one two three four five"), (1, "two"), (2, "two")]
