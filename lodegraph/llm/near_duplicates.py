@@ -2,32 +2,39 @@
 
 A document's set is its distinct word shingles (64-bit hashes).  The set is
 dealt over ``BUCKETS`` buckets; each bucket's smallest value is stored as a
-register of a leading-zero count and ten mantissa bits, and an empty bucket
-borrows the register of a filled one, chosen alike in all documents.  Bands of
-registers are hashed; documents that share a band meet.
+register of a leading-zero count and ten mantissa bits.  For the bands an empty
+bucket borrows the register of a filled one, chosen alike in all documents.
+Bands of registers are hashed; documents that share a band meet.
 
-1. Documents with equal sets collapse to one node (the smallest id), so groups of
-   exact copies cost one node whatever their size.
+1. Documents with equal sets collapse to one node, so groups of exact copies
+   cost one node whatever their size.
 2. Each band value joins its nodes to its smallest node only, never to each other.
    Connected components of these edges are families: every pair that shares a
    band is in one family.
-3. Within a family pairs are estimated from their registers (corrected for chance
-   collisions of registers) and those left are confirmed on the full sets.  A
-   family of up to ``FAMILY`` nodes is one small group.  In a larger one a node is
-   first set apart if its shingles that no other member has already rule out any
-   link (exact: they cannot be in an intersection); the rest is cut into blocks
-   and pairs of blocks are compared.  Tasks hold at most two blocks, and return a
-   spanning forest instead of all pairs.
-4. Connected components of the confirmed links give the result.
+3. In a small family all pairs are estimated from the stored registers, corrected
+   for chance collisions.  Only nodes of a pair that can still be a link go on:
+   their full sets are made and confirm the links.
+4. A family beyond ``FAMILY`` nodes or ``SHINGLES`` shingles is cut into chunks.
+   Every chunk is compared within itself and with up to ``HEADS`` heads of the
+   family, which costs each node one row.  What this joins to the family's main
+   component is done, since pairs within a component need no second look; the
+   nodes left outside are compared with all chunks, in blocks.  A group of near
+   copies thus costs its size, and only nodes that resemble it without belonging
+   to it cost more.  Tasks return spanning forests instead of pairs.
+5. Connected components of the confirmed links give the result.
 
 The number of rows per band is chosen so that a pair at the threshold misses
-all bands with a probability below ``MISS``.
+all bands with a probability below ``MISS``.  A pair is dropped by its estimate
+only where a pair at the threshold would show so few equal registers with a
+probability below ``MISS`` (Chernoff's bound; the registers that either document
+fills are a sample of the union without replacement).  All else is exact.
 
 Defined cases: null, empty and wordless texts have no set and link with nothing;
 texts with fewer words than a shingle are one shingle; rows that share an id
-are taken as one document; rows without an id belong to the group of the rows
-with the same set, and are never anyone's ``component_id``; an empty table gives
-an empty result.
+are one document, which links through each of its texts; rows without an id take
+part like all others and belong to the component they link with, but are never
+anyone's ``component_id`` (null where no member has an id); equal sets are ties,
+and the smallest id stands for them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +42,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_TABLE, WordHashes, chunks, materialise
@@ -43,14 +50,15 @@ from .components import components
 
 BUCKETS = 384
 MANTISSA = 10
+#: A register that no value fills.
+EMPTY = np.uint16(0xFFFF)
 MISS = 1e-6
-FAMILY = 400
-#: Estimates this far below the threshold are not confirmed (eight standard errors), from this many shingles on.
-MARGIN, LEAST_ESTIMATED = 0.15, 100
-#: Candidate ids up to this number (16 MB) are broadcast to find their texts; beyond, the texts are shuffled.
+#: Nodes and shingles of a group that one task compares at once.
+FAMILY, SHINGLES = 128, 2_000_000
+#: Nodes of a large family with which all its chunks are compared.
+HEADS = 16
+#: Rows up to this number (some 40 MB) are broadcast to find their sketches and texts; beyond, these are shuffled.
 MOST_BROADCAST = 1_000_000
-#: Nodes without an id get numbers from here on.
-NO_ID = 1 << 62
 
 _EDGES = np.array([-(-b * (1 << 64) // BUCKETS) for b in range(BUCKETS)], dtype=np.uint64)
 _WIDTH = float(1 << 64) / BUCKETS
@@ -81,7 +89,7 @@ def shingle_set(text: bytes, size: int, memo: WordHashes) -> np.ndarray:
 
 
 def registers(values: np.ndarray) -> np.ndarray:
-    """BUCKETS registers of a sorted, non-empty set."""
+    """BUCKETS registers of a sorted, non-empty set; EMPTY where a bucket holds nothing."""
     first = np.searchsorted(values, _EDGES)
     held = np.minimum(first, len(values) - 1)
     low = values[held]
@@ -90,13 +98,20 @@ def registers(values: np.ndarray) -> np.ndarray:
     share = (low - _EDGES).astype(np.float64) / _WIDTH
     mantissa, exponent = np.frexp(np.maximum(share, 2.0**-62))
     out = (np.minimum(-exponent, 62).astype(np.uint16) << MANTISSA) | ((2 * mantissa - 1) * (1 << MANTISSA)).astype(np.uint16)
-    empty = np.flatnonzero(~filled)
-    if len(empty):
-        donors = np.flatnonzero(filled)
-        out[empty] = out[donors[_ORDER[np.ix_(empty, donors)].argmin(axis=1)]]
+    out[~filled] = EMPTY
     return out
 
 
+def borrowed(own: np.ndarray) -> np.ndarray:
+    """The registers with the empty ones filled from others, chosen by the bucket alone."""
+    empty = np.flatnonzero(own == EMPTY)
+    if len(empty):
+        donors = np.flatnonzero(own != EMPTY)
+        own = own.copy()
+        own[empty] = own[donors[_ORDER[np.ix_(empty, donors)].argmin(axis=1)]]
+    return own
+
+
 def rows_per_band(similarity: float) -> int:
     """The most rows per band with which a pair at the threshold is missed less often than MISS."""
     for rows in (12, 8, 6, 4, 3, 2):
@@ -106,49 +121,66 @@ def rows_per_band(similarity: float) -> int:
 
 
 def bands(own: np.ndarray, rows: int) -> np.ndarray:
-    keys = (own.astype(np.uint64) * _BAND).reshape(-1, rows).sum(axis=1, dtype=np.uint64)
+    keys = (borrowed(own).astype(np.uint64) * _BAND).reshape(-1, rows).sum(axis=1, dtype=np.uint64)
     return mixed(keys + np.arange(len(keys), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def estimates(own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of all pairs of rows of registers, corrected for expected chance collisions."""
-    same = np.stack([(own == row).sum(axis=1) for row in own]).astype(np.float64)
+def compared(own: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all pairs of rows of registers: Jaccard estimates, corrected for chance collisions, and registers used."""
+    empty = own == EMPTY
+    same = np.stack([((own == row) & ~no).sum(axis=1) for row, no in zip(own, empty, strict=True)]).astype(np.float64)
+    used = BUCKETS - empty.astype(np.float32) @ empty.astype(np.float32).T
     ratio = np.minimum.outer(sizes, sizes) / np.maximum.outer(sizes, sizes)
-    chance = 0.1699 * BUCKETS / (1 << MANTISSA) * 4 * ratio / np.square(1 + ratio)
-    return (same - chance) / (BUCKETS - chance)
+    chance = 0.1699 * used / (1 << MANTISSA) * 4 * ratio / np.square(1 + ratio)
+    return (same - chance) / (used - chance), used
+
+
+def estimates(own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return compared(own, sizes)[0]
+
+
+def possible(own: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs can be links: by their sizes, and by estimates that a link shows with a probability of MISS or more."""
+    least = percent / 100
+    guess, used = compared(own, sizes)
+    low = np.clip(guess, 1e-9, least)
+    away = low * np.log(low / least) + (1 - low) * np.log((1 - low) / (1 - least)) if least < 1 else np.where(low < 1, np.inf, 0)
+    out = used * away <= 1 - np.log(MISS)
+    out &= 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
+    np.fill_diagonal(out, False)
+    return out
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections."""
+def intersections(sets: list[np.ndarray], rows: int) -> np.ndarray:
+    """Sizes of the intersections of the first ``rows`` sets with all sets."""
     owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, number, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = counts[number] > 1
     column = np.cumsum(counts > 1)[number[shared]] - 1
     owners = owners[shared]
-    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    out = np.zeros((rows, len(sets)), dtype=np.float64)
     order = np.argsort(column, kind="stable")
     owners, column = owners[order], column[order]
     for begin in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
         a, b = np.searchsorted(column, [begin, begin + 4096])
         part = np.zeros((len(sets), 4096), dtype=np.float32)
         part[owners[a:b], column[a:b] - begin] = 1
-        out += part @ part.T
+        out += part[:rows] @ part.T
     return out.astype(np.int64)
 
 
-def linked_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """(i, j) of all pairs with i < j whose Jaccard similarity is at least ``percent`` hundredths."""
+def linked_pairs(sets: list[np.ndarray], own: np.ndarray, percent: int, rows: int) -> np.ndarray:
+    """(i, j) with i < ``rows`` of all pairs whose Jaccard similarity is at least ``percent`` hundredths."""
     sizes = np.array([len(s) for s in sets])
-    guess = estimates(np.stack([registers(s) for s in sets]), sizes) >= percent / 100 - MARGIN
-    guess |= np.minimum.outer(sizes, sizes) < LEAST_ESTIMATED
-    guess &= 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
-    np.fill_diagonal(guess, False)
-    used = np.flatnonzero(guess.any(axis=1))
+    may = possible(own, sizes, percent)
+    may[rows:, rows:] = False
+    used = np.flatnonzero(may.any(axis=1))
     if not len(used):
         return np.zeros((0, 2), dtype=np.int64)
-    common = intersections([sets[i] for i in used])
-    union = sizes[used][:, None] + sizes[used][None, :] - common
-    i, j = np.nonzero(np.triu(100 * common >= percent * union, 1))
+    left = int((used < rows).sum())
+    common = intersections([sets[i] for i in used], left)
+    union = sizes[used][:left, None] + sizes[used][None, :] - common
+    i, j = np.nonzero((100 * common >= percent * union) & may[np.ix_(used[:left], used)])
     return np.stack([used[i], used[j]], axis=1)
 
 
@@ -175,46 +207,77 @@ def _sketcher(size: int, rows: int):
     def run(batches):
         memo = WordHashes()
         for batch, texts in chunks(batches):
-            counts, seals, keys = [], [], []
+            counts, seals, keys, held = [], [], [], []
             for text in texts:
-                own = shingle_set(text, size, memo)
-                counts.append(len(own))
-                seals.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                keys.append(bands(registers(own), rows) if len(own) else np.zeros(0, dtype=np.int64))
+                values = shingle_set(text, size, memo)
+                own = registers(values) if len(values) else None
+                counts.append(len(values))
+                seals.append(None if own is None else xxhash.xxh3_128_digest(values.tobytes()))
+                keys.append(np.zeros(0, dtype=np.int64) if own is None else bands(own, rows))
+                held.append(None if own is None else own.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("mark"),
                     pa.array(counts, pa.int64()),
                     pa.array(seals, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(held, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "seal", "bands"],
+                ["doc_id", "mark", "n_shingles", "seal", "bands", "registers"],
             )
 
     return run
 
 
+def _register_rows(column: pa.ChunkedArray) -> np.ndarray:
+    return np.stack([np.frombuffer(x, dtype=np.uint16) for x in column.to_pylist()])
+
+
+def _estimator(percent: int):
+    """A small family by its registers to the parts that links can join; nodes without any such pair go."""
+
+    def run(group: pa.Table) -> pa.Table:
+        nodes, sizes = group.column("node").to_numpy(), group.column("n_shingles").to_numpy()
+        pairs = np.argwhere(np.triu(possible(_register_rows(group.column("registers")), sizes, percent)))
+        parts = forest(nodes, pairs)
+        parts += [(b, b) for b in {b for _, b in parts}]
+        return pa.table(
+            {"family": pa.array([b for _, b in parts], pa.int64()), "node": pa.array([a for a, _ in parts], pa.int64())}
+        )
+
+    return run
+
+
+SETS = "family long, chunk int, node long, registers binary, shingles array<long>"
+
+
 def _setter(size: int):
     def run(batches):
         memo = WordHashes()
         for batch, texts in chunks(batches):
             sets = [shingle_set(t, size, memo).view(np.int64) for t in texts]
+            keep = ["family", "chunk", "node", "registers"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("family"), batch.column("node"), pa.array(sets, pa.list_(pa.int64()))],
-                ["family", "node", "shingles"],
+                [*[batch.column(c) for c in keep], pa.array(sets, pa.list_(pa.int64()))], [*keep, "shingles"]
             )
 
     return run
 
 
 def _linker(percent: int):
+    """A spanning forest of a group's links; with a column ``outside`` only of links of the nodes where it is true."""
+
     def run(group: pa.Table) -> pa.Table:
+        if "outside" in group.column_names:
+            group = group.sort_by([("outside", "descending")])
         group = group.combine_chunks()
         nodes = group.column("node").to_numpy()
         column = group.column("shingles").combine_chunks()
         flat, cuts = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy() - column.offsets[0].as_py()
         sets = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        edges = forest(nodes, linked_pairs(sets, percent))
+        rows = int(group.column("outside").to_numpy().sum()) if "outside" in group.column_names else len(sets)
+        edges = forest(nodes, linked_pairs(sets, _register_rows(group.column("registers")), percent, rows))
         return pa.table(
             {"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())}
         )
@@ -222,16 +285,44 @@ def _linker(percent: int):
     return run
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: a spanning forest of the confirmed links within each family of ``sets`` (family, node, shingles)."""
-    sizes = sets.groupBy("family").agg(F.count("*").alias("members"))
-    sized = sets.join(materialise(sizes, "families"), "family")
-    link = _linker(percent)
-    small = sized.where(F.col("members") <= FAMILY).groupBy("family").applyInArrow(link, "a long, b long")
+EDGES = "a long, b long"
 
-    large = materialise(sized.where(F.col("members") > FAMILY), "large-families")
-    if large.isEmpty():
-        return small
+
+def _bounded(rows: DataFrame) -> DataFrame:
+    """``rows`` as the broadcast side of a join, if they are few."""
+    return F.broadcast(rows) if rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else rows
+
+
+def _parts(n: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(n / F.lit(FAMILY)), F.ceil(shingles / F.lit(SHINGLES))).cast("int")
+
+
+def _dealt(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(4)), parts).cast("int")
+
+
+def _large_links(large: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join what is linked in large families: ``large`` (SETS), ``families`` (family, parts)."""
+    link = _linker(percent)
+    order = Window.partitionBy("family").orderBy(F.xxhash64("node"))
+    fit = large.where(F.size("shingles") <= SHINGLES // HEADS).select("family", "node")
+    heads = fit.withColumn("place", F.row_number().over(order)).where(F.col("place") <= HEADS)
+    heads = materialise(heads.select("family", "node"), "heads")
+    copies = large.join(heads, ["family", "node"], "left_semi").join(families, "family")
+    copies = copies.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("to <> chunk")
+    rows = large.unionByName(copies.withColumn("chunk", F.col("to")).select(*large.columns))
+    near = materialise(rows.groupBy("family", "chunk").applyInArrow(link, EDGES), "chunk-links")
+
+    found = components(near)
+    placed = large.select("family", "node").join(found, "node", "left")
+    placed = placed.select("family", "node", F.coalesce("component", "node").alias("component"))
+    sizes = placed.groupBy("family", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("family").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+    outside = placed.join(main, "family").where("component <> main").select("family", "node")
+    outside = materialise(outside.join(heads, ["family", "node"], "left_anti"), "outside")
+    if outside.isEmpty():
+        return near
+    # shingles that no other member has cannot be in an intersection: enough of them rule out any link
     single = (
         large.select("family", "node", F.explode("shingles").alias("shingle"))
         .groupBy("family", "shingle")
@@ -240,22 +331,57 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         .groupBy("node")
         .agg(F.count("*").alias("alone"))
     )
-    able = large.join(materialise(single, "alone"), "node", "left").where(
-        100 * (F.size("shingles") - F.coalesce("alone", F.lit(0))) >= percent * F.size("shingles")
+    own = F.size("shingles")
+    able = large.join(outside, ["family", "node"], "left_semi").join(single, "node", "left")
+    able = materialise(
+        able.where(100 * (own - F.coalesce("alone", F.lit(0))) >= percent * own).select(*large.columns), "able"
     )
-    able = materialise(able.select("family", "node", "shingles"), "able")
-    counted = able.groupBy("family").agg(F.ceil(F.count("*") / F.lit(FAMILY)).cast("int").alias("blocks"))
-    blocked = able.join(materialise(counted, "blocks"), "family").withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    blocks = able.groupBy("family").agg(_parts(F.count("*"), F.sum(own)).alias("blocks"))
+    blocks = materialise(blocks.join(families, "family"), "blocks")
+    block = _dealt(F.col("blocks")).alias("block")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = able.join(blocks, "family").select("family", block, every("parts").alias("chunk"), "node", "registers", "shingles")
+    others = large.join(blocks, "family").select("family", every("blocks").alias("block"), "chunk", "node", "registers", "shingles")
+    apart = others.join(able.select("node"), "node", "left_anti").select(*asked.columns)
+    mixed_rows = asked.withColumn("outside", F.lit(True)).unionByName(apart.withColumn("outside", F.lit(False)))
+    # nodes of two blocks meet where one of them is dealt into a chunk, as all others are
+    twice = able.join(blocks, "family").withColumn("own", block)
+    twice = twice.select("family", every("blocks").alias("block"), "chunk", "node", "registers", "shingles", "own").where("block <> own")
+    mixed_rows = mixed_rows.unionByName(twice.drop("own").withColumn("outside", F.lit(False)))
+    far = mixed_rows.groupBy("family", "block", "chunk").applyInArrow(link, EDGES)
+    return near.unionByName(far)
+
+
+def _links(members: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """a, b: links that join what is linked in each family of ``members`` (family, node, n_shingles, doc_id, mark, registers)."""
+    families = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    small = (F.col("n") <= FAMILY) & (F.col("shingles") <= SHINGLES)
+    families = materialise(
+        families.select("family", F.when(small, 0).otherwise(_parts(F.col("n"), F.col("shingles"))).alias("parts")), "families"
     )
-    dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "family",
-        F.least("block", "other").alias("one"),
-        F.greatest("block", "other").alias("two"),
-        "node",
-        "shingles",
+    sized = members.join(families, "family")
+    suspects = materialise(
+        sized.where("parts = 0")
+        .select("family", "node", "n_shingles", "registers")
+        .groupBy("family")
+        .applyInArrow(_estimator(percent), "family long, node long"),
+        "suspects",
     )
-    return small.unionByName(dealt.groupBy("family", "one", "two").applyInArrow(link, "a long, b long"))
+    own = ["family", "chunk", "node", "doc_id", "mark", "registers"]
+    few = members.drop("family").join(suspects, "node").withColumn("chunk", F.lit(-1)).select(*own)
+    wanted = few.unionByName(sized.where("parts > 0").withColumn("chunk", _dealt(F.col("parts"))).select(*own))
+    wanted = materialise(wanted, "wanted")
+    texts = docs.withColumnRenamed("doc_id", "of").withColumn("at", F.xxhash64("text"))
+    same = texts["of"].eqNullSafe(wanted["doc_id"]) & (texts["at"] == wanted["mark"])
+    found = texts.join(_bounded(wanted), same).select("family", "chunk", "node", "registers", "text")
+    sets = materialise(found.mapInArrow(_setter(shingle), SETS), "sets")
+    if sets.count() > wanted.count():  # rows repeated with their id and text
+        sets = materialise(sets.dropDuplicates(["node"]), "sets")
+    links = sets.where("chunk < 0").groupBy("family").applyInArrow(_linker(percent), EDGES)
+    large = families.where("parts > 0")
+    if large.isEmpty():
+        return links
+    return links.unionByName(_large_links(sets.where("chunk >= 0"), large, percent))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -266,43 +392,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows_per_band(percent / 100)
-    sketched = materialise(
-        docs.mapInArrow(_sketcher(shingle, rows), "doc_id long, n_shingles long, seal binary, bands array<long>"),
-        "sketches",
+    sketched = docs.withColumn("mark", F.xxhash64("text")).mapInArrow(
+        _sketcher(shingle, rows),
+        "doc_id long, mark long, n_shingles long, seal binary, bands array<long>, registers binary",
     )
-    without_id = F.lit(NO_ID) + F.pmod(F.xxhash64("seal"), F.lit(1 << 60))
+    sketched = materialise(sketched.withColumn("row", F.monotonically_increasing_id()), "sketches")
     nodes = materialise(
-        sketched.where(F.col("seal").isNotNull())
-        .groupBy("seal")
-        .agg(F.min("doc_id").alias("id"))
-        .select("seal", F.coalesce("id", without_id).alias("node")),
+        sketched.where(F.col("seal").isNotNull()).groupBy("seal").agg(F.min("row").alias("node"), F.min("doc_id").alias("id")),
         "nodes",
     )
-    first = sketched.select(
-        F.col("seal").alias("own_seal"), F.coalesce("doc_id", without_id).alias("own"), "bands"
-    ).join(nodes, (F.col("seal") == F.col("own_seal")) & (F.col("node") == F.col("own")))
+    heads = nodes.select("node")
+    first = sketched.select(F.col("row").alias("node"), "bands").join(heads, "node", "left_semi")
     keys = first.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
     shared = materialise(shared.where("least < most").select("key", "least"), "bands")
     met = keys.join(shared, "key").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     families = components(met.distinct())
     heads = families.select(F.col("component").alias("node"), F.col("component").alias("family")).distinct()
-    members = materialise(
-        families.select("node", F.col("component").alias("family")).unionByName(heads), "members"
-    )
-    if members.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        members = F.broadcast(members)
-    texts = docs.withColumn("node", F.col("doc_id"))
-    sets = texts.join(members, "node").select("family", "node", "text").mapInArrow(
-        _setter(shingle), "family long, node long, shingles array<long>"
+    placed = materialise(families.select("node", F.col("component").alias("family")).unionByName(heads), "placed")
+    of_row = sketched.select(F.col("row").alias("node"), "doc_id", "mark", "n_shingles", "registers")
+    members = materialise(of_row.join(_bounded(placed), "node"), "members")
+
+    rows_of = sketched.select("doc_id", "n_shingles", "seal").join(nodes.select("seal", "node"), "seal", "left")
+    rows_of = materialise(rows_of.drop("seal"), "rows")
+    by_id = rows_of.where("doc_id is not null and node is not null").groupBy("doc_id")
+    several = by_id.agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("doc_id", "b")
+    same_id = rows_of.join(several, "doc_id").select(F.col("node").alias("a"), "b").where("a > b").distinct()
+    joined = materialise(components(_links(members, docs, shingle, percent).unionByName(same_id)), "components")
+
+    roots = joined.withColumnRenamed("component", "root")
+    of_root = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("id").alias("least"))
+    out = rows_of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(of_root, "root", "left")
+    reached = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return out.select("doc_id", "n_shingles", reached.alias("component_id")).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
-    links = components(_links(materialise(sets, "sets"), percent))
-
-    placed = sketched.select("doc_id", "n_shingles", "seal").join(nodes, "seal", "left")
-    joined = placed.join(links, "node", "left")
-    reached = F.coalesce("component", "node", "doc_id")
-    return joined.select(
-        "doc_id",
-        "n_shingles",
-        F.when(reached < NO_ID, reached).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

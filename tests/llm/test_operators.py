@@ -256,6 +256,83 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, family, size, per
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def edited(words, rng, n):
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"{rng.choice(WORDS)}{rng.randrange(1 << 30)}"
+    return " ".join(words)
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    a, b, c = prose(900), prose(901), prose(902)
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (9, b), (4, c)], "doc_id long, text string")
+    got = near_duplicates.near_duplicates(docs, 3, 85).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == sorted(
+        [(3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False), (9, 3, False), (4, 4, True)]
+    )
+
+
+def test_rows_without_an_id_keep_their_links(spark):
+    """A near copy without an id joins two texts that are too far from each other."""
+    rng, base = random.Random(1), prose(903, 200).split()
+    middle = edited(base, rng, 4)
+    far = edited(middle.split(), rng, 4)
+    texts = {1: " ".join(base), 2: far, None: middle}
+    sets, _ = brute_components({1: texts[1], 2: far, 3: middle}, 3, 85)
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert near(1, 2) < 0.85 <= min(near(1, 3), near(2, 3))
+    rows = [*texts.items(), (None, edited(prose(904, 200).split(), rng, 1)), (None, prose(904, 200))]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [
+        (0, 0, True), (0, 0, True), (0, 1, False), (1, 1, True), (2, 1, False)
+    ]
+
+
+def test_a_large_family_with_members_on_its_rim(spark):
+    """Near copies of one text, texts that only some of them link with, and texts that resemble all and link with none."""
+    rng, base = random.Random(2), prose(905, 150).split()
+    texts = {i: edited(base, rng, rng.choice([0, 1, 2])) for i in range(60)}
+    for i in range(60, 120):
+        texts[i] = edited(texts[rng.randrange(60)].split(), rng, rng.choice([3, 4, 5, 6, 8]))
+    for i in range(120, 150):
+        texts[i] = edited(texts[rng.randrange(60, 120)].split(), rng, rng.choice([2, 3, 4]))
+    _, group = brute_components(texts, 3, 85)
+    assert 5 < len(set(group.values())) < 100
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for family in (16, 400):
+        old, near_duplicates.FAMILY = near_duplicates.FAMILY, family
+        try:
+            got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(docs, 3, 85).collect()}
+        finally:
+            near_duplicates.FAMILY = old
+        assert got == group
+
+
+def test_five_thousand_near_copies(spark):
+    rng, base = random.Random(3), prose(906, 90).split()
+    docs = spark.createDataFrame([(i, edited(base, rng, 1)) for i in range(5000)], "doc_id long, text string").repartition(8)
+    got = near_duplicates.near_duplicates(docs, 3, 85).groupBy("component_id").count().collect()
+    assert [tuple(r) for r in got] == [(0, 5000)]
+
+
+def test_estimates_drop_no_link():
+    """At the threshold every pair stays possible, at half of it hardly any does."""
+    rng = np.random.default_rng(6)
+    lost = kept = 0
+    for n in (5, 20, 60, 100, 150, 300, 1000) * 30:
+        common = -(-85 * 2 * n // 185)
+        pool = np.unique(rng.integers(0, 1 << 63, 3 * n + 9, dtype=np.uint64) * np.uint64(2))
+        pool = pool[rng.permutation(len(pool))]
+        for share in (common, n // 2):
+            x, y = np.sort(pool[:n]), np.sort(np.concatenate([pool[:share], pool[n : 2 * n - share]]))
+            may = near_duplicates.possible(np.stack([near_duplicates.registers(v) for v in (x, y)]), np.array([n, n]), 85)[0, 1]
+            if share == common:
+                lost += not may
+            else:
+                kept += may
+    assert lost == 0 and kept < 0.5 * 210
+
+
 def test_register_estimates():
     rng = np.random.default_rng(1)
     for n, share in ((2000, 0.9), (300, 0.85), (60, 0.9), (3000, 0.2)):
