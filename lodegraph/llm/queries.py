@@ -197,8 +197,9 @@ FROM ruled
 """
 
 OP10_SQL = r"""
-WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         substr(md5('10:' || coalesce(doc_id::VARCHAR, '-') || ':' || coalesce(text, '')), 1, 13) AS hash
   FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 dealt AS (
@@ -215,13 +216,35 @@ targets AS (
   SELECT source, source_size, CASE WHEN cap / weight <= level THEN cap ELSE stand * weight END AS target
   FROM levels, stand),
 rates AS (
-  SELECT doc_id, size, t.source_size, target,
-         CASE WHEN t.source_size > 0 THEN target / t.source_size ELSE 0 END AS rate,
-         ('0x' || substr(md5('10:' || coalesce(doc_id::VARCHAR, '-')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS coin
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets),
+bits AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS bits FROM sized),
+placed AS (
+  SELECT doc_id, source, size, (bits * 16 + CASE WHEN bits > 4 THEN size >> (bits - 4) ELSE size END)::INT AS stratum, hash
+  FROM bits),
+strata AS (
+  SELECT source, stratum, count(*) AS n, sum(size)::BIGINT AS words,
+         row_number() OVER (PARTITION BY source ORDER BY stratum DESC) AS k,
+         (sum(sum(size)) OVER (PARTITION BY source) - sum(sum(size)) OVER (PARTITION BY source ORDER BY stratum DESC)
+          + sum(size))::BIGINT AS words_left,
+         ('0x' || substr(md5('10:' || coalesce(source, '-') || ':' || stratum), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM placed GROUP BY source, stratum),
+steps AS (
+  SELECT s.*, rate - floor(rate) AS fraction FROM strata s JOIN rates r ON r.source IS NOT DISTINCT FROM s.source),
+fold AS (
+  SELECT source, 0::BIGINT AS k, -1 AS stratum, 0::DOUBLE AS copies, fraction * words_left AS lacks FROM steps WHERE k = 1
+  UNION ALL
+  SELECT source, k, stratum, floor(share * n + u), lacks - floor(share * n + u) * (words::DOUBLE / n)
+  FROM (SELECT s.source, s.k, s.stratum, s.n, s.words, s.u, f.lacks, CASE WHEN words_left > 0
+               THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, f.lacks / words_left)) ELSE fraction END AS share
+        FROM fold f JOIN steps s ON s.source IS NOT DISTINCT FROM f.source AND s.k = f.k + 1)),
+lasts AS (
+  SELECT p.source, p.stratum, list_sort(list(hash))[any_value(copies)::INT] AS last
+  FROM placed p JOIN fold f ON f.source IS NOT DISTINCT FROM p.source AND f.stratum = p.stratum WHERE copies > 0
+  GROUP BY p.source, p.stratum)
 SELECT doc_id, size, source_size, target,
-       (size * (floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM rates
+       (size * (floor(rate) + CASE WHEN hash <= last THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM placed p JOIN rates r ON r.source IS NOT DISTINCT FROM p.source
+LEFT JOIN lasts l ON l.source IS NOT DISTINCT FROM p.source AND l.stratum = p.stratum
 """
 
 

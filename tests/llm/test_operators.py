@@ -616,6 +616,49 @@ def test_mix_takes_what_it_should_and_agrees_with_itself(spark):
     assert {r["doc_id"]: r["count"] for r in emitted} == {r["doc_id"]: r["copies"] for r in rows if r["copies"]}
 
 
-def test_coin_is_the_documented_hash(spark):
-    value = spark.range(1).select(mixing.coin(F.lit(42), 10).alias("c")).first()["c"]
-    assert value == int(hashlib.md5(b"10:42").hexdigest()[:13], 16) / 2**52
+def test_draws_are_the_documented_hashes(spark):
+    one = spark.createDataFrame([(42, "a\nb", "s")], "doc_id long, text string, source string")
+    key, u = one.select(mixing.draw(F.col("doc_id"), F.col("text"), 10), mixing.uniform(10, F.col("source"), F.lit(5))).first()
+    assert key == hashlib.md5(b"10:42:a\nb").hexdigest()[:13]
+    assert u == int(hashlib.md5(b"10:s:5").hexdigest()[:13], 16) / 2**52
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in (0, 1, 15, 16, 17, 18, 255)], "n long").select(mixing.stratum(F.col("n"))).collect()] == [
+        0, 17, 79, 88, 88, 89, 143
+    ]
+
+
+def test_every_document_keeps_its_probability_and_each_source_its_target(spark):
+    """Over many seeds: sources of few documents of very unlike sizes, one of them an eighth of its source."""
+    rng = random.Random(8)
+    rows = [(i, "w " * n, s) for s in "abc" for i, n in enumerate([300, 150] + [rng.randint(1, 90) for _ in range(38)], {"a": 0, "b": 100, "c": 200}[s])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).cache()
+    seen, runs = collections.Counter(), 8
+    for seed in range(runs):
+        taken, target = collections.Counter(), {}
+        for r in mixing.mix(docs, seed).collect():
+            taken[r["source"]] += r["copies"] * r["size"]
+            target[r["source"]], seen[r["doc_id"]] = r["target"], seen[r["doc_id"]] + r["copies"]
+        assert all(taken[s] == pytest.approx(t, rel=0.05) for s, t in target.items())
+    rate = {s: target[s] / sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    for s, first in (("a", 0), ("b", 100), ("c", 200)):
+        assert sum(seen[first + i] for i in range(40)) / 40 / runs == pytest.approx(rate[s], abs=0.15)
+        assert abs(seen[first] / runs - rate[s]) < 0.55
+
+
+def test_mix_with_columns_named_like_its_own(spark):
+    names = ["size", "source_size", "target", "copies", "mix_source", "_mix", "_row", "_source", "_stratum", "of", "hash", "copy", "stratum"]
+    docs = spark.createDataFrame([(i, "w " * (i % 7), "ab"[i % 2]) for i in range(50)] + [(None, None, None), (None, "x y", "a")], "doc_id long, text string, source string")
+    plain = sorted((r["doc_id"] or -1, r["size"], r["copies"]) for r in mixing.mix(docs).collect())
+    for c in names:
+        docs = docs.withColumn(c, F.lit("kept"))
+    got = mixing.mix(docs)
+    assert sorted((r["doc_id"] or -1, r["size"], r["copies"]) for r in got.collect()) == plain
+    assert len(got.columns) == len(set(got.columns)) and got.where("hash <> 'kept' or mix_source <> 'kept'").count() == 0
+    out = mixing.emit(docs)
+    assert sorted(out.columns) == sorted(docs.columns) and out.where("copy < 1 or target <> 'kept'").count() == 0
+    assert out.count() == sum(c for _, _, c in plain)
+
+
+def test_ties_and_repeated_rows_are_taken_alike(spark):
+    docs = spark.createDataFrame([(1, "a b", "s")] * 40 + [(i, "a b", "s") for i in range(2, 60)] + [(99, "w " * 400, "t")], "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert len({r["copies"] for r in got if r["doc_id"] == 1}) == 1 and len(got) == docs.count()
