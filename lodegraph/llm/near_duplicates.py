@@ -14,9 +14,10 @@ Bands of registers are hashed; documents that share a band meet.
 3. In a small family all pairs are estimated from the stored registers, corrected
    for chance collisions.  Only nodes of a pair that can still be a link go on:
    their full sets are made and confirm the links.
-4. A family beyond ``FAMILY`` nodes or ``SHINGLES`` shingles is cut into chunks.
-   Every chunk is compared within itself and with up to ``HEADS`` heads of the
-   family, which costs each node one row.  What this joins to the family's main
+4. In a family beyond ``FAMILY`` nodes or ``SHINGLES`` shingles nodes go whose
+   shingles that no other member has already rule out any link; the rest is cut into
+   chunks.  Every chunk is compared within itself and with up to ``HEADS`` heads of
+   the family, which costs each node one row.  What this joins to the family's main
    component is done, since pairs within a component need no second look; the
    nodes left outside are compared with all chunks, in blocks.  A group of near
    copies thus costs its size, and only nodes that resemble it without belonging
@@ -57,6 +58,8 @@ MISS = 1e-6
 FAMILY, SHINGLES = 128, 2_000_000
 #: Nodes of a large family with which all its chunks are compared.
 HEADS = 16
+#: Heads whose shingles need not be counted.
+SHARED = 4
 #: Rows up to this number (some 40 MB) are broadcast to find their sketches and texts; beyond, these are shuffled.
 MOST_BROADCAST = 1_000_000
 
@@ -169,10 +172,17 @@ def intersections(sets: list[np.ndarray], rows: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def linked_pairs(sets: list[np.ndarray], own: np.ndarray, percent: int, rows: int) -> np.ndarray:
-    """(i, j) with i < ``rows`` of all pairs whose Jaccard similarity is at least ``percent`` hundredths."""
+def linked_pairs(sets: list[np.ndarray], own: np.ndarray | None, percent: int, rows: int) -> np.ndarray:
+    """(i, j) with i < ``rows`` of all pairs whose Jaccard similarity is at least ``percent`` hundredths.
+
+    ``own``: the registers, if pairs are to be estimated before.
+    """
     sizes = np.array([len(s) for s in sets])
-    may = possible(own, sizes, percent)
+    if own is not None:
+        may = possible(own, sizes, percent)
+    else:
+        may = 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
+        np.fill_diagonal(may, False)
     may[rows:, rows:] = False
     used = np.flatnonzero(may.any(axis=1))
     if not len(used):
@@ -249,7 +259,7 @@ def _estimator(percent: int):
     return run
 
 
-SETS = "family long, chunk int, node long, registers binary, shingles array<long>"
+SETS = "family long, chunk int, node long, shingles array<long>"
 
 
 def _setter(size: int):
@@ -257,7 +267,7 @@ def _setter(size: int):
         memo = WordHashes()
         for batch, texts in chunks(batches):
             sets = [shingle_set(t, size, memo).view(np.int64) for t in texts]
-            keep = ["family", "chunk", "node", "registers"]
+            keep = ["family", "chunk", "node"]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array(sets, pa.list_(pa.int64()))], [*keep, "shingles"]
             )
@@ -266,7 +276,10 @@ def _setter(size: int):
 
 
 def _linker(percent: int):
-    """A spanning forest of a group's links; with a column ``outside`` only of links of the nodes where it is true."""
+    """A spanning forest of a group's links, estimated before where the rows have registers.
+
+    With a column ``outside`` only links of the nodes where it is true are looked for.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         if "outside" in group.column_names:
@@ -277,7 +290,8 @@ def _linker(percent: int):
         flat, cuts = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy() - column.offsets[0].as_py()
         sets = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         rows = int(group.column("outside").to_numpy().sum()) if "outside" in group.column_names else len(sets)
-        edges = forest(nodes, linked_pairs(sets, _register_rows(group.column("registers")), percent, rows))
+        own = _register_rows(group.column("registers")) if "registers" in group.column_names else None
+        edges = forest(nodes, linked_pairs(sets, own, percent, rows))
         return pa.table(
             {"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())}
         )
@@ -301,87 +315,92 @@ def _dealt(parts: Column) -> Column:
     return F.pmod(F.xxhash64("node", F.lit(4)), parts).cast("int")
 
 
-def _large_links(large: DataFrame, families: DataFrame, percent: int) -> DataFrame:
-    """a, b: links that join what is linked in large families: ``large`` (SETS), ``families`` (family, parts)."""
+def _able(large: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Nodes of large families without those whose shingles that no other member has already rule out any link.
+
+    Such shingles cannot be in an intersection, so this is exact.  Shingles of
+    some heads are known to be shared; only the others are counted one by one.
+    """
+    some = large.join(heads.where(F.col("place") <= SHARED), ["family", "node"], "left_semi")
+    held = some.groupBy("family").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("held"))
+    rest = large.join(materialise(held, "held"), "family", "left")
+    rest = rest.join(some.select("node"), "node", "left_anti").select(
+        "family", "node", F.explode(F.array_except("shingles", F.coalesce("held", F.array().cast("array<long>")))).alias("shingle")
+    )
+    single = rest.groupBy("family", "shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    alone = materialise(single.groupBy("node").agg(F.count("*").alias("alone")), "alone")
+    own = F.size("shingles")
+    able = large.join(alone, "node", "left").where(100 * (own - F.coalesce("alone", F.lit(0))) >= percent * own)
+    return able.select(*large.columns)
+
+
+def _large_links(large: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join what is linked in large families: ``large`` (SETS and registers)."""
     link = _linker(percent)
+    own = F.size("shingles")
     order = Window.partitionBy("family").orderBy(F.xxhash64("node"))
-    fit = large.where(F.size("shingles") <= SHINGLES // HEADS).select("family", "node")
+    fit = large.where(own <= SHINGLES // HEADS).select("family", "node")
     heads = fit.withColumn("place", F.row_number().over(order)).where(F.col("place") <= HEADS)
-    heads = materialise(heads.select("family", "node"), "heads")
-    copies = large.join(heads, ["family", "node"], "left_semi").join(families, "family")
-    copies = copies.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("to <> chunk")
-    rows = large.unionByName(copies.withColumn("chunk", F.col("to")).select(*large.columns))
+    heads = materialise(heads, "heads")
+    able = materialise(_able(large, heads, percent), "able")
+    families = able.groupBy("family").agg(_parts(F.count("*"), F.sum(own)).alias("parts"))
+    families = materialise(families, "parts")
+    able = able.drop("chunk").join(families, "family").withColumn("chunk", _dealt(F.col("parts"))).select(*large.columns)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    copies = able.join(heads, ["family", "node"], "left_semi").join(families, "family").withColumn("to", every("parts"))
+    rows = able.unionByName(copies.where("to <> chunk").withColumn("chunk", F.col("to")).select(*large.columns))
     near = materialise(rows.groupBy("family", "chunk").applyInArrow(link, EDGES), "chunk-links")
 
     found = components(near)
-    placed = large.select("family", "node").join(found, "node", "left")
+    placed = able.select("family", "node").join(found, "node", "left")
     placed = placed.select("family", "node", F.coalesce("component", "node").alias("component"))
     sizes = placed.groupBy("family", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("family").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
     outside = placed.join(main, "family").where("component <> main").select("family", "node")
-    outside = materialise(outside.join(heads, ["family", "node"], "left_anti"), "outside")
+    outside = materialise(outside.join(heads.select("node"), "node", "left_anti"), "outside")
     if outside.isEmpty():
         return near
-    # shingles that no other member has cannot be in an intersection: enough of them rule out any link
-    single = (
-        large.select("family", "node", F.explode("shingles").alias("shingle"))
-        .groupBy("family", "shingle")
-        .agg(F.count("*").alias("n"), F.min("node").alias("node"))
-        .where("n = 1")
-        .groupBy("node")
-        .agg(F.count("*").alias("alone"))
-    )
-    own = F.size("shingles")
-    able = large.join(outside, ["family", "node"], "left_semi").join(single, "node", "left")
-    able = materialise(
-        able.where(100 * (own - F.coalesce("alone", F.lit(0))) >= percent * own).select(*large.columns), "able"
-    )
-    blocks = able.groupBy("family").agg(_parts(F.count("*"), F.sum(own)).alias("blocks"))
+    asked = able.join(outside, ["family", "node"], "left_semi")
+    blocks = asked.groupBy("family").agg(_parts(F.count("*"), F.sum(own)).alias("blocks"))
     blocks = materialise(blocks.join(families, "family"), "blocks")
-    block = _dealt(F.col("blocks")).alias("block")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = able.join(blocks, "family").select("family", block, every("parts").alias("chunk"), "node", "registers", "shingles")
-    others = large.join(blocks, "family").select("family", every("blocks").alias("block"), "chunk", "node", "registers", "shingles")
-    apart = others.join(able.select("node"), "node", "left_anti").select(*asked.columns)
-    mixed_rows = asked.withColumn("outside", F.lit(True)).unionByName(apart.withColumn("outside", F.lit(False)))
-    # nodes of two blocks meet where one of them is dealt into a chunk, as all others are
-    twice = able.join(blocks, "family").withColumn("own", block)
-    twice = twice.select("family", every("blocks").alias("block"), "chunk", "node", "registers", "shingles", "own").where("block <> own")
-    mixed_rows = mixed_rows.unionByName(twice.drop("own").withColumn("outside", F.lit(False)))
-    far = mixed_rows.groupBy("family", "block", "chunk").applyInArrow(link, EDGES)
-    return near.unionByName(far)
+    columns = ["family", "block", "chunk", "node", "registers", "shingles"]
+    mine = _dealt(F.col("blocks"))
+    ask = asked.drop("chunk").join(blocks, "family").withColumn("block", mine).withColumn("chunk", every("parts"))
+    # all that is no member of the block itself meets it, chunk by chunk
+    meet = able.join(outside.withColumn("out", F.lit(True)), ["family", "node"], "left").join(blocks, "family")
+    meet = meet.withColumn("block", every("blocks")).where(F.col("out").isNull() | (F.col("block") != mine))
+    both = ask.select(*columns, F.lit(True).alias("outside")).unionByName(meet.select(*columns, F.lit(False).alias("outside")))
+    return near.unionByName(both.groupBy("family", "block", "chunk").applyInArrow(link, EDGES))
 
 
 def _links(members: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """a, b: links that join what is linked in each family of ``members`` (family, node, n_shingles, doc_id, mark, registers)."""
     families = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     small = (F.col("n") <= FAMILY) & (F.col("shingles") <= SHINGLES)
-    families = materialise(
-        families.select("family", F.when(small, 0).otherwise(_parts(F.col("n"), F.col("shingles"))).alias("parts")), "families"
-    )
+    families = materialise(families.select("family", small.alias("small")), "families")
     sized = members.join(families, "family")
     suspects = materialise(
-        sized.where("parts = 0")
+        sized.where("small")
         .select("family", "node", "n_shingles", "registers")
         .groupBy("family")
         .applyInArrow(_estimator(percent), "family long, node long"),
         "suspects",
     )
-    own = ["family", "chunk", "node", "doc_id", "mark", "registers"]
+    own = ["family", "chunk", "node", "doc_id", "mark"]
     few = members.drop("family").join(suspects, "node").withColumn("chunk", F.lit(-1)).select(*own)
-    wanted = few.unionByName(sized.where("parts > 0").withColumn("chunk", _dealt(F.col("parts"))).select(*own))
+    wanted = few.unionByName(sized.where("not small").withColumn("chunk", F.lit(0)).select(*own))
     wanted = materialise(wanted, "wanted")
     texts = docs.withColumnRenamed("doc_id", "of").withColumn("at", F.xxhash64("text"))
     same = texts["of"].eqNullSafe(wanted["doc_id"]) & (texts["at"] == wanted["mark"])
-    found = texts.join(_bounded(wanted), same).select("family", "chunk", "node", "registers", "text")
+    found = texts.join(_bounded(wanted), same).select("family", "chunk", "node", "text")
     sets = materialise(found.mapInArrow(_setter(shingle), SETS), "sets")
     if sets.count() > wanted.count():  # rows repeated with their id and text
         sets = materialise(sets.dropDuplicates(["node"]), "sets")
     links = sets.where("chunk < 0").groupBy("family").applyInArrow(_linker(percent), EDGES)
-    large = families.where("parts > 0")
-    if large.isEmpty():
+    if families.where("not small").isEmpty():
         return links
-    return links.unionByName(_large_links(sets.where("chunk >= 0"), large, percent))
+    large = sets.where("chunk >= 0").join(members.select("node", "registers"), "node").select(*sets.columns, "registers")
+    return links.unionByName(_large_links(materialise(large, "large"), percent))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -421,9 +440,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     joined = materialise(components(_links(members, docs, shingle, percent).unionByName(same_id)), "components")
 
     roots = joined.withColumnRenamed("component", "root")
-    of_root = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("id").alias("least"))
-    out = rows_of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(of_root, "root", "left")
-    reached = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    of_node = materialise(nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "roots")
+    least = materialise(of_node.groupBy("root").agg(F.min("id").alias("least")), "least")
+    reach = materialise(of_node.join(least, "root").select("node", "least", F.lit(True).alias("found")), "reach")
+    out = rows_of.join(reach, "node", "left")  # apart from any other step, so that a hot node's rows can be dealt to tasks
+    reached = F.when(F.col("found"), F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", reached.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
