@@ -83,10 +83,15 @@ def applied(name, spark, docs):
         "decontamination": lambda: decontamination.overlaps(docs, items),
         "language_model": lambda: language_model.score_corpus(docs.withColumn("train", F.lit(True)))[0],
         "mixing": lambda: mixing.mix(docs),
+        "urls": lambda: urls.judge(
+            docs.withColumn("page_id", F.col("doc_id")).withColumn("url", F.concat(F.lit("x://h.org/"), F.col("text"))),
+            labels.selectExpr("doc_id as page_id", "label as good"),
+            [("block", "org/u")],
+        ).withColumnRenamed("page_id", "doc_id"),
     }[name]()
 
 
-ALL = ["quality", "outliers", "near_duplicates", "secrets", "licenses", "languages", "decontamination", "language_model", "mixing"]
+ALL = ["quality", "outliers", "near_duplicates", "secrets", "licenses", "languages", "decontamination", "language_model", "mixing", "urls"]
 
 
 @pytest.mark.parametrize("name", ALL)
@@ -138,6 +143,57 @@ def test_quality_with_one_class(spark, edge):
     assert {r["score"] for r in quality.score(edge, quality.fit(edge, ones), ["doc_id"]).collect()} == {0.75}
 
 
+def test_vectors_by_the_definition():
+    """Context vectors are sums of the neighbours' random vectors; documents are pooled to mean and spread."""
+    texts = [prose(i, 80).encode() for i in range(12)] + [b"", b"one", b"one two"]
+    names = quality.learn_names(texts)
+    vocabulary = quality.Vocabulary(names)
+    lists = [t.split() for t in texts]
+    numbers = [vocabulary.numbers(w) for w in lists]
+    index = np.vstack([np.zeros(quality.DIM), *[quality.random_vector(w) for w in names]])
+    assert all(np.count_nonzero(v) == quality.NONZERO for v in index[1:])
+    want = np.zeros_like(index)
+    for n in numbers:
+        for i, a in enumerate(n):
+            for j in range(max(0, i - quality.WINDOW), min(len(n), i + quality.WINDOW + 1)):
+                if i != j:
+                    want[a] += index[n[j]]
+    want = np.sign(want) * np.log1p(np.abs(want))
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    want += 0.5 * index / np.sqrt(quality.NONZERO)
+    vectors = quality.context_vectors(numbers, names)
+    assert np.allclose(vectors, want, atol=1e-5)
+    for words, n in zip(lists, numbers, strict=True):
+        own = quality.pool(words, n, vectors)[: 2 * quality.DIM]
+        plain = [vectors[n].mean(0), vectors[n].std(0)] if len(n) else [np.zeros(2 * quality.DIM)]
+        assert np.allclose(own, np.concatenate(plain), atol=1e-3)
+
+
+def test_network_by_the_definition():
+    """The score is the temperature-scaled sigmoid of two layers, and the temperature the best of its grid."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6))
+    y = (x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=400) > 0).astype(float)
+    net = quality.train(x, y, epochs=30)
+    plain = [float(np.tanh((row - net["shift"]) / net["scale"] @ net["w1"] + net["b1"]) @ net["w2"] + net["b2"]) for row in x]
+    assert np.allclose(quality._logits(x, net), plain)
+    held = np.random.default_rng(1).permutation(400)[:80]
+    loss = lambda t: np.mean([math.log1p(math.exp(-abs(z / t))) + max(z / t, 0) - y[i] * z / t for i, z in zip(held, np.array(plain)[held])])
+    assert all(loss(net["temperature"]) <= loss(t) + 1e-9 for t in (0.25, 0.5, 0.8, 1, 1.3, 2, 4, 8))
+
+
+def test_fit_sample_has_its_bounds(spark):
+    rows = [(i, "w " * 50) for i in range(40)] + [(1, "w " * 50)] * 60 + [(2, "other " * 20), (3, "x " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, LABELS)
+    some = quality.sample(docs, labels, 10, 1 << 20)
+    assert some.count() == 10 and some.select("doc_id", "text").distinct().count() == 10
+    everything = quality.sample(docs, labels, 1000, 1 << 20)
+    assert everything.count() == 42  # forty ids, two of them with a second text
+    assert everything.agg(F.sum(F.octet_length("text"))).first()[0] == 40 * 100 + 120 + 10_000
+    assert quality.sample(docs, labels, 1000, 1050).agg(F.sum(F.octet_length("text"))).first()[0] <= 1050
+
+
 # 2 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -179,6 +235,58 @@ def test_outliers_against_all_rows_at_once(spark):
     assert np.abs(half.mean(0) - center).max() < 0.02 and rng is not None
 
 
+def plain_step(vectors, center, inverse, h):
+    """One concentration step by the definition; the subset's mean, regularised covariance and log determinant."""
+    off = vectors - center
+    d2 = np.einsum("ij,jk,ik->i", off, inverse, off)
+    last = np.sort(d2)[max(1, math.ceil(h * len(vectors))) - 1]
+    subset = vectors[d2 <= last]
+    spread = outliers.consistency(h) * np.cov(subset.T, bias=True) + np.diag(np.square(outliers.FLOORS))
+    return subset.mean(0), spread, np.linalg.slogdet(spread)[1]
+
+
+def mixed_vectors(seed, n=400):
+    """Two clusters and a ray of outliers: one start alone can end in a poor place."""
+    rng = np.random.default_rng(seed)
+    mix = rng.normal(size=(outliers.WIDTH, outliers.WIDTH)) * 0.05
+    bulk = rng.normal(size=(n, outliers.WIDTH)) @ mix + 0.5
+    far = rng.normal(size=(n // 4, outliers.WIDTH)) * 0.02 + rng.normal(size=outliers.WIDTH) * 0.4 + 0.5
+    return np.abs(np.concatenate([bulk, far]))
+
+
+@pytest.mark.parametrize("most_broadcast", [20_000, 0])
+def test_outliers_against_many_random_starts(spark, monkeypatch, most_broadcast):
+    """No start of the textbook algorithm finds a smaller determinant, and the subset is the exact one."""
+    monkeypatch.setattr(outliers, "MOST_BROADCAST", most_broadcast)
+    pools = {f"p{seed}": mixed_vectors(seed) for seed in range(2 if most_broadcast else 1)}
+    rows = [(p, v.tolist(), False) for p, vectors in pools.items() for v in vectors]
+    docs = spark.createDataFrame(rows, "pool string, vector array<double>, base_failed boolean").repartition(4)
+    got = {r["pool"]: r for r in outliers.estimate(docs).collect()}
+    for pool, vectors in pools.items():
+        rng, best = np.random.default_rng(1), np.inf
+        for _ in range(60):
+            some = vectors[rng.choice(len(vectors), outliers.WIDTH + 1, replace=False)]
+            center, spread = some.mean(0), np.cov(some.T, bias=True) + np.diag(np.square(outliers.FLOORS))
+            for _ in range(40):
+                center, spread, logdet = plain_step(vectors, center, np.linalg.inv(spread), 0.75)
+            best = min(best, logdet)
+        ours = got[pool]
+        center, inverse = np.array(ours["center"]), np.array(ours["inverse"]).reshape(outliers.WIDTH, -1)
+        assert ours["logdet"] <= best + 0.05
+        again = plain_step(vectors, center, inverse, 0.75)
+        assert again[2] == pytest.approx(ours["logdet"], abs=0.02) and np.abs(again[0] - center).max() < 0.01
+        assert ours["rows"] == len(vectors)
+
+
+def test_consistency_of_normal_data():
+    assert outliers.chi_square_quantile(0.9999, 7) == pytest.approx(29.878, abs=0.01)
+    rng = np.random.default_rng(0)
+    z = rng.normal(size=(200_000, outliers.WIDTH))
+    d2 = np.square(z).sum(1)
+    inner = z[d2 <= np.quantile(d2, 0.75)]
+    assert np.diag(np.cov(inner.T)).mean() * outliers.consistency(0.75) == pytest.approx(1, abs=0.01)
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -474,6 +582,47 @@ def test_profiles_are_the_most_frequent_grams(spark):
     assert keys == {0: ord("a"), 1: 1 << 21 | ord("a")}  # five of the letter, three word beginnings
 
 
+def plain_grams(text):
+    """The definition, by strings: one to three letters of words padded by a blank."""
+    out = []
+    for word in "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text).split():
+        padded = f" {word} "
+        out += [*word, *(padded[i : i + 2] for i in range(len(padded) - 1)), *(padded[i : i + 3] for i in range(len(padded) - 2))]
+    return out
+
+
+def key_of(gram):
+    value = 0
+    for c in gram:
+        value = value << 21 | (1 if c == " " else ord(c))
+    return value
+
+
+@pytest.mark.parametrize("block", [2_000, 2])
+def test_languages_by_the_out_of_place_distance(spark, monkeypatch, block):
+    monkeypatch.setattr(languages, "LANGUAGES", block)
+    rng, size = random.Random(9), 30
+    alphabets = {"aa": "abcde", "bb": "cdefg", "cc": "efghiß", "dd": "éàbç", "ee": "xyzab"}
+    make = lambda x, n: " ".join("".join(rng.choices(alphabets[x], k=rng.randint(1, 7))) for _ in range(n))
+    train = [(i, make(x, 60), x) for i, x in enumerate(sorted(alphabets) * 3)]
+    test = [(100 + i, make(x, n) + "! 12") for i, (x, n) in enumerate((x, n) for x in alphabets for n in (1, 3, 20))]
+    test += [(200, None), (201, "12 !"), (202, ""), (203, make("aa", 3000)), (203, "zz"), (204, "Ünd"), (204, "Ünd")]
+    profiles = languages.profiles(spark.createDataFrame(train, "doc_id long, text string, lang string"), size)
+    top = lambda grams: [g for g, _ in sorted(collections.Counter(grams).items(), key=lambda x: (-x[1], key_of(x[0])))[:size]]
+    ranks = {x: top([g for _, t, y in train if x == y for g in plain_grams(t)]) for x in alphabets}
+    got = languages.predict(spark.createDataFrame(test, "doc_id long, text string"), profiles, ["doc_id", "text"], size).collect()
+    assert len(got) == len(test)
+    for r in got:
+        own = top(plain_grams(r["text"] or ""))
+        if not own:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        away = {x: sum(abs(ranks[x].index(g) - i) if g in ranks[x] else size for i, g in enumerate(own)) for x in alphabets}
+        best = min(away, key=lambda x: (away[x], x))
+        rest = min(v for x, v in away.items() if x != best)
+        assert r["lang_pred"] == best and r["score"] == pytest.approx((rest - away[best]) / rest if rest else 0)
+
+
 # 8 -----------------------------------------------------------------------------------------------------------------
 
 
