@@ -7,15 +7,17 @@ words' vectors, and a network with one hidden layer turns that into a logit
 whose temperature is calibrated on rows the weights have not seen.
 
 The classifier is fitted on at most ``fit_rows`` labelled rows (those with the
-smallest hashes), drawn without moving any text but theirs; word vectors, the
-network and the temperature all come from this one sample, so the model's size
-is bounded at any size of the corpus.  Scoring is a narrow map over all texts.
+smallest hashes) of at most ``fit_bytes`` of text, drawn without moving any text
+but theirs; word vectors, the network and the temperature all come from this one
+sample, so the model's size is bounded at any size of the corpus.  Scoring is a narrow map over all texts.
 
 Words the sample has less than ``LEAST_COUNT`` times, and unseen ones, stand for
 their shape (runs of character classes), so that every word has a vector.
 
 Defined cases: null and empty texts are pooled to zeros and scored like any;
-rows without a label never train; several labels of a document all train;
+rows without a label never train; several labels of a document, and several texts
+of an id, all train, rows repeated whole once; a score of exactly 1/2 (a tie) counts
+as label 1 in the query; repeated rows are scored each and alike;
 without labelled rows, or with one class only, the score is the smoothed share
 of label 1.
 """
@@ -30,17 +32,16 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks
+from .common import chunks, materialise
 
 DIM = 64
 NONZERO = 4
 WINDOW = 2
 LEAST_COUNT = 5
-MOST_WORDS = 30_000
 HIDDEN = 32
 
 _CLASSES = bytes(
@@ -52,7 +53,7 @@ _RUNS = re.compile(rb"(.)\1+", re.DOTALL)
 
 def shape(word: bytes) -> bytes:
     """Runs of character classes, marked so that no word equals a shape."""
-    return b" " + _RUNS.sub(rb"\1", word.translate(_CLASSES))[:12]
+    return b" " + _RUNS.sub(rb"\1", word.translate(_CLASSES))
 
 
 def random_vector(word: bytes) -> np.ndarray:
@@ -86,12 +87,12 @@ def learn_names(texts: list[bytes]) -> list[bytes]:
     counts: Counter = Counter()
     for text in texts:
         counts.update(text.split())
-    names = sorted((w for w, n in counts.items() if n >= LEAST_COUNT), key=lambda w: (-counts[w], w))[:MOST_WORDS]
+    names = sorted((w for w, n in counts.items() if n >= LEAST_COUNT), key=lambda w: (-counts[w], w))
     known, shapes = set(names), Counter()
     for word, n in counts.items():
         if word not in known:
             shapes[shape(word)] += n
-    return names + sorted(shapes, key=lambda s: (-shapes[s], s))[:MOST_WORDS]
+    return names + sorted(shapes, key=lambda s: (-shapes[s], s))
 
 
 def context_vectors(documents: list[np.ndarray], names: list[bytes]) -> np.ndarray:
@@ -193,11 +194,33 @@ def _loss(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.mean(np.logaddexp(0, logits) - y * logits))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 6_000) -> dict:
-    """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0/1), at most ``fit_rows`` labels."""
+def sample(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_bytes: int) -> DataFrame:
+    """hash, text, label: up to ``fit_rows`` different labelled texts, by hashes of their ids, of ``fit_bytes`` together.
+
+    The bounds are kept on narrow rows (ids, lengths, hashes of texts), so no
+    text moves that does not train, however often its row is repeated.
+    """
     known = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "label")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(fit_rows)
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    held = marked.select("doc_id", "mark", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    held = held.join(F.broadcast(chosen), "doc_id").distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label"), F.col("mark")]
+    few = held.orderBy(*order).limit(fit_rows)
+    fits = F.sum("bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    few = few.withColumn("upto", fits).where(F.col("upto") <= fit_bytes)
+    few = materialise(few.select("doc_id", "mark", "label"), "sample")
+    found = marked.join(F.broadcast(few), ["doc_id", "mark"])
+    return found.groupBy("doc_id", "mark", "label").agg(F.first("text").alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 6_000, fit_bytes: int = 256 << 20) -> dict:
+    """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0/1).
+
+    It is fitted on a sample of at most ``fit_rows`` labelled rows and
+    ``fit_bytes`` bytes of text, with ties in the order of ids, labels and texts.
+    """
+    rows = sample(docs, labels, fit_rows, fit_bytes)
     texts = []
     for row in rows.select("text", "label", "doc_id").toLocalIterator():
         texts.append((xxhash.xxh64_intdigest(str(row["doc_id"])), (row["text"] or "").encode(), float(row["label"])))
