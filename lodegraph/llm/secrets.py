@@ -18,8 +18,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from re import _constants as sre
-from re import _parser as parser
 
 import numpy as np
 import pyarrow as pa
@@ -102,11 +100,87 @@ def _of_strings(strings: set[str]):
     return _any(each)
 
 
-def _walk(nodes, folded: bool) -> tuple[set[str] | None, object]:
-    """The strings that the nodes match, if few, and the query of what they demand otherwise."""
+class Grammar:
+    """The rules' regexes as trees: what demands nothing that an index could tell is ``("any",)``.
+
+    Nodes: ("chars", characters), ("nothing",), ("any",), ("all", nodes), ("either", nodes), ("repeat", node, least, most).
+    """
+
+    def __init__(self, pattern: str):
+        self.pattern, self.at = pattern, 0
+        self.tree = self.either()
+
+    def ahead(self) -> str:
+        return self.pattern[self.at : self.at + 1]
+
+    def take(self, expression: str) -> re.Match | None:
+        found = re.compile(expression).match(self.pattern, self.at)
+        self.at = found.end() if found else self.at
+        return found
+
+    def either(self):
+        parts = [self.sequence()]
+        while self.take(r"\|"):
+            parts.append(self.sequence())
+        return parts[0] if len(parts) == 1 else ("either", parts)
+
+    def sequence(self):
+        nodes = []
+        while self.ahead() not in ("", "|", ")"):
+            node = self.atom()
+            while bounds := self.take(r"([?*+])|\{(\d*)(,?)(\d*)\}"):
+                sign, low, comma, high = bounds.groups()
+                least = {"?": 0, "*": 0, "+": 1}[sign] if sign else int(low or 0)
+                most = {"?": 1}.get(sign) if sign else (int(high) if high else None) if comma else least
+                self.take(r"[?+]")  # lazy and possessive forms match no less
+                node = ("repeat", node, least, most)
+            nodes.append(node)
+        return ("all", nodes)
+
+    def atom(self):
+        if group := self.take(r"\((\?(?:[=!]|<[=!]))?(?:\?:|\?P<\w+>)?"):
+            inside = self.either()
+            self.take(r"\)")
+            return ("any",) if group[1] else inside
+        if self.take(r"\[\^"):
+            self.take(r"\]?(?:[^\]\\]|\\.)*\]")
+            return ("any",)
+        if members := self.take(r"\[(\]?(?:[^\]\\]|\\.)*)\]"):
+            body = members[1]
+            return ("any",) if re.search(r"\\[a-zA-Z]|.-.", body) else ("chars", set(re.sub(r"\\(.)", r"\1", body)))
+        if self.take(r"[\^$]|\\[bBAZ]"):
+            return ("nothing",)
+        if code := self.take(r"\\x([0-9a-fA-F]{2})"):
+            return ("chars", {chr(int(code[1], 16))})
+        if self.take(r"\.|\\[dDsSwW]"):
+            return ("any",)
+        if escaped := self.take(r"\\(.)"):
+            return ("chars", {{"n": "\n", "r": "\r", "t": "\t"}.get(escaped[1], escaped[1])})
+        return ("chars", {self.take(r"(?s).")[0]})
+
+
+def _demand(node, folded: bool) -> tuple[set[str] | None, object]:
+    """The strings that a node matches, if few, and the query of what it demands otherwise."""
+    kind = node[0]
+    if kind == "chars":
+        return (None, True) if folded and any(ord(c) > 127 for c in node[1]) else (node[1], True)
+    if kind == "nothing":
+        return {""}, True
+    if kind == "either":
+        parts = [_demand(x, folded) for x in node[1]]
+        query = _any([q for _, q in parts])
+        return (None, query) if any(s is None for s, _ in parts) else (set().union(*(s for s, _ in parts)), query)
+    if kind == "repeat":
+        _, body, least, most = node
+        strings, query = _demand(body, folded)
+        if strings is not None and most == 1:
+            return strings | ({""} if least == 0 else set()), query if least else True
+        return None, query if least else True
+    if kind == "any":
+        return None, True
     run, clauses, exact = {""}, [], True
-    for op, arg in nodes:
-        strings, query = _one(op, arg, folded)
+    for x in node[1]:
+        strings, query = _demand(x, folded)
         if strings is not None and len(run) * len(strings) <= MOST_STRINGS:
             run = {a + b for a in run for b in strings}
             continue
@@ -116,32 +190,9 @@ def _walk(nodes, folded: bool) -> tuple[set[str] | None, object]:
     return (run, _of_strings(run)) if exact else (None, _all([*clauses, _of_strings(run)]))
 
 
-def _one(op, arg, folded: bool) -> tuple[set[str] | None, object]:
-    if op is sre.LITERAL:
-        ok = arg < 128 or not folded
-        return ({chr(arg)}, True) if ok else (None, True)
-    if op is sre.IN and all(o is sre.LITERAL for o, _ in arg):
-        return {chr(x) for _, x in arg}, True
-    if op is sre.AT:
-        return {""}, True
-    if op is sre.SUBPATTERN:
-        return _walk(arg[3], folded)
-    if op is sre.BRANCH:
-        parts = [_walk(x, folded) for x in arg[1]]
-        query = _any([q for _, q in parts])
-        return (None, query) if any(s is None for s, _ in parts) else (set().union(*(s for s, _ in parts)), query)
-    if op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
-        low, high, body = arg
-        strings, query = _walk(body, folded)
-        if strings is not None and high == 1:
-            return strings | ({""} if low == 0 else set()), query if low else True
-        return None, query if low else True
-    return None, True
-
-
 def trigram_query(rule: Rule):
     """What must hold of a text's trigrams where the rule matches; True if nothing must."""
-    return _walk(parser.parse(rule.pattern, rule.flags), bool(rule.flags & re.IGNORECASE))[1]
+    return _demand(Grammar(rule.pattern).tree, bool(rule.flags & re.IGNORECASE))[1]
 
 
 def trigrams_of(query) -> set[bytes]:
