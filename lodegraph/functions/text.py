@@ -7,40 +7,50 @@ from pyspark.sql import functions as F
 
 # Tokens that never name a module.
 STOP_TOKENS = (
-    "y yes no the and or a an to in on of for with install update upgrade add remove get sudo apt dnf yum apk "
-    "run pull enable start restart status service systemctl docker compose image latest true false null none all "
-    "any default server client common core base full dev devel tools utils lib libs bin etc usr var opt tmp home "
-    "root http https www com org net io sh bash zsh echo cd ls cp mv rm mkdir chmod chown curl_ it is be are this "
-    "that you your we our can will should may must if then else"
-).split()
+    "y", "yes", "no", "the", "and", "or", "a", "an", "to", "in", "on", "of", "for", "with", "install",
+    "update", "upgrade", "add", "remove", "get", "sudo", "apt", "dnf", "yum", "apk", "run", "pull", "enable",
+    "start", "restart", "status", "service", "systemctl", "docker", "compose", "image", "latest", "true",
+    "false", "null", "none", "all", "any", "default", "server", "client", "common", "core", "base", "full",
+    "dev", "devel", "tools", "utils", "lib", "libs", "bin", "etc", "usr", "var", "opt", "tmp", "home", "root",
+    "http", "https", "www", "com", "org", "net", "io", "sh", "bash", "zsh", "echo", "cd", "ls", "cp", "mv",
+    "rm", "mkdir", "chmod", "chown", "curl_", "it", "is", "be", "are", "this", "that", "you", "your", "we",
+    "our", "can", "will", "should", "may", "must", "if", "then", "else",
+)
 # Concepts too general to be a module.
 GENERIC_CONCEPTS = (
-    "guide tutorial article blog post page website introduction overview summary conclusion example examples step "
-    "steps tips thing things way ways method methods process people time day year part type types kind number "
-    "information content question questions answer answers problem solution result home about contact search menu "
-    "comment comments share"
-).split()
+    "guide", "tutorial", "article", "blog", "post", "page", "website", "introduction", "overview", "summary",
+    "conclusion", "example", "examples", "step", "steps", "tips", "thing", "things", "way", "ways", "method",
+    "methods", "process", "people", "time", "day", "year", "part", "type", "types", "kind", "number",
+    "information", "content", "question", "questions", "answer", "answers", "problem", "solution", "result",
+    "home", "about", "contact", "search", "menu", "comment", "comments", "share",
+)
 # Words of a question that carry no search intent, English and German.
 QUESTION_WORDS = (
-    "a an the is are was were be been being am do does did doing can could will would shall should may might must "
-    "have has had i me my we our you your it its they them he she his her this that these those what why how when "
-    "where who whom which whose to of in on at for from with by as into about and or but not no if then than so "
-    "there here any some get got make made please wie was warum wer wo wann welche welcher welches ich du ist sind "
-    "war ein eine einen der die das den dem und oder nicht kann man mit für von auf zu im am mache machen"
-).split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "am", "do", "does", "did", "doing",
+    "can", "could", "will", "would", "shall", "should", "may", "might", "must", "have", "has", "had", "i",
+    "me", "my", "we", "our", "you", "your", "it", "its", "they", "them", "he", "she", "his", "her", "this",
+    "that", "these", "those", "what", "why", "how", "when", "where", "who", "whom", "which", "whose", "to",
+    "of", "in", "on", "at", "for", "from", "with", "by", "as", "into", "about", "and", "or", "but", "not",
+    "no", "if", "then", "than", "so", "there", "here", "any", "some", "get", "got", "make", "made", "please",
+    "wie", "was", "warum", "wer", "wo", "wann", "welche", "welcher", "welches", "ich", "du", "ist", "sind",
+    "war", "ein", "eine", "einen", "der", "die", "das", "den", "dem", "und", "oder", "nicht", "kann", "man",
+    "mit", "für", "von", "auf", "zu", "im", "am", "mache", "machen",
+)
 # Words that do not count as entities by themselves.
 ENTITY_STOPWORDS = (
-    "the and for with that this from have has not but you your are was were will would should could what when "
-    "where which while about into over after before been being does did doing how why who cant wont dont isnt "
-    "help please need want trying error errors issue issues problem problems work works working start starts "
-    "running run"
-).split()
+    "the", "and", "for", "with", "that", "this", "from", "have", "has", "not", "but", "you", "your", "are",
+    "was", "were", "will", "would", "should", "could", "what", "when", "where", "which", "while", "about",
+    "into", "over", "after", "before", "been", "being", "does", "did", "doing", "how", "why", "who", "cant",
+    "wont", "dont", "isnt", "help", "please", "need", "want", "trying", "error", "errors", "issue", "issues",
+    "problem", "problems", "work", "works", "working", "start", "starts", "running", "run",
+)
 # Surfaces that are ambiguous in prose, and short ones that are not.
 PROSE_UNSAFE = (
-    "go,spring,bun,deno,paper,forge,fabric,rust,java,monitoring,backup,backups,accessibility,firewall,cron,express,"
-    "flask,dom,zip,gd,xml,npm,pip,git,ts,js,vue,next js,site,notebook,torch,sass,vite"
-).split(",")
-PROSE_SAFE_SHORT = "css php ssl sql api ssh jwt k8s tls".split()
+    "go", "spring", "bun", "deno", "paper", "forge", "fabric", "rust", "java", "monitoring", "backup",
+    "backups", "accessibility", "firewall", "cron", "express", "flask", "dom", "zip", "gd", "xml", "npm",
+    "pip", "git", "ts", "js", "vue", "next js", "site", "notebook", "torch", "sass", "vite",
+)
+PROSE_SAFE_SHORT = ("css", "php", "ssl", "sql", "api", "ssh", "jwt", "k8s", "tls")
 # Cues of requirements, of alternatives and of technical topics.
 REQUIREMENT_CUES = (
     r"(?i)\b(?:requires?|required|dependenc(?:y|ies)|prerequisites?|you(?:'ll| will)? need|must have|depends on|"
@@ -161,10 +171,6 @@ def snippet(text: Column, at: Column, length: int = 160) -> Column:
     return F.trim(F.regexp_replace(cut, r"\s+", " "))
 
 
-def split_packages(blob: Column) -> Column:
-    return F.filter(F.split(blob, r"[\s,\\]+"), lambda t: (F.length(t) > 0) & ~t.startswith("-"))
-
-
 def size_hint(name: Column) -> Column:
     """A model's parameter count named like ``7b`` or ``1.5B``, in upper case, or null."""
     found = F.regexp_extract(name, r"(?i)(\d+(?:\.\d+)?)\s*b\b", 1)

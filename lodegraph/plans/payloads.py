@@ -61,7 +61,7 @@ def result_html(spark, sf_dir):
         .otherwise(F.concat(F.lit('<li><a class="title" href="'), address, F.lit('">'), title,
                             F.lit('</a><p class="s">About '), title, F.lit("</p></li>")))
     )
-    name = F.element_at(F.array(*[F.lit(x) for x in results.ENGINES]), (engine + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(e.name) for e in results.ENGINES]), (engine + 1).cast("int"))
     rows = pages_of(spark, sf_dir).select(
         name.alias("engine"), F.floor(F.col("page_id") / 30).alias("part"), "page_id", block.alias("block")
     )
@@ -176,7 +176,7 @@ FROM w LEFT JOIN p USING (term)""",
 def pos_votes(spark, sf_dir):
     known = spark.createDataFrame(PARTS_OF_SPEECH, "term string, pos string")
     words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
-    return words.distinct().join(F.broadcast(known), "term", "left").select("term", payloads.pos_vote(F.col("pos")).alias("subject"))
+    return words.distinct().join(known, "term", "left").select("term", payloads.pos_vote(F.col("pos")).alias("subject"))
 
 
 def _esc(c: str) -> str:
@@ -237,8 +237,13 @@ def concept_proposals(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     said = docs.select((F.col("doc_id") - 1).alias("doc_id"), tx.query_tokens(F.col("text"), 20).alias("proposals"))
     rows = docs.where(F.length("text") >= 200).join(said, "doc_id")
-    marked = rows.select("doc_id", payloads.bounded(F.col("text")).alias("marked"), F.explode("proposals").alias("proposal"))
-    return marked.select("doc_id", "proposal", F.contains("marked", payloads.bounded(F.col("proposal"))).alias("grounded"))
+    # one text each, set apart by a generator, so that it is not marked again for every proposal
+    marked = rows.select("doc_id", "proposals", F.explode(F.array(payloads.bounded(F.col("text")))).alias("marked"))
+    tested = F.transform(
+        "proposals",
+        lambda p: F.struct(p.alias("proposal"), F.contains(F.col("marked"), payloads.bounded(p)).alias("grounded")),
+    )
+    return marked.select("doc_id", F.explode(tested).alias("x")).select("doc_id", "x.*")
 
 
 @query(
