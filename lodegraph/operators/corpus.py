@@ -1,25 +1,88 @@
 """Corpus statistics and lexical retrieval.
 
-Frequencies are exact, since thresholds depend on them.  Postings are partial
-aggregates by (document, term): frequent terms combine on the map side before
-any shuffle by term.
+Texts are cut into tokens once: ``bags`` counts them inside each row, so nothing
+is shuffled, and an ``Index`` writes the result once for all that reads it:
+frequencies, breadth, postings, lengths and, in ``graph``, shared terms.
+Frequencies are exact, since thresholds depend on them.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_tokens, tokens
+from ..sources.tables import written
 
 K1, B = 1.2, 0.75
+#: Terms in more than this share of the documents are left for the second look of a top-k search.
+COMMON = 0.1
+
 
+def bags(docs: DataFrame, key: str, fields: dict[str, float], domain: str | None = None) -> DataFrame:
+    """key, domain, length (tokens in all fields), terms: array of (term, weight), sorted by term; one row per row.
 
-def doc_terms(docs: DataFrame, key: str, text: str | Column) -> DataFrame:
+    A token weighs what its field does; a term that several fields hold has one entry each.
+    """
+    own = [F.col(key), *([F.col(domain).alias("domain")] if domain else [])]
+    names = ["domain"] if domain else []
+    out = docs.select(*own, *[F.array_sort(tokens(F.col(name))).alias(f"w{i}") for i, name in enumerate(fields)])
+    starts = lambda w: F.filter(
+        F.sequence(F.lit(0), F.size(w)), lambda i: (i == 0) | ~F.get(w, i).eqNullSafe(F.get(w, i - 1))
+    )
+    words = [F.col(f"w{i}") for i in range(len(fields))]
+    out = out.select(key, *names, *[f"w{i}" for i in range(len(fields))], *[starts(w).alias(f"s{i}") for i, w in enumerate(words)])
+    entry = lambda i, weight: F.transform(
+        F.slice(F.col(f"s{i}"), 1, F.greatest(F.size(f"s{i}") - 1, F.lit(0))),
+        lambda at, n: F.struct(
+            F.get(words[i], at).alias("term"), ((F.get(f"s{i}", n + 1) - at) * F.lit(weight)).cast("double").alias("weight")
+        ),
+    )
+    none = F.array().cast("array<struct<term:string,weight:double>>")
+    parts = [F.coalesce(entry(i, float(w)), none) for i, w in enumerate(fields.values())]
+    length = sum((F.size(w) for w in words), F.lit(0)).cast("long")
+    return out.select(key, *names, length.alias("length"), F.concat(*parts).alias("terms"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """A corpus cut into tokens once: its ``bags``, how many documents they are and how long on average."""
+
+    rows: DataFrame
+    key: str
+    n: int
+    mean_length: float
+
+    @classmethod
+    def build(cls, docs: DataFrame, key: str, fields: dict[str, float], domain: str | None = None) -> Index:
+        rows = written(bags(docs, key, fields, domain), "bags")
+        size = rows.agg(F.count("*").alias("n"), F.avg("length").alias("m")).first()
+        return cls(rows, key, size["n"], size["m"] or 0.0)
+
+    def postings(self) -> DataFrame:
+        """key, term, wtf (weighted frequency), length; a document's fields are added up."""
+        flat = self.rows.select(self.key, "length", F.explode("terms").alias("x")).select(self.key, "length", "x.term", "x.weight")
+        return flat.withColumnRenamed("weight", "wtf")
+
+    def frequency(self) -> DataFrame:
+        """term, df."""
+        terms = self.rows.select(F.explode(F.array_distinct("terms.term")).alias("term"))
+        return terms.groupBy("term").agg(F.count("*").alias("df"))
+
+    def statistics(self) -> DataFrame:
+        """term, df, n_domains, breadth: documents per (term, domain), then per term."""
+        terms = self.rows.select("domain", F.explode(F.array_distinct("terms.term")).alias("term"))
+        each = terms.groupBy("term", "domain").agg(F.count("*").alias("n"))
+        held = each.groupBy("term").agg(F.sum("n").alias("df"), F.count("domain").alias("n_domains"))
+        return held.withColumn("breadth", F.col("n_domains") / self.rows.agg(F.count_distinct("domain")).scalar())
+
+
+def doc_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf: one row per document and term; counted inside each row, so nothing is shuffled."""
-    text = F.col(text) if isinstance(text, str) else text
-    words = docs.select(key, F.explode(tokens(text)).alias("term"))
-    return words.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    found = bags(docs, key, {text: 1.0}).select(key, F.explode("terms").alias("x"))
+    return found.select(key, "x.term", F.col("x.weight").cast("long").alias("tf"))
 
 
 def doc_frequency(docs: DataFrame, text: str) -> DataFrame:
@@ -36,15 +99,6 @@ def breadth(docs: DataFrame, text: str, domain: str) -> DataFrame:
     return held.select("term", "n_domains", (F.col("n_domains") / all_domains).alias("breadth"))
 
 
-def term_statistics(docs: DataFrame, text: str, domain: str) -> DataFrame:
-    """term, df, n_domains, breadth in one pass: documents per (term, domain), then per term."""
-    words = docs.select(F.col(domain).alias("domain"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    each = words.groupBy("term", "domain").agg(F.count("*").alias("n"))
-    held = each.groupBy("term").agg(F.sum("n").alias("df"), F.count("domain").alias("n_domains"))
-    all_domains = docs.agg(F.count_distinct(domain)).scalar()
-    return held.withColumn("breadth", F.col("n_domains") / all_domains)
-
-
 def distinctive(queries: DataFrame, statistics: DataFrame, n_docs: int) -> DataFrame:
     """query_id, term, df, breadth of the terms rare enough to identify a subject (``queries``: query_id, text)."""
     known = asked_terms(queries).join(statistics.select("term", "df", "breadth"), "term", "left")
@@ -57,45 +111,64 @@ def distinctive(queries: DataFrame, statistics: DataFrame, n_docs: int) -> DataF
     ).where((F.col("df") <= limit) & (F.col("breadth") <= 0.25))
 
 
-def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
-    """key, term, wtf (weighted frequency over the fields), length (tokens in all fields)."""
-    parts = F.array(
-        *[F.struct(tokens(F.col(name)).alias("words"), F.lit(float(w)).alias("w")) for name, w in fields.items()]
-    )
-    flat = F.flatten(
-        F.transform(parts, lambda p: F.transform(p["words"], lambda t: F.struct(t.alias("term"), p["w"].alias("w"))))
-    )
-    rows = docs.select(key, flat.alias("flat"))
-    rows = rows.select(key, F.size("flat").alias("length"), F.explode("flat").alias("x"))
-    return rows.groupBy(key, "length", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("wtf"))
-
-
 def asked_terms(queries: DataFrame) -> DataFrame:
     """query_id, term from ``queries`` (query_id, text)."""
     return queries.select("query_id", F.explode(query_tokens(F.col("text"))).alias("term"))
 
 
-def bm25(asked: DataFrame, docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
+def _wanted(asked: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
+    """Postings of asked terms (one row per document and term), and term, df, idf of these."""
+    terms = asked.select("term").distinct()
+    some = index.postings().join(terms, "term", "left_semi")
+    wanted = written(some.groupBy(index.key, "length", "term").agg(F.sum("wtf").alias("wtf")), "asked-postings")
+    frequency = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.ln((F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return wanted, written(frequency.withColumn("idf", F.when(idf > 0, idf).otherwise(1e-6)), "asked-terms")
+
+
+def _part(index: Index) -> Column:
+    """What a term adds to a document's score; ``idf * (K1 + 1)`` bounds it."""
+    share = 1 - B + B * F.col("length") / F.lit(index.mean_length)
+    return F.col("idf") * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * share)
+
+
+def bm25(asked: DataFrame, index: Index) -> DataFrame:
     """query_id, key, score for every document that holds a term of ``asked`` (query_id, term).
 
-    With a column ``rare`` in ``asked``, rare_score sums only the terms where it
-    is true (null where there is none).  The document statistics are one-row or per-term aggregates; only postings of
-    asked terms reach the join with the questions.
+    Common words make this nearly all pairs of questions and documents; ``bm25_top`` gives the best ones without them.
     """
-    index = postings(docs, key, fields)
-    lengths = docs.select(sum((F.size(tokens(F.col(name))) for name in fields), F.lit(0)).alias("length"))
-    n, mean_length = lengths.agg(F.count("*")).scalar(), lengths.agg(F.avg("length")).scalar()
-    wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
-    frequency = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    ranked = frequency.select("term", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
-    part = F.col("idf") * F.col("wtf") * (K1 + 1) / (
-        F.col("wtf") + K1 * (1 - B + B * F.col("length") / mean_length)
+    wanted, ranked = _wanted(asked, index)
+    return asked.join(ranked, "term").join(wanted, "term").groupBy("query_id", index.key).agg(F.sum(_part(index)).alias("score"))
+
+
+def bm25_top(asked: DataFrame, index: Index, k: int) -> DataFrame:
+    """query_id, key, score, rank: the k best documents of each question, exactly as ``top_k(bm25(...))``.
+
+    A question is first scored over its rare terms alone.  Its common terms can
+    add no more than their bound, so a document further than that below the k-th
+    best is out, and so is one with common terms only where the k-th best
+    exceeds the bound.  What is left is scored in full; so are questions that
+    have too few documents with rare terms to tell.
+    """
+    key = index.key
+    wanted, ranked = _wanted(asked, index)
+    terms = written(
+        asked.select("query_id", "term").join(ranked, "term").withColumn("common", F.col("df") > F.lit(COMMON * index.n)), "asked-by-query"
     )
-    sums = [F.sum(part).alias("score")]
-    if "rare" in asked.columns:
-        sums.append(F.sum(F.when(F.col("rare"), part)).alias("rare_score"))
-    return asked.join(ranked, "term").join(wanted, "term").groupBy("query_id", key).agg(*sums)
+    part = _part(index)
+    rare = terms.where("not common").join(wanted, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    rare = written(rare, "rare-scores")
+    bound = terms.groupBy("query_id").agg(F.sum(F.when(F.col("common"), F.col("idf") * (K1 + 1)).otherwise(0.0)).alias("more"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc())
+    kth = rare.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).where(F.col("place") == k)
+    level = bound.join(kth.select("query_id", F.col("score").alias("kth")), "query_id", "left")
+    level = written(level.withColumn("told", F.coalesce(F.col("kth") > F.col("more") + 1e-6, F.lit(False))), "levels")
+    near = rare.join(level.where("told"), "query_id").where(F.col("score") >= F.col("kth") - F.col("more") - 1e-6)
+    whole = near.select("query_id", key).join(terms, "query_id").join(wanted, [key, "term"])
+    told = whole.groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    rest = terms.join(level.where("not told"), "query_id", "left_semi")
+    untold = rest.join(wanted, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    return top_k(told.unionByName(untold), key, k)
 
 
 def top_k(scored: DataFrame, key: str, k: int, score: str = "score", by: str = "query_id") -> DataFrame:

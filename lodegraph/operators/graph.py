@@ -14,22 +14,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import npmi, npmi_to_weight, rescale_weight
-from ..functions.text import tokens
+from .corpus import Index
 
 
-def lexicon(docs: DataFrame, text: str, low: float = 0.02, high: float = 0.12, size: int = 200) -> list[str]:
+def lexicon(index: Index, low: float = 0.02, high: float = 0.12, size: int = 200) -> list[str]:
     """The ``size`` most frequent terms of four letters or more in a middle band of document shares."""
-    n = docs.count()
-    words = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).where(F.length("term") >= 4)
-    held = words.groupBy("term").agg(F.count("*").alias("df"))
-    band = held.where((F.col("df") >= low * n) & (F.col("df") <= high * n))
+    held = index.frequency().where(F.length("term") >= 4)
+    band = held.where((F.col("df") >= low * index.n) & (F.col("df") <= high * index.n))
     return [r["term"] for r in band.orderBy(F.col("df").desc(), "term").limit(size).collect()]
 
 
-def lexicon_terms(docs: DataFrame, text: str, names: list[str]) -> Column:
-    """Sorted distinct lexicon terms of the text (the lexicon is a bounded list)."""
-    known = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
-    return F.array_sort(F.array_intersect(F.array_distinct(tokens(F.col(text))), known))
+def _among(names: list[str]) -> Column:
+    return F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
+
+
+def lexicon_terms(terms: Column, names: list[str]) -> Column:
+    """Sorted distinct lexicon terms among a row's terms (the lexicon is a bounded list)."""
+    return F.array_sort(F.array_intersect(terms, _among(names)))
+
+
+def held_terms(index: Index, names: list[str]) -> DataFrame:
+    """key, domain, held: the lexicon terms of each document, for all that looks at terms documents share."""
+    return index.rows.select(index.key, "domain", lexicon_terms(F.col("terms.term"), names).alias("held"))
 
 
 def pairs(docs: DataFrame, terms: Column, *keep: str) -> DataFrame:
@@ -44,24 +50,22 @@ def pairs(docs: DataFrame, terms: Column, *keep: str) -> DataFrame:
     return rows.select(*keep, F.explode(F.flatten(later)).alias("p")).select(*keep, "p.a", "p.b")
 
 
-def cooccurrence(docs: DataFrame, text: str, domain: str, names: list[str]) -> DataFrame:
-    """a, b, both, n_domains.
+def cooccurrence(held: DataFrame) -> DataFrame:
+    """a, b, both, n_domains from ``held_terms``.
 
     Pairs come from each row's own array, so the self-join per document is
     gone; counts per (a, b, domain) combine before the shuffle.
     """
-    seen = pairs(docs, lexicon_terms(docs, text, names), domain)
-    by_domain = seen.groupBy("a", "b", domain).agg(F.count("*").alias("n"))
-    return by_domain.groupBy("a", "b").agg(F.sum("n").alias("both"), F.count(domain).alias("n_domains"))
+    seen = pairs(held, F.col("held"), "domain")
+    by_domain = seen.groupBy("a", "b", "domain").agg(F.count("*").alias("n"))
+    return by_domain.groupBy("a", "b").agg(F.sum("n").alias("both"), F.count("domain").alias("n_domains"))
 
 
-def edges(docs: DataFrame, text: str, domain: str, names: list[str]) -> DataFrame:
+def edges(index: Index, names: list[str]) -> DataFrame:
     """src, dst, npmi, weight, n_obs, n_domains, seeded: both directions of every pair."""
-    n = docs.count()
-    frequency = docs.select(F.explode(lexicon_terms(docs, text, names)).alias("term")).groupBy("term").agg(
-        F.count("*").alias("df")
-    )
-    both = cooccurrence(docs, text, domain, names)
+    n, held = index.n, held_terms(index, names)
+    frequency = held.select(F.explode("held").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    both = cooccurrence(held)
     known = both.join(frequency.select(F.col("term").alias("a"), F.col("df").alias("df_a")), "a").join(
         frequency.select(F.col("term").alias("b"), F.col("df").alias("df_b")), "b"
     )

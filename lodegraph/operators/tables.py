@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def latest_per_key(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
@@ -62,27 +64,29 @@ def token_bucket(requests: DataFrame, capacity: float, per_minute: float) -> Dat
     return ordered.mapInPandas(run, schema)
 
 
-def paced(requests: DataFrame, gap: int) -> DataFrame:
+def paced(requests: DataFrame, gap: int, width: int = 86_400) -> DataFrame:
     """Adds release: the n-th request of a key goes out ``gap`` after the one before, or on arrival.
 
     The recursion has a closed form: gap * i + running maximum of (arrival - gap * i).
+    Keys may be few and hot, so both run within slices of ``width`` and over the slices.
     """
-    order = Window.partitionBy("key").orderBy("at", "id")
-    place = F.row_number().over(order) - 1
+    piece = F.floor(F.col("at") / F.lit(width))
     behind = F.col("at") - F.lit(gap) * F.col("_i")
-    return (
-        requests.withColumn("_i", place)
-        .withColumn("release", F.max(behind).over(order) + F.lit(gap) * F.col("_i"))
-        .drop("_i")
-    )
+    rows = ordered.numbered(requests, ["key"], piece, "at", "id").withColumn("_i", F.col("place") - 1).drop("place")
+    out = ordered.carried(rows, ["key"], piece, F.max(behind), F.max)
+    own = F.max(behind).over(Window.partitionBy("key", "_piece").orderBy("at", "id"))
+    return out.withColumn("_own", own).withColumn(
+        "release", F.greatest("_own", F.coalesce("_carry", "_own")) + F.lit(gap) * F.col("_i")
+    ).drop("_i", "_piece", "_carry", "_own")
 
 
-def concurrency_peak(spans: DataFrame, by: str) -> DataFrame:
-    """by, peak: the most spans [begin, end) open at once."""
+def concurrency_peak(spans: DataFrame, by: str, width: int = 86_400) -> DataFrame:
+    """by, peak: the most spans [begin, end) open at once; levels run within slices of ``width`` and over the slices."""
     change = F.explode(F.array(F.struct(F.col("begin").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d"))))
     steps = spans.select(by, change.alias("c")).groupBy(by, F.col("c.at").alias("at")).agg(F.sum("c.d").alias("d"))
-    level = F.sum("d").over(Window.partitionBy(by).orderBy("at"))
-    return steps.withColumn("level", level).groupBy(by).agg(F.max("level").alias("peak"))
+    out = ordered.carried(steps, [by], F.floor(F.col("at") / F.lit(width)), F.sum("d"), F.sum)
+    level = F.sum("d").over(Window.partitionBy(by, "_piece").orderBy("at")) + F.coalesce("_carry", F.lit(0))
+    return out.withColumn("level", level).groupBy(by).agg(F.max("level").alias("peak"))
 
 
 def stalled(steps: DataFrame, by: str, *order: str, last: int = 4) -> DataFrame:
@@ -107,10 +111,17 @@ def counter_delta(rows: DataFrame, by: str, value: str, *order: str) -> DataFram
     return rows.withColumn("delta", F.when(step < 0, step - step).otherwise(step))
 
 
-def within_budget(rows: DataFrame, by: str, size: Column, most: float, *order: Column) -> DataFrame:
-    """Rows of each group up to the first that overflows the running budget."""
+def within_budget(rows: DataFrame, by: str, size: Column, most: float, *order: Column, parts: int = 64) -> DataFrame:
+    """Rows of each group up to the first that overflows the running budget (sizes are not negative).
+
+    What overflows it in a part of its group overflows it in the whole, so most
+    rows of a large group go before the group comes together.
+    """
+    part = F.pmod(F.xxhash64(*order), F.lit(parts))
+    near = F.sum(size).over(Window.partitionBy(by, part).orderBy(*order))
+    few = rows.withColumn("running", near).where(F.col("running") <= most).drop("running")
     frame = Window.partitionBy(by).orderBy(*order)
-    return rows.withColumn("running", F.sum(size).over(frame)).where(F.col("running") <= most)
+    return few.withColumn("running", F.sum(size).over(frame)).where(F.col("running") <= most)
 
 
 def tiered(name: Column, alias: Column, query: Column) -> Column:

@@ -1,16 +1,25 @@
-"""Exact vector search: a stated query set against all rows, in blocks."""
+"""Exact vector search: a stated query set against all rows, in blocks.
+
+Up to ``BLOCK`` query vectors are sent to the tasks, which read the vectors
+where they lie.  More are dealt to blocks and the vectors to chunks, and Spark
+brings each block and chunk together, so neither the driver nor a task ever
+holds more than one of each.  Tasks return what the question needs of a block
+and chunk (the best, bins, one value per row), never all pairs.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that a task compares at once.
-BLOCK = 2048
+#: Query vectors, and rows, that a task compares at once.
+BLOCK, CHUNK = 2048, 20_000
+#: Bins of scores between -1 and 1.
+BINS = 1024
 
 
 def cosine(a, b):
@@ -25,71 +34,188 @@ def cosine(a, b):
 
 def _unit(rows: list) -> np.ndarray:
     matrix = np.array(rows, dtype=np.float64)
+    if not len(matrix):
+        return np.zeros((0, 0))
     norm = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[list[int], list]]:
-    ids, rows = [], []
-    for row in queries.toLocalIterator():
-        ids.append(row["query_id"])
-        rows.append(row["vec"])
-        if len(ids) == BLOCK:
-            yield ids, rows
-            ids, rows = [], []
-    if ids:
-        yield ids, rows
+def _batch(columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(columns)
 
 
-def similarities(queries: DataFrame, vectors: DataFrame, k: int | None = None) -> DataFrame:
-    """query_id, id, score for ``queries`` (query_id, vec) against ``vectors`` (id, vec).
+class Best:
+    """The k best rows of each query so far, or all (k: None)."""
 
-    ``k``: each task returns only its k best per query; a global top-k follows
-    outside.  Null vectors match nothing.  Queries are sent in blocks.
-    """
+    schema = "query_id long, id long, score double"
+
+    def __init__(self, ids: np.ndarray, k: int | None):
+        self.ids, self.k, self.held = ids, k, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def add(self, own: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = len(own)
+        query, row, value = np.repeat(np.arange(len(self.ids)), n), np.tile(own, len(self.ids)), score.ravel()
+        if self.k is None:
+            yield _batch({"query_id": self.ids[query], "id": row, "score": value})
+            return
+        if self.k < n:  # a chunk's own best first
+            part = np.argpartition(-score, self.k - 1, axis=1)[:, : self.k]
+            edge = np.take_along_axis(score, part, 1).min(axis=1) - 1e-9
+            keep = value >= edge[query]
+            query, row, value = query[keep], row[keep], value[keep]
+        query, row, value = (np.concatenate(x) for x in zip(self.held, (query, row, value), strict=True))
+        order = np.lexsort((row, -np.round(value, 9), query))
+        query, row, value = query[order], row[order], value[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        self.held = tuple(x[place < self.k] for x in (query, row, value))
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.k is not None and len(self.held[0]):
+            query, row, value = self.held
+            yield _batch({"query_id": self.ids[query], "id": row, "score": value})
+
+
+class Bins:
+    """How many rows have which score, to one of ``BINS``, and the best score, per query."""
+
+    schema = "query_id long, bin int, n long, top double"
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.n, self.top = ids, np.zeros(len(ids) * BINS, np.int64), np.full(len(ids), -np.inf)
+
+    def add(self, own: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+        value = np.round(score, 9)
+        at = (np.arange(len(self.ids))[:, None] * BINS + bin_of(value)).ravel()
+        self.n += np.bincount(at, minlength=len(self.n))
+        self.top = np.maximum(self.top, value.max(axis=1))
+        return iter(())
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(self.n)
+        yield _batch(
+            {"query_id": self.ids[at // BINS], "bin": (at % BINS).astype(np.int32), "n": self.n[at], "top": self.top[at // BINS]}
+        )
+
+
+class Inside:
+    """How many rows have which score, within each query's one bin that matters."""
+
+    schema = "query_id long, score double, n long"
+
+    def __init__(self, ids: np.ndarray, bins: np.ndarray):
+        self.ids, self.bins, self.held = ids, bins, []
+
+    def add(self, own: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+        value = np.round(score, 9)
+        query, row = np.nonzero(bin_of(value) == self.bins[:, None])
+        pairs, n = np.unique(np.stack([query, value[query, row]], axis=1), axis=0, return_counts=True)
+        if len(pairs):
+            yield _batch({"query_id": self.ids[pairs[:, 0].astype(int)], "score": pairs[:, 1], "n": n})
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
+
+
+class Nearest:
+    """Each row's best score over all queries of the block."""
+
+    schema = "id long, score double"
+
+    def __init__(self, ids: np.ndarray):
+        self.ids = ids
+
+    def add(self, own: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield _batch({"id": own, "score": score.max(axis=0)})
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
+
+
+def bin_of(score: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((score + 1) * (BINS / 2)), 0, BINS - 1).astype(np.int64)
+
+
+def _searched(queries: DataFrame, vectors: DataFrame, schema: str, start: Callable) -> DataFrame:
+    """What ``start(ids, extra)`` gathers of all rows of ``vectors`` (id, vec), per block of ``queries`` (query_id, vec, extra)."""
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec").isNotNull()).select("id", "vec")
-    out = None
-    for ids, vecs in _blocks(queries.where(F.col("vec").isNotNull()).select("query_id", "vec")):
-        shared = spark.sparkContext.broadcast((np.array(ids), _unit(vecs)))
-        part = rows.mapInPandas(_searcher(shared, k), "query_id long, id long, score double")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "query_id long, id long, score double")
+    asked = queries.where(F.col("vec").isNotNull()).select("query_id", "vec", "extra")
+
+    def gather(ids, unit, extra, batches):
+        found = start(np.array(ids, dtype=np.int64), np.array(extra))
+        for own, vecs in batches:
+            yield from found.add(own, unit @ _unit(vecs).T)
+        yield from found.end()
+
+    few = asked.limit(BLOCK + 1).collect()
+    if not few:
+        return spark.createDataFrame([], schema)
+    if len(few) <= BLOCK:
+        shared = spark.sparkContext.broadcast(
+            ([r["query_id"] for r in few], _unit([r["vec"] for r in few]), [r["extra"] for r in few])
+        )
+
+        def run(batches):
+            slices = (b.slice(i, CHUNK) for b in batches for i in range(0, b.num_rows, CHUNK))
+            yield from gather(*shared.value, ((b.column("id").to_numpy(), b.column("vec").to_pylist()) for b in slices))
+
+        return rows.mapInArrow(run, schema)
+
+    blocks, chunks_ = -(-asked.count() // BLOCK), max(1, -(-rows.count() // CHUNK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = asked.withColumn("block", dealt("query_id", blocks)).withColumn("chunk", every(chunks_))
+    right = rows.withColumn("chunk", dealt("id", chunks_)).withColumn("block", every(blocks))
+
+    def meet(one: pa.Table, other: pa.Table) -> pa.Table:
+        if not one.num_rows or not other.num_rows:
+            return empty
+        unit = _unit(one.column("vec").to_pylist())
+        pair = [(other.column("id").to_numpy(), other.column("vec").to_pylist())]
+        out = list(gather(one.column("query_id").to_pylist(), unit, one.column("extra").to_pylist(), pair))
+        return pa.Table.from_batches(out) if out else empty
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    empty = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in schema.split(", "))]).empty_table()
+    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(meet, schema)
 
 
-def _searcher(shared, k: int | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, unit = shared.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            own, score = pdf["id"].to_numpy(), unit @ _unit(list(pdf["vec"])).T
-            for i, q in enumerate(ids):
-                at = np.arange(len(own)) if k is None or k >= len(own) else _best(np.round(score[i], 9), own, k)
-                yield pd.DataFrame({"query_id": q, "id": own[at], "score": score[i][at]})
+def similarities(queries: DataFrame, vectors: DataFrame, k: int | None = None) -> DataFrame:
+    """query_id, id, score for ``queries`` (query_id, vec) against ``vectors`` (id, vec).
 
-    return run
+    ``k``: each task returns only its k best per query (ties in the ninth decimal
+    by id); a global top-k follows outside.  Null vectors match nothing.
+    """
+    asked = queries.withColumn("extra", F.lit(0))
+    return _searched(asked, vectors, Best.schema, lambda ids, _: Best(ids, k))
 
 
-def _best(score: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((own, -score))[:k]
+def best_over_queries(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """id, score: each row's best score over all queries."""
+    found = _searched(queries.withColumn("extra", F.lit(0)), vectors, Nearest.schema, lambda ids, _: Nearest(ids))
+    return found.groupBy("id").agg(F.max("score").alias("score"))
 
 
 def field_statistics(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """query_id, top, middle, prominence: the middle is the descending list's element floor(n / 2).
 
-    Scores of all pairs are counted in the tasks' histograms of the ninth decimal's
-    order, so the middle is found by a window over counts, not over pairs.
+    Tasks count scores (to nine decimals) in bins; only the scores of the bin that
+    holds the middle are looked at one by one, in a second pass.
     """
-    pairs = similarities(queries, vectors).select("query_id", F.round("score", 9).alias("score"))
-    counts = pairs.groupBy("query_id", "score").agg(F.count("*").alias("n"))
-    down = Window.partitionBy("query_id").orderBy(F.col("score").desc())
-    placed = counts.withColumn("upto", F.sum("n").over(down)).withColumn(
-        "n_all", F.sum("n").over(Window.partitionBy("query_id"))
+    found = _searched(queries.withColumn("extra", F.lit(0)), vectors, Bins.schema, lambda ids, _: Bins(ids))
+    counts = found.groupBy("query_id", "bin").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+    down = Window.partitionBy("query_id").orderBy(F.col("bin").desc())
+    own = Window.partitionBy("query_id")
+    counts = counts.withColumn("upto", F.sum("n").over(down)).withColumn("middle", F.floor(F.sum("n").over(own) / 2))
+    counts = counts.withColumn("top", F.max("top").over(own))
+    held = counts.where((F.col("upto") > F.col("middle")) & (F.col("upto") - F.col("n") <= F.col("middle"))).select(
+        "query_id", "bin", "top", (F.col("middle") - F.col("upto") + F.col("n")).alias("place")
     )
-    middle = F.max(F.when(F.col("upto") > F.floor(F.col("n_all") / 2), F.col("score"))).alias("middle")
-    return (
-        placed.groupBy("query_id")
-        .agg(F.max("score").alias("top"), middle)
-        .withColumn("prominence", F.col("top") - F.col("middle"))
+    asked = queries.join(held, "query_id").withColumn("extra", F.col("bin"))
+    inside = _searched(asked, vectors, Inside.schema, lambda ids, bins: Inside(ids, bins))
+    inside = inside.groupBy("query_id", "score").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))
+    middle = inside.withColumn("upto", upto).join(held, "query_id").where(
+        (F.col("upto") > F.col("place")) & (F.col("upto") - F.col("n") <= F.col("place"))
     )
+    return middle.select("query_id", "top", F.col("score").alias("middle"), (F.col("top") - F.col("score")).alias("prominence"))

@@ -161,7 +161,7 @@ def tiered_command_rank(spark, sf_dir):
     total = hit.groupBy("q").agg(F.count("*").alias("total"))
     order = Window.partitionBy("q").orderBy("tier", "p_partkey")
     best = hit.withColumn("n", F.row_number().over(order)).where("n <= 8")
-    return best.join(F.broadcast(total), "q").select("q", "p_partkey", "tier", "total")
+    return best.join(total, "q").select("q", "p_partkey", "tier", "total")
 
 
 def _medium_sql(c: str) -> str:

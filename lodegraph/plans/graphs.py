@@ -2,33 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import npmi, npmi_to_weight
 from ..functions.text import query_tokens
-from ..operators import corpus, fusion, graph, tables
+from ..operators import corpus, fusion, graph, ordered, tables
 from ..sources.tables import written
-from .lexical import GATE, HYBRID, TERMS, benchmark_queries, gate_inputs
+from .lexical import GATE, HYBRID, TERMS, benchmark_queries, document_index, gate_inputs
 from .registry import first_distinct, query, table
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """What questions are routed over: the documents' index, the lexicon, and the edges that carry activation."""
+
+    index: corpus.Index
+    names: list[str]
+    edges: DataFrame
+
+
 def docs_of(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
 
 
-def names_of(spark, sf_dir) -> list[str]:
-    return graph.lexicon(docs_of(spark, sf_dir), "text")
+def names_of(spark, sf_dir, index=None) -> list[str]:
+    return graph.lexicon(index or document_index(spark, sf_dir))
 
 
-def edges_of(spark, sf_dir, names: list[str] | None = None):
-    names = names_of(spark, sf_dir) if names is None else names
-    return graph.edges(docs_of(spark, sf_dir), "text", "source", names)
+def edges_of(spark, sf_dir):
+    index = document_index(spark, sf_dir)
+    return graph.edges(index, graph.lexicon(index))
 
 
-def usable_edges(spark, sf_dir, names: list[str] | None = None):
-    """The edges that carry activation, written once: every hop joins them."""
-    return written(graph.with_brake(graph.capped(graph.eligible(edges_of(spark, sf_dir, names)))), "edges")
+def prepared(spark, sf_dir) -> Prepared:
+    """Every table that routing reads, written once: the corpus is cut into tokens a single time."""
+    index = document_index(spark, sf_dir)
+    names = graph.lexicon(index)
+    usable = graph.with_brake(graph.capped(graph.eligible(graph.edges(index, names))))
+    return Prepared(index, names, written(usable, "edges"))
 
 
 def seeds_of(spark, sf_dir, names: list[str] | None = None, most: int = 6):
@@ -91,7 +105,8 @@ s2 AS (
 
 @query("cooccur_pairs", f"WITH {GRAPH} SELECT a, b, both_n::BIGINT AS both, n_domains FROM pr")
 def cooccur_pairs(spark, sf_dir):
-    return graph.cooccurrence(docs_of(spark, sf_dir), "text", "source", names_of(spark, sf_dir))
+    index = document_index(spark, sf_dir)
+    return graph.cooccurrence(graph.held_terms(index, graph.lexicon(index)))
 
 
 @query("npmi_edges", f"WITH {GRAPH} SELECT src, dst, round(npmi, 6) AS npmi, round(weight, 6) AS weight, n_obs, n_domains FROM edges")
@@ -132,18 +147,18 @@ def npmi_brand_baskets(spark, sf_dir):
     return value.select("a", "b", "both", F.round("npmi", 6).alias("npmi"), F.round(weight, 6).alias("weight"))
 
 
-def evidence_of(spark, sf_dir):
-    """One row per edge and document: an observation and its confidence (longer texts count less)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    seen = graph.pairs(docs, graph.lexicon_terms(docs, "text", names_of(spark, sf_dir)), "doc_id", "source")
-    return seen.select(F.col("a").alias("src"), F.col("b").alias("dst"), "doc_id", "source").withColumn(
-        "confidence", F.lit(0.25)
-    )
+def evidence_of(index, names: list[str]):
+    """One row per edge and document: an observation, each of the same confidence."""
+    seen = graph.pairs(graph.held_terms(index, names), F.col("held"), "id", "domain")
+    return seen.select(
+        F.col("a").alias("src"), F.col("b").alias("dst"), F.col("id").alias("doc_id"), F.col("domain").alias("source")
+    ).withColumn("confidence", F.lit(0.25))
 
 
 @query("edge_evidence_stats", f"WITH {GRAPH} SELECT a AS src, b AS dst, both_n::BIGINT AS n_obs, n_domains FROM pr")
 def edge_evidence_stats(spark, sf_dir):
-    by_domain = evidence_of(spark, sf_dir).groupBy("src", "dst", "source").agg(F.count("*").alias("n"))
+    index = document_index(spark, sf_dir)
+    by_domain = evidence_of(index, graph.lexicon(index)).groupBy("src", "dst", "source").agg(F.count("*").alias("n"))
     return by_domain.groupBy("src", "dst").agg(F.sum("n").alias("n_obs"), F.count("source").alias("n_domains"))
 
 
@@ -181,8 +196,8 @@ def spread_activation_2hop(spark, sf_dir):
 
 
 def activated_of(spark, sf_dir, hops):
-    names = names_of(spark, sf_dir)
-    state, _ = graph.spread_activation(seeds_of(spark, sf_dir, names), usable_edges(spark, sf_dir, names), hops)
+    ready = prepared(spark, sf_dir)
+    state, _ = graph.spread_activation(seeds_of(spark, sf_dir, ready.names), ready.edges, hops)
     return state.select(
         "query_id",
         "id",
@@ -198,8 +213,8 @@ def activated_of(spark, sf_dir, hops):
     UNION ALL SELECT query_id, src, dst, round(contribution, 9), 2 FROM f2""",
 )
 def activation_paths(spark, sf_dir):
-    names = names_of(spark, sf_dir)
-    _, flows = graph.spread_activation(seeds_of(spark, sf_dir, names), usable_edges(spark, sf_dir, names), 2)
+    ready = prepared(spark, sf_dir)
+    _, flows = graph.spread_activation(seeds_of(spark, sf_dir, ready.names), ready.edges, 2)
     return flows.withColumn("contribution", F.round("contribution", 9))
 
 
@@ -212,10 +227,12 @@ SELECT b.src, b.dst, round(weight, 6) AS weight, n_obs, doc_id, source FROM best
 QUALIFY row_number() OVER (PARTITION BY b.src, b.dst ORDER BY doc_id) <= 2""",
 )
 def why_module(spark, sf_dir):
-    best = graph.eligible(edges_of(spark, sf_dir)).where("src < dst").select(
+    index = document_index(spark, sf_dir)
+    names = graph.lexicon(index)
+    best = graph.eligible(graph.edges(index, names)).where("src < dst").select(
         "src", "dst", F.round("weight", 6).alias("weight"), "n_obs"
     )
-    some = graph.evidence_sample(evidence_of(spark, sf_dir)).select("src", "dst", "doc_id", "source")
+    some = graph.evidence_sample(evidence_of(index, names)).select("src", "dst", "doc_id", "source")
     return best.join(some, ["src", "dst"])
 
 
@@ -260,21 +277,22 @@ def context_budget(spark, sf_dir):
 FROM documents WINDOW w AS (PARTITION BY source ORDER BY n_chars DESC, doc_id)""",
 )
 def module_budget_split(spark, sf_dir):
-    order = Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.row_number().over(order).alias("place"), "n_chars")
-    return docs.select("doc_id", "source", "place", (F.col("place") <= 12).alias("selected"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    piece = -F.floor(F.col("n_chars") / 64)  # longer texts come first
+    out = ordered.numbered(docs, ["source"], piece, F.col("n_chars").desc(), "doc_id")
+    return out.select("doc_id", "source", "place", (F.col("place") <= 12).alias("selected"))
 
 
-def route(spark, sf_dir, gate: fusion.Gate = GATE, hops: int = 2):
+def route(spark, sf_dir, gate: fusion.Gate = GATE, hops: int = 2, ready: Prepared | None = None):
     """query_id, id, how, value for all questions in one job: gate verdicts and the graph's activated terms."""
-    decided = written(fusion.seed_gate(*gate_inputs(spark, sf_dir), gate), "verdicts")
-    names = names_of(spark, sf_dir)
+    ready = ready or prepared(spark, sf_dir)
+    decided = written(fusion.seed_gate(*gate_inputs(spark, sf_dir, ready.index), gate), "verdicts")
     documents = decided.select(
         "query_id", F.col("id").cast("string").alias("id"), F.col("verdict").alias("how"), F.col("rrf").alias("value")
     )
     routed = decided.where("verdict = 'SEED'").select("query_id").distinct()
-    seeds = seeds_of(spark, sf_dir, names).join(routed, "query_id", "left_semi")
-    state, _ = graph.spread_activation(seeds, usable_edges(spark, sf_dir, names), hops)
+    seeds = seeds_of(spark, sf_dir, ready.names).join(routed, "query_id", "left_semi")
+    state, _ = graph.spread_activation(seeds, ready.edges, hops)
     terms = state.where("activation >= 0.5").select(
         "query_id", "id", F.concat(F.lit("HOP_"), F.col("hop").cast("string")).alias("how"), F.col("activation").alias("value")
     )
@@ -293,14 +311,10 @@ def route_e2e(spark, sf_dir):
     return route(spark, sf_dir)
 
 
-def _frequency(spark, sf_dir):
-    return corpus.doc_frequency(table(spark, sf_dir, "documents"), "text")
-
-
 @query("lexicon_terms", f"WITH {GRAPH} SELECT term, df FROM lexicon")
 def lexicon_terms(spark, sf_dir):
-    known = spark.createDataFrame([(x,) for x in names_of(spark, sf_dir)], "term string")
-    return _frequency(spark, sf_dir).join(known, "term", "left_semi")
+    index = document_index(spark, sf_dir)
+    return index.frequency().where(F.col("term").isin(*graph.lexicon(index)))
 
 
 @query("seed_terms", f"WITH {GRAPH} SELECT query_id, id FROM seeds")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import evidence_factor, specificity
 from ..functions.text import canon, padded, tokens
 from ..operators import corpus, fusion, vectors
+from ..sources.tables import written
 from .registry import first_distinct, query, table, tok
 
 DOCS = {"text": 1.0}
@@ -149,16 +150,20 @@ def distinctive_tokens(spark, sf_dir):
     return distinctive_of(spark, sf_dir).withColumn("breadth", F.round("breadth", 6))
 
 
-def distinctive_of(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    statistics = corpus.term_statistics(docs, "text", "source")
-    return corpus.distinctive(benchmark_queries(spark, sf_dir), statistics, docs.count())
+def document_index(spark, sf_dir):
+    """The documents cut into tokens once; all that a query asks of them reads this."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    return corpus.Index.build(docs, "id", DOCS, "source")
 
 
-def lexical_list(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    scored = corpus.bm25(corpus.asked_terms(benchmark_queries(spark, sf_dir)), docs, "id", DOCS)
-    return corpus.top_k(scored, "id", 20)
+def distinctive_of(spark, sf_dir, index=None):
+    index = index or document_index(spark, sf_dir)
+    return corpus.distinctive(benchmark_queries(spark, sf_dir), index.statistics(), index.n)
+
+
+def lexical_list(spark, sf_dir, index=None):
+    asked = corpus.asked_terms(benchmark_queries(spark, sf_dir))
+    return corpus.bm25_top(asked, index or document_index(spark, sf_dir), 20)
 
 
 def vector_table(spark, sf_dir):
@@ -218,8 +223,8 @@ FROM s QUALIFY rank <= 10
 
 def part_bm25(spark, sf_dir, fields):
     questions = part_queries(spark, sf_dir)
-    scored = corpus.bm25(corpus.asked_terms(questions), part_modules(spark, sf_dir), "p_partkey", fields)
-    best = corpus.top_k(scored, "p_partkey", 10).join(questions, "query_id")
+    index = corpus.Index.build(part_modules(spark, sf_dir), "p_partkey", fields)
+    best = corpus.bm25_top(corpus.asked_terms(questions), index, 10).join(questions, "query_id")
     return best.select("text", "p_partkey", F.round("score", 6).alias("score"), "rank")
 
 
@@ -242,8 +247,7 @@ def bm25_name_scoped(spark, sf_dir):
     "arg_min(query_id, (-round(score, 9), query_id)) AS best_query FROM s GROUP BY id",
 )
 def bm25_max_over_queries(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    scored = corpus.bm25(corpus.asked_terms(benchmark_queries(spark, sf_dir)), docs, "id", DOCS)
+    scored = corpus.bm25(corpus.asked_terms(benchmark_queries(spark, sf_dir)), document_index(spark, sf_dir))
     return corpus.max_over_queries(scored, "id").withColumn("best_score", F.round("best_score", 6))
 
 
@@ -349,12 +353,12 @@ def vector_median_prominence(spark, sf_dir):
     COSINES + " SELECT id, round(max(score), 6) AS best_score FROM cos GROUP BY id",
 )
 def multi_query_max_cosine(spark, sf_dir):
-    found = vectors.similarities(twentieth_vectors(spark, sf_dir), vector_table(spark, sf_dir))
-    return found.groupBy("id").agg(F.round(F.max("score"), 6).alias("best_score"))
+    found = vectors.best_over_queries(twentieth_vectors(spark, sf_dir), vector_table(spark, sf_dir))
+    return found.select("id", F.round("score", 6).alias("best_score"))
 
 
-def hybrid_lists(spark, sf_dir):
-    lexical = lexical_list(spark, sf_dir).withColumn("retriever", F.lit("bm25"))
+def hybrid_lists(spark, sf_dir, index=None):
+    lexical = lexical_list(spark, sf_dir, index).withColumn("retriever", F.lit("bm25"))
     vector = vector_list(spark, sf_dir).withColumn("retriever", F.lit("vector"))
     return lexical, vector
 
@@ -392,15 +396,12 @@ def evidence_weighted_rrf(spark, sf_dir):
     )
 
 
-def gate_inputs(spark, sf_dir):
-    """Fused hits and signals.  Rare terms are a flag on the asked ones, so the postings are read once."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    rare = distinctive_of(spark, sf_dir).select("query_id", "term", F.lit(True).alias("rare")).persist()
-    asked = corpus.asked_terms(benchmark_queries(spark, sf_dir)).join(rare, ["query_id", "term"], "left")
-    scored = corpus.bm25(asked.withColumn("rare", F.coalesce("rare", F.lit(False))), docs, "id", DOCS)
-    lexical = corpus.top_k(scored.drop("rare_score"), "id", 20).withColumn("retriever", F.lit("bm25"))
-    by_rare = scored.where("rare_score IS NOT NULL").select("query_id", "id", F.col("rare_score").alias("score"))
-    vector = vector_list(spark, sf_dir).withColumn("retriever", F.lit("vector"))
+def gate_inputs(spark, sf_dir, index=None):
+    """Fused hits and signals, over one index."""
+    index = index or document_index(spark, sf_dir)
+    rare = written(distinctive_of(spark, sf_dir, index).select("query_id", "term"), "rare")
+    lexical, vector = (written(x, "hits") for x in hybrid_lists(spark, sf_dir, index))
+    by_rare = corpus.bm25(rare, index).select("query_id", "id", "score")
     fused = fusion.rrf(lexical.unionByName(vector))
     field = vectors.field_statistics(benchmark_vectors(spark, sf_dir), vector_table(spark, sf_dir))
     signal = fusion.signals(fused, lexical, vector, field, by_rare)

@@ -136,7 +136,7 @@ def effort_profiles(spark, sf_dir):
     asked = table(spark, sf_dir, "orders").select(
         "o_orderkey", profiles.parse_effort(F.expr("substr(o_orderpriority, 3)")).alias("effort")
     )
-    known = F.broadcast(profiles.effort_table(spark))
+    known = profiles.effort_table(spark)
     return asked.join(known, "effort").select("o_orderkey", "effort", "hops", "max_seeds")
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import web
-from ..operators import corpus, extraction, fusion, graph, tables
-from .graphs import GRAPH, docs_of, names_of, seeds_of, usable_edges
+from ..operators import corpus, extraction, fusion, graph, ordered, tables
+from .graphs import GRAPH, docs_of, names_of, prepared, seeds_of
 from .lexical import TERMS, benchmark_queries, distinctive_of
 from .registry import first_distinct, query, table, tok
 
@@ -34,10 +34,17 @@ for _pattern in (r"(?s)<!--.*?-->", *(rf"(?is)<{t}.*?</{t}>" for t in ("script",
 
 
 def decoded(c: str) -> str:
-    out = f"replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"')"
-    out = f"regexp_replace({out}, '(?i)&#0?39;|&apos;|&#x27;', '''', 'g')"
-    out = f"regexp_replace({out}, '&nbsp;|&#160;', ' ', 'g')"
-    return f"replace({out}, '&amp;', '&')"
+    """DuckDB: character references decoded piece by piece, like ``web.decode_entities``."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    named = "map([" + ", ".join(map(q, web.ENTITIES)) + "], [" + ", ".join(map(q, web.ENTITIES.values())) + "])"
+    name = f"regexp_extract(x, '{web.REFERENCE}', 1)"
+    point = f"(CASE WHEN lower({name}[2:2]) = 'x' THEN ('0x' || {name}[3:])::INT ELSE {name}[2:]::INT END)"
+    fine = f"({point} BETWEEN 1 AND 1114111 AND {point} NOT BETWEEN 55296 AND 57343)"
+    number = f"CASE WHEN {point} = 160 THEN ' ' WHEN {fine} THEN chr({point}) END"
+    plain = f"(CASE WHEN {name} = '' THEN NULL WHEN {name}[1:1] = '#' THEN {number} ELSE {named}[{name}] END)"
+    piece = f"CASE WHEN {plain} IS NOT NULL THEN {plain} || x[length({name}) + 2:] ELSE '&' || x END"
+    cut = f"string_split({c}, '&')"
+    return f"({cut}[1] || array_to_string(list_transform({cut}[2:], lambda x: {piece}), ''))"
 
 
 def stripped(c: str) -> str:
@@ -143,7 +150,7 @@ def robots_filter(spark, sf_dir):
         F.regexp_extract("url", r"^[^:]*://[^/?#]*([^?#]*)", 1).alias("path"),
     )
     barred = (rows["zone"] == rules["zone"]) & rows["path"].startswith(rules["prefix"])
-    return rows.join(F.broadcast(rules), barred, "left_anti").select("page_id", "url")
+    return rows.join(rules, barred, "left_anti").select("page_id", "url")
 
 
 @query(
@@ -158,15 +165,13 @@ SELECT url, title, engines, round(score, 9) AS score, best_rank FROM f ORDER BY
 )
 def fuse_search_results(spark, sf_dir):
     """Three synthetic engines list the pages in turn; the report is the first 50 fused results."""
-    from pyspark.sql import Window
-
     rows = pages_of(spark, sf_dir).select(
         web.normalise_url(F.col("url")).alias("url"),
         web.title_of(F.col("html")).alias("title"),
         (F.col("page_id") % 3).cast("string").alias("engine"),
         "page_id",
     )
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("engine").orderBy("page_id")))
+    ranked = ordered.numbered(rows, ["engine"], F.floor(F.col("page_id") / 10_000), "page_id").withColumnRenamed("place", "rank")
     out = fusion.fuse_search_results(ranked, 50)
     return out.select("url", "title", "engines", F.round("score", 9).alias("score"), "best_rank")
 
@@ -274,9 +279,9 @@ FROM nodes n LEFT JOIN favour f ON f.query_id = n.query_id AND f.id = n.id""",
 )
 def resolve_alternatives(spark, sf_dir):
     """Alternatives: terms that stand in one sentence with a cue of choice."""
-    names = names_of(spark, sf_dir)
-    state, _ = graph.spread_activation(seeds_of(spark, sf_dir, names), usable_edges(spark, sf_dir, names), 2)
-    found = extraction.alternatives(docs_of(spark, sf_dir), "doc_id", F.col("text"), names)
+    ready = prepared(spark, sf_dir)
+    state, _ = graph.spread_activation(seeds_of(spark, sf_dir, ready.names), ready.edges, 2)
+    found = extraction.alternatives(docs_of(spark, sf_dir), "doc_id", F.col("text"), ready.names)
     out = graph.resolve_alternatives(state.select("query_id", "id", "activation"), found.select("a", "b").distinct())
     return out.withColumn("activation", F.round("activation", 6))
 
@@ -347,11 +352,10 @@ FROM p JOIN n USING (item_id)""",
 )
 def grounding_check(spark, sf_dir):
     """An item's words proposed for the next item's text: grounded where they occur in it."""
-    from pyspark.sql import Window
-
-    items = table(spark, sf_dir, "benchmark")
-    following = F.lead("text", 1).over(Window.orderBy("item_id"))
-    rows = items.select("item_id", F.coalesce(following, F.col("text")).alias("next"), "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text", F.lit(1).alias("all"))
+    items = ordered.numbered(items, ["all"], F.floor(F.col("item_id") / 10_000), "item_id")
+    after = items.select((F.col("place") - 1).alias("place"), F.col("text").alias("following"))
+    rows = items.join(after, "place", "left").select("item_id", F.coalesce("following", "text").alias("next"), "text")
     asked = rows.select("item_id", "next", F.explode(tx.query_tokens(F.col("text"))).alias("proposal"))
     return asked.select("item_id", "proposal", tx.occurs_in(F.col("next"), F.col("proposal")).alias("grounded"))
 
@@ -528,8 +532,8 @@ def learn_e2e(spark, sf_dir):
     pages = pages_of(spark, sf_dir).select(
         "page_id", web.text_of(F.col("html")).alias("text"), web.domain_of(F.col("url")).alias("domain")
     )
-    names = graph.lexicon(pages, "text")
-    built = graph.capped(graph.edges(pages, "text", "domain", names))
+    index = corpus.Index.build(pages, "page_id", {"text": 1.0}, "domain")
+    built = graph.capped(graph.edges(index, graph.lexicon(index)))
     return built.select("src", "dst", F.round("npmi", 6).alias("npmi"), F.round("weight", 6).alias("weight"), "n_obs", "n_domains")
 
 
