@@ -147,20 +147,27 @@ def content_tokens(text: Column) -> Column:
     return F.when(F.size(content) > 0, content).otherwise(all_tokens)
 
 
-def entities(text: Column, most: int = 12) -> Column:
-    """Quoted spans, technology-like tokens, else content words: entities without a model."""
+def entities(text: Column, most: int = 12, known: Column | None = None) -> Column:
+    """Known names (if given), quoted spans, technology-like tokens, else content words: entities without a model."""
     quoted = F.transform(
         F.regexp_extract_all(text, F.lit("[\"'`]([^\"'`]{2,40})[\"'`]"), 1), lambda x: F.lower(F.trim(x))
     )
     words = F.regexp_extract_all(text, F.lit(r"\b([A-Za-z][A-Za-z0-9_.+#/\-]{2,30})\b"), 1)
     tech = F.transform(F.filter(words, lambda w: w.rlike(r"[0-9./\-]|^[a-z]+[A-Z]")), F.lower)
-    found = F.filter(F.array_distinct(F.concat(quoted, tech)), lambda x: F.length(x) > 0)
+    parts = [quoted, tech] if known is None else [known, quoted, tech]
+    found = F.filter(F.array_distinct(F.concat(*parts)), lambda x: F.length(x) > 0)
     rest = F.filter(
         F.split(F.lower(text), r"[^a-z0-9+#._\-]+"), lambda w: (F.length(w) >= 4) & ~w.isin(*ENTITY_STOPWORDS)
     )
     return F.slice(F.when(F.size(found) > 0, found).otherwise(F.array_distinct(rest)), 1, most)
 
 
+def with_twins(names: Column, most: int = 12) -> Column:
+    """Names of 2 to 60 characters, each followed by its canonical form, without repeats."""
+    both = F.flatten(F.transform(names, lambda x: F.array(x, canon(x))))
+    return F.slice(F.array_distinct(F.filter(both, lambda x: F.length(x).between(2, 60))), 1, most)
+
+
 def session_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / F.lit(3.6)).cast("long")
 

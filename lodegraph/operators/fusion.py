@@ -32,6 +32,19 @@ def rrf(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     )
 
 
+def grounded(hits: DataFrame, unclaimed: DataFrame, modules: DataFrame, weight: float = 0.2) -> DataFrame:
+    """Hits sorted anew: a match through a name that the question does not claim counts ``weight``, common names less.
+
+    ``hits``: query_id, id, score; ``unclaimed``: query_id, id; ``modules``: id, specificity.
+    """
+    marked = hits.select("query_id", "id", "score").join(unclaimed.withColumn("off", F.lit(True)), ["query_id", "id"], "left")
+    scored = marked.join(modules.select("id", "specificity"), "id").withColumn(
+        "score", F.when(F.col("off"), F.col("score") * weight).otherwise(F.col("score")) * F.col("specificity")
+    )
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
+    return scored.select("query_id", "id", "score", F.row_number().over(order).alias("rank"))
+
+
 def fuse_search_results(results: DataFrame, limit: int, k: int = RRF_K) -> DataFrame:
     """url, title, engines, score, rank from ``results`` (engine, rank, url, title): one row per page.
 
@@ -91,18 +104,16 @@ def passes(gate: Gate) -> dict:
         F.least(F.lit(1.0), prominence / max(gate.min_prominence, 1e-9)),
     )
     relevant = covered & (semantic | (lexical >= gate.min_bm25) | agree | exact)
-    return {"prominence": prominence, "lexical": lexical, "relevant": relevant, "confidence": confidence}
+    return {"prominence": prominence, "lexical": lexical, "covered": covered, "relevant": relevant, "confidence": confidence}
 
 
 def seed_gate(fused: DataFrame, signal: DataFrame, gate: Gate = Gate()) -> DataFrame:
-    """query_id, id, rrf, verdict, confidence for each fused hit.
+    """query_id, id, rrf, verdict, confidence, reason for each fused hit.
 
     ``signal``: query_id and the columns of ``signals`` with has_rare, top_exact.
     """
     tests = passes(gate)
-    judged = signal.select(
-        "query_id", tests["relevant"].alias("relevant"), tests["confidence"].alias("confidence")
-    )
+    judged = signal.select("query_id", *[tests[x].alias(x) for x in ("covered", "relevant", "confidence")])
     order = Window.partitionBy("query_id").orderBy(F.round("rrf", 12).desc(), "id")
     hits = fused.withColumn("place", F.row_number().over(order)).withColumn(
         "floor", F.max("rrf").over(Window.partitionBy("query_id")) * gate.relative_floor
@@ -114,10 +125,16 @@ def seed_gate(fused: DataFrame, signal: DataFrame, gate: Gate = Gate()) -> DataF
         .when(F.col("place") > gate.max_seeds, "OVER_CAP")
         .otherwise("SEED")
     )
-    out = hits.join(judged, "query_id").withColumn("verdict", verdict)
-    return out.select(
-        "query_id", "id", "rrf", "verdict", F.when(F.col("verdict") == "SEED", F.col("confidence")).alias("confidence")
+    reason = (
+        F.when(~F.col("covered"), "no module holds a distinctive term of the question")
+        .when(~F.col("relevant"), "no retriever finds anything relevant")
+        .when(F.col("rrf") < F.col("floor"), "too far below the best")
+        .when(F.col("place") > gate.max_seeds, "all seeds are taken")
+        .otherwise("in contention with the best")
     )
+    out = hits.join(judged, "query_id").withColumn("verdict", verdict).withColumn("reason", reason)
+    confidence = F.when(F.col("verdict") == "SEED", F.col("confidence")).alias("confidence")
+    return out.select("query_id", "id", "rrf", "verdict", confidence, "reason")
 
 
 def knowledge_gaps(decisions: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import checks, events, graphs, lexical, payloads, stores, streams, texts  # noqa: F401
+from . import checks, events, fittings, graphs, routing, lexical, payloads, stores, streams, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
 def flagship(spark, sf_dir):
-    return graphs.route(spark, sf_dir)
+    return routing.routed(spark, sf_dir)
 
 
 def queries() -> dict:

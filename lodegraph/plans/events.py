@@ -135,12 +135,12 @@ STEPS = "SELECT user_id, event_id, ts, (event_type <> 'error')::INT AS ok, event
 
 @query(
     "stall_detection",
-    f"""SELECT user_id, event_id, count(*) OVER w = 2 AND sum(ok) OVER w = 0 AS stalled FROM ({STEPS})
-WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)""",
+    f"""SELECT user_id, event_id, count(*) OVER w = 4 AND sum(ok) OVER w = 0 AS stalled FROM ({STEPS})
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""",
 )
 def stall_detection(spark, sf_dir):
     steps = events_of(spark, sf_dir).withColumn("ok", (F.col("event_type") != "error").cast("int"))
-    return tables.stalled(steps, "user_id", "ts", "event_id", last=2).select("user_id", "event_id", "stalled")
+    return tables.stalled(steps, "user_id", "ts", "event_id").select("user_id", "event_id", "stalled")
 
 
 @query(

@@ -300,14 +300,15 @@ def route(spark, sf_dir, gate: fusion.Gate = GATE, hops: int = 2, ready: Prepare
 
 
 @query(
-    "route_e2e",
+    "route_documents",
     f"""WITH {GRAPH}, {HYBRID}
 SELECT query_id, id::VARCHAR AS id, verdict AS how, round(rrf, 6) AS value FROM decided
 UNION ALL
 SELECT query_id, id, 'HOP_' || hop, round(activation, 6) FROM s2
 WHERE activation >= 0.5 AND query_id IN (SELECT query_id FROM decided WHERE verdict = 'SEED')""",
 )
-def route_e2e(spark, sf_dir):
+def route_documents(spark, sf_dir):
+    """Documents instead of modules, and the lexicon terms of the question as seeds."""
     return route(spark, sf_dir)
 
 

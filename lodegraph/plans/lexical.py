@@ -426,7 +426,7 @@ def relevance_signals(spark, sf_dir):
 @query("seed_gate", f"""WITH {TERMS}, {HYBRID}
 SELECT query_id, id, round(rrf, 9) AS rrf, verdict, round(CASE WHEN verdict = 'SEED' THEN confidence END, 6) AS confidence FROM decided""")
 def seed_gate(spark, sf_dir):
-    out = fusion.seed_gate(*gate_inputs(spark, sf_dir), GATE)
+    out = fusion.seed_gate(*gate_inputs(spark, sf_dir), GATE).drop("reason")
     return out.withColumn("rrf", F.round("rrf", 9)).withColumn("confidence", F.round("confidence", 6))
 
 

@@ -12,7 +12,7 @@ from ..sources import lines, results
 from ..sources.tables import scratch
 from ..streaming import state
 from .registry import first_distinct, query, table, tok
-from .texts import JUNK, TITLE, pages_of
+from .texts import JUNK, pages_of
 
 EVENT_LINES = "event_id long, user_id long, event_type string"
 
@@ -259,20 +259,6 @@ def term_snippets(spark, sf_dir):
     return docs.select("doc_id", snippet_of(F.col("text"), F.lit("data")).alias("snippet"))
 
 
-@query(
-    "page_skips",
-    f"""WITH t AS (SELECT page_id, html, len({first_distinct('t', 1000000)}) AS n FROM (SELECT page_id, html, {tok(TITLE)} AS t FROM pages))
-SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN 'empty' WHEN n < 3 THEN 'only ' || n || ' terms' END AS reason FROM t""",
-)
-def page_skips(spark, sf_dir):
-    """Why a page is not learned from: empty, or too few terms in its title; null where it is."""
-    terms = F.size(F.array_distinct(tx.tokens(web.title_of(F.col("html")))))
-    reason = F.when(F.col("html").isNull() | (F.col("html") == ""), "empty").when(
-        terms < 3, F.concat(F.lit("only "), terms.cast("string"), F.lit(" terms"))
-    )
-    return pages_of(spark, sf_dir).select("page_id", reason.alias("reason"))
-
-
 @query(
     "learn_guards",
     f"""WITH c AS (

@@ -13,6 +13,11 @@ def ndjson(lines: DataFrame, schema: str) -> DataFrame:
     return good.dropna("all")
 
 
+def write_ndjson(rows: DataFrame, path: str) -> None:
+    """One JSON object per row and line; null fields are left out."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("append").text(path)
+
+
 def ndjson_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 16) -> DataFrame:
     return ndjson(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path), schema)
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -22,3 +23,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def commit(df: DataFrame, root: str, publish: bool = True) -> str:
+    """A new version of the table under ``root``; readers see it only once its one-row commit record is written.
+
+    A write that fails or is repeated leaves a folder that no record names.
+    """
+    spark, name = df.sparkSession, f"version-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{name}")
+    if publish:
+        record = spark.range(1).select(F.lit(name).alias("name"), F.unix_micros(F.current_timestamp()).alias("at"))
+        record.coalesce(1).write.mode("append").parquet(f"{root}/commits")
+    return name
+
+
+def latest(spark: SparkSession, root: str) -> DataFrame:
+    """The version that was committed last."""
+    last = spark.read.parquet(f"{root}/commits").agg(F.max(F.struct("at", "name"))["name"]).first()[0]
+    return spark.read.parquet(f"{root}/{last}")
