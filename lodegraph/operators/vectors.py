@@ -164,20 +164,20 @@ def _searched(queries: DataFrame, vectors: DataFrame, schema: str, start: Callab
     blocks, chunks_ = -(-asked.count() // BLOCK), max(1, -(-rows.count() // CHUNK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = asked.withColumn("block", dealt("query_id", blocks)).withColumn("chunk", every(chunks_))
-    right = rows.withColumn("chunk", dealt("id", chunks_)).withColumn("block", every(blocks))
+    left = asked.select("query_id", F.col("vec").alias("asked"), "extra", dealt("query_id", blocks).alias("block"), every(chunks_).alias("chunk"))
+    right = rows.select("id", F.col("vec").alias("held"), dealt("id", chunks_).alias("to_chunk"), every(blocks).alias("to_block"))
 
     def meet(one: pa.Table, other: pa.Table) -> pa.Table:
         if not one.num_rows or not other.num_rows:
             return empty
-        unit = _unit(one.column("vec").to_pylist())
-        pair = [(other.column("id").to_numpy(), other.column("vec").to_pylist())]
+        unit = _unit(one.column("asked").to_pylist())
+        pair = [(other.column("id").to_numpy(), other.column("held").to_pylist())]
         out = list(gather(one.column("query_id").to_pylist(), unit, one.column("extra").to_pylist(), pair))
         return pa.Table.from_batches(out) if out else empty
 
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
     empty = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in schema.split(", "))]).empty_table()
-    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(meet, schema)
+    return left.groupBy("block", "chunk").cogroup(right.groupBy("to_block", "to_chunk")).applyInArrow(meet, schema)
 
 
 def similarities(queries: DataFrame, vectors: DataFrame, k: int | None = None) -> DataFrame:

@@ -6,9 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import web
+from ..operators import corpus, graph
 from ..sources.tables import scratch
 from ..streaming import state
 from .registry import ORACLES, query, table
+from .texts import DOMAIN, PAGE_GRAPH, PLAIN
 
 
 def event_stream(spark, sf_dir):
@@ -53,3 +56,36 @@ def stream_windows(spark, sf_dir):
     )
     out = spark.read.schema(stream.schema).parquet(f"{folder}/rows")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+TERMS_PER_BATCH = 30
+
+
+@query(
+    "stream_learn",
+    f"""WITH learned AS (SELECT page_id AS doc_id, {PLAIN} AS text, {DOMAIN} AS source FROM (
+  SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1)),
+{PAGE_GRAPH[: PAGE_GRAPH.index('lt AS (')].replace('LIMIT 200', f'LIMIT {TERMS_PER_BATCH}').rstrip().rstrip(',')},
+lt AS (SELECT DISTINCT doc_id, source, term FROM dt WHERE term IN (SELECT term FROM lexicon))
+SELECT x.term AS a, y.term AS b, count(*) AS n_obs, count(DISTINCT x.source) AS n_domains
+FROM lt x JOIN lt y ON x.doc_id = y.doc_id AND x.term < y.term GROUP BY ALL""",
+)
+def stream_learn(spark, sf_dir):
+    """Pages learned as a stream, here in one batch: evidence by batch, added up at the end."""
+    folder = scratch(spark, "learned")
+    first = table(spark, sf_dir, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    rows = table(spark, sf_dir, "pages").join(first, ["url", "page_id"], "left_semi")
+    rows.select("page_id", "url", "html").coalesce(1).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("page_id long, url string, html string").parquet(f"{folder}/in")
+
+    def index(pages):
+        cut = pages.select("page_id", web.text_of(F.col("html")).alias("text"), web.domain_of(F.col("url")).alias("domain"))
+        return corpus.Index.build(cut, "page_id", {"text": 1.0}, "domain")
+
+    def observe(pages, terms):
+        return graph.pairs(graph.held_terms(index(pages), terms), F.col("held"), "page_id", "domain")
+
+    writer = state.learn_stream(stream, folder, lambda pages: graph.lexicon(index(pages), size=TERMS_PER_BATCH), observe)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    seen = spark.read.parquet(f"{folder}/evidence").groupBy("a", "b", "domain").agg(F.count("*").alias("n"))
+    return seen.groupBy("a", "b").agg(F.sum("n").alias("n_obs"), F.count("domain").alias("n_domains"))

@@ -25,7 +25,7 @@ def token_bucket(requests: DataFrame, capacity: float, per_minute: float, idle_m
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["at_ms", "id"])
+        rows = pd.concat(list(batches)).sort_values(["at_ms", "id"])  # of one micro-batch, which the source bounds
         left, last = state.get if state.exists else (capacity, int(rows["at_ms"].iloc[0]))
         allowed, wait = [], []
         for at, cost in zip(rows["at_ms"], rows["cost"], strict=True):
@@ -76,16 +76,31 @@ def run_once(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def learn_stream(pages: DataFrame, path: str, build: Callable[[DataFrame], DataFrame]):
-    """Starts a stream that keeps all pages and rebuilds the edge snapshot with every batch.
+def learn_stream(pages: DataFrame, path: str, lexicon: Callable[[DataFrame], list[str]], observe: Callable[[DataFrame, list[str]], DataFrame]):
+    """Writer of a stream of pages that only ever adds: every batch looks at its own new pages.
 
-    A snapshot is derived from all facts each time, so a batch that is run again
-    gives the same pages (by url) and the same edges.
+    A page is learned once, by its url.  ``lexicon(batch)`` gives the terms of a
+    batch; they join those of the batches before, so that later pages reinforce
+    what earlier ones brought.  ``observe(pages, terms)`` turns the new pages into
+    rows of evidence, kept by batch; a batch that is run again replaces its own.
     """
 
+    def before(folder: str, number: int) -> str:
+        return f"{path}/{folder}/batch={number}"
+
     def absorb(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.dropDuplicates(["url"]).write.mode("overwrite").parquet(f"{path}/pages/batch={number}")
-        build(spark.read.parquet(f"{path}/pages").dropDuplicates(["url"])).write.mode("overwrite").parquet(f"{path}/edges")
-
-    return pages.writeStream.foreachBatch(absorb).option("checkpointLocation", f"{path}/checkpoint").start()
+        fresh = batch.dropDuplicates(["url"])
+        if number:
+            old = spark.read.schema("url string, batch int").parquet(f"{path}/urls").where(F.col("batch") < number)
+            fresh = fresh.join(old.select("url"), "url", "left_anti")
+        fresh.write.mode("overwrite").parquet(before("pages", number))
+        kept = spark.read.schema(batch.schema).parquet(before("pages", number))
+        kept.select("url").write.mode("overwrite").parquet(before("urls", number))
+        new = spark.createDataFrame([(x,) for x in lexicon(kept)], "term string")
+        new.write.mode("overwrite").parquet(before("terms", number))
+        known = spark.read.schema("term string, batch int").parquet(f"{path}/terms").where(F.col("batch") <= number)
+        terms = sorted(r["term"] for r in known.select("term").distinct().collect())
+        observe(kept, terms).write.mode("overwrite").parquet(before("evidence", number))
+
+    return pages.writeStream.foreachBatch(absorb).option("checkpointLocation", f"{path}/checkpoint")

@@ -231,3 +231,113 @@ def test_names_of_any_length_are_found(spark):
     names = spark.createDataFrame([("one two three four five",), ("two",)], "name string")
     got = corpus.ngram_hits(texts, "id", F.col("text"), names).collect()
     assert sorted((r["id"], r["name"]) for r in got) == [(1, "one two three four five"), (1, "two"), (2, "two")]
+
+
+def test_references_are_decoded_once(spark):
+    said = "a &amp;lt; b &#8217;&#x1F600; &copy;&nbsp;x &unknown; &#0;&#xD800; & &auml;&#160;."
+    assert column(spark, web.decode_entities(F.lit(said))) == "a &lt; b ’😀 © x &unknown; &#0;&#xD800; & ä ."
+    assert column(spark, web.decode_entities(F.lit("plain"))) == "plain" and column(spark, web.decode_entities(F.lit(None).cast("string"))) is None
+
+
+def test_bags_count_words_in_their_row(spark):
+    rows = spark.createDataFrame([(1, "b a b", "c"), (2, None, "a a"), (3, "", "")], "id long, x string, y string")
+    rows = rows.select("id", F.replace("x", F.lit(" "), F.lit("1 ")).alias("x"), F.col("y"))
+    got = {r["id"]: r for r in corpus.bags(rows, "id", {"x": 2.0, "y": 1.0}).collect()}
+    assert [tuple(t) for t in got[1]["terms"]] == [("a1", 2.0), ("b1", 2.0)] and got[1]["length"] == 2
+    assert got[2]["length"] is None and got[3]["terms"] == [] and got[3]["length"] == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pruned_search_finds_the_same(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(rng.choices(words, [1 / (i + 1) ** 1.2 for i in range(40)], k=n))
+    docs = spark.createDataFrame([(i, text(rng.randint(0, 25))) for i in range(150)] + [(500, None)], "id long, text string")
+    asked = corpus.asked_terms(spark.createDataFrame([(i, text(rng.randint(1, 8))) for i in range(25)] + [(90, "w0 w1"), (91, "none")], "query_id long, text string"))
+    index = corpus.Index.build(docs, "id", {"text": 1.0})
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 8)) for r in df.collect())
+    assert rows(corpus.bm25_top(asked, index, 5)) == rows(corpus.top_k(corpus.bm25(asked, index), "id", 5))
+
+
+def test_vectors_in_many_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    data = [(i, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(90)] + [(95, None), (96, [0.0] * 4)]
+    rows = spark.createDataFrame(data, "id long, vec array<double>")
+    asked = rows.where("id % 4 = 0").withColumnRenamed("id", "query_id")
+    plain = lambda df: sorted(tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in df.collect())
+    every = lambda: [
+        plain(corpus.top_k(vectors.similarities(asked, rows, 3), "id", 3)),
+        plain(vectors.similarities(asked, rows)),
+        plain(vectors.field_statistics(asked, rows)),
+        plain(vectors.best_over_queries(asked, rows)),
+    ]
+    whole = every()
+    scores = {}
+    for q, _, s in [r[:3] for r in whole[1]]:
+        scores.setdefault(q, []).append(s)
+    for q, top, middle, _ in whole[2]:
+        down = sorted(scores[q], reverse=True)
+        assert (top, middle) == (pytest.approx(down[0], abs=1e-6), pytest.approx(down[len(down) // 2], abs=1e-6))
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "CHUNK", 20)
+    assert every() == whole
+
+
+def test_slices_give_what_one_window_gives(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    from lodegraph.operators import ordered
+
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(rng.choice("ab"), rng.randint(0, 400), i) for i in range(120)] + [(None, 5, 200)], "key string, at long, id long")
+    order = Window.partitionBy("key").orderBy("at", "id")
+    i = F.row_number().over(order) - 1
+    plain = rows.withColumn("i", i).withColumn("release", F.max(F.col("at") - 3 * F.col("i")).over(order) + 3 * F.col("i"))
+    of = lambda df, *c: sorted(map(repr, (tuple(r) for r in df.select(*c).collect())))
+    assert of(tables.paced(rows.where("key is not null"), 3, 50), "id", "release") == of(plain.where("key is not null"), "id", "release")
+    numbered = ordered.numbered(rows, ["key"], F.floor(F.col("at") / 50), "at", "id")
+    assert of(numbered.withColumn("i", F.col("place") - 1), "id", "i") == of(plain, "id", "i")
+    spans = rows.select("key", F.col("at").alias("begin"), (F.col("at") + 30).alias("end"))
+    assert of(tables.concurrency_peak(spans, "key", 50), "key", "peak") == of(tables.concurrency_peak(spans, "key", 100_000), "key", "peak")
+    near = tables.within_budget(rows, "key", F.lit(1), 7, F.col("at"), F.col("id"), parts=5)
+    assert of(near, "id") == of(plain.where("i < 7"), "id")
+
+
+def test_only_committed_versions_are_read(spark, tmp_path):
+    from lodegraph.sources.tables import commit, latest
+
+    root = str(tmp_path / "t")
+    commit(spark.range(3), root)
+    commit(spark.range(5), root)
+    commit(spark.range(9), root, publish=False)
+    assert latest(spark, root).count() == 5
+
+
+def test_pages_are_learned_once_and_the_lexicon_grows(spark, tmp_path):
+    from lodegraph.streaming import state
+
+    for n, part in enumerate([[("u1", "alpha beta"), ("u2", "beta")], [("u2", "gone"), ("u3", "alpha gamma")]]):
+        spark.createDataFrame(part, "url string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        words = lambda pages: [r[0] for r in pages.select(F.explode(F.split("text", " "))).distinct().collect()]
+        held = lambda pages, terms: pages.select("url", F.array_sort(F.array_intersect(F.split("text", " "), F.array(*map(F.lit, terms)))).alias("t"))
+        stream = spark.readStream.schema("url string, text string").parquet(str(tmp_path / "in"))
+        state.learn_stream(stream, str(tmp_path / "out"), words, held).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out" / "evidence")).collect()
+    assert sorted((r["url"], r["t"]) for r in got) == [("u1", ["alpha", "beta"]), ("u2", ["beta"]), ("u3", ["alpha", "gamma"])]
+
+
+def test_recovered_calls_in_odd_texts():
+    from lodegraph.operators.calls import calls_of
+
+    names = frozenset({"run"})
+    assert calls_of('x {"name": "run", "arguments": {"a": "} {"}} y {"function": {"name": "run"}}', names) == [
+        {"name": "run", "arguments": '{"a": "} {"}'}, {"name": "run", "arguments": None}
+    ]
+    assert calls_of('{"name": "run", "arguments": "open', names) == [] and calls_of("{{}} [] } {", names) == []
+    assert calls_of('{"name": "run", "function": 3} {"name": 7}', names) == [{"name": "run", "arguments": None}]
