@@ -25,11 +25,17 @@ V, counts of counts) comes to the driver.
 Words are 64-bit hashes, pairs 64-bit hashes of both.  Defined cases: null texts
 are empty and consist of the end alone; rows repeated are scored each; without
 training rows every word is unknown with probability 1.
+
+Totals and contexts are also stored, a row per key range (``Model``), so that
+``score`` can evaluate texts outside of the corpus: their chunks ask the ranges,
+Spark brings both together, and every token is scored by its pair, or by its
+word after backing off.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -177,7 +183,10 @@ def _teller(word_bits: int, pair_bits: int):
 
 
 def _total(group: pa.Table) -> pa.Table:
-    """Totals of a range's keys, back to each chunk: twice the total, plus one where the chunk owns the key."""
+    """Totals of a range's keys, back to each chunk: twice the total, plus one where the chunk owns the key.
+
+    The row without a chunk is the range's part of the stored counts.
+    """
     group = group.sort_by("chunk")
     kind, part = group["kind"][0].as_py(), group["part"][0].as_py()
     keys = [unpack_sorted(x) for x in group["keys"].to_pylist()]
@@ -200,6 +209,8 @@ def _total(group: pa.Table) -> pa.Table:
             "chunk": pa.array([*group["chunk"].to_pylist(), None], pa.int64()),
             "answer": pa.array([*answers, None], pa.binary()),
             "sums": pa.array([*[None] * len(keys), sums], pa.list_(pa.int64())),
+            "keys": pa.array([*[None] * len(keys), pack_sorted(names[total > 0])], pa.binary()),
+            "totals": pa.array([*[None] * len(keys), pack(total[total > 0])], pa.binary()),
         }
     )
 
@@ -304,7 +315,7 @@ def _scorer(sums: dict, bits: int):
 
 
 def _contexts(group: pa.Table) -> pa.Table:
-    """Sums of a range's contexts, back to the chunks that need them."""
+    """Sums of a range's contexts, back to the chunks that need them, and to the stored table (without a chunk)."""
     group = group.sort_by("chunk")
     keys = [unpack_sorted(x) for x in group["keys"].to_pylist()]
     names, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -314,20 +325,23 @@ def _contexts(group: pa.Table) -> pa.Table:
     ]
     cuts = np.cumsum([0] + [len(k) for k in keys])
     at = [inverse[a:b][unpack(x, bool)] for a, b, x in zip(cuts[:-1], cuts[1:], group["needed"].to_pylist(), strict=True)]
+    held = np.flatnonzero(both[0] > 0)
+    nothing = pa.array([None] * (len(at) + 1), pa.binary())
     return pa.table(
         {
-            "chunk": group["chunk"],
-            "part": group["part"],
-            "seen": pa.array([pack(both[0][i]) for i in at], pa.binary()),
-            "covered": pa.array([pack(both[1][i]) for i in at], pa.binary()),
-            "context": pa.array([None] * len(at), pa.binary()),
-            "docs": pa.array([None] * len(at), pa.binary()),
-            "open": pa.array([None] * len(at), pa.binary()),
+            "chunk": pa.array([*group["chunk"].to_pylist(), None], pa.int64()),
+            "part": pa.array([*group["part"].to_pylist(), group["part"][0].as_py()], pa.int32()),
+            "seen": pa.array([pack(both[0][i]) for i in [*at, held]], pa.binary()),
+            "covered": pa.array([pack(both[1][i]) for i in [*at, held]], pa.binary()),
+            "context": nothing,
+            "docs": nothing,
+            "open": nothing,
+            "keys": pa.array([*[None] * len(at), pack_sorted(names[held])], pa.binary()),
         }
     )
 
 
-ANSWERED = "chunk long, part int, seen binary, covered binary, context binary, docs binary, open binary"
+ANSWERED = "chunk long, part int, seen binary, covered binary, context binary, docs binary, open binary, keys binary"
 SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -347,12 +361,38 @@ def _finish(group: pa.Table) -> pa.Table:
     return docs.set_column(4, "score", pa.array(docs["score"].to_numpy() + more))
 
 
+@dataclass(frozen=True)
+class Model:
+    """Stored tables, a row per key range, and a handful of sums.
+
+    ``counts``: kind (word or pair), part, keys, totals.  ``contexts``: part,
+    keys, seen, covered, from which a context's back-off weight follows.  Sums: n
+    (training tokens), v (words), texts, the discounts of words and pairs, unknown.
+    """
+
+    counts: DataFrame
+    contexts: DataFrame
+    sums: dict
+    word_bits: int
+    pair_bits: int
+
+
 def score_corpus(docs: DataFrame) -> tuple[DataFrame, dict]:
     """(doc_id, n_tokens, n_known, base_score, score) of every row of ``docs`` (doc_id, text, train), and the sums.
 
-    The model learns from the rows where ``train`` is true.  Sums: n (training
-    tokens), v (words), texts, the discounts of words and pairs, unknown.
+    The model learns from the rows where ``train`` is true, and the same
+    exchanges answer all rows; ``score`` does it for texts outside of the corpus.
     """
+    scored, model = _learned(docs)
+    return scored, model.sums
+
+
+def fit(docs: DataFrame) -> Model:
+    """The model of ``docs`` (doc_id, text, train), for texts of any other table."""
+    return _learned(docs)[1]
+
+
+def _learned(docs: DataFrame) -> tuple[DataFrame, Model]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("train", F.lit(False)).alias("train"))
     held = materialise(rows.mapInArrow(_chunker, CHUNK), "chunks")
     size = held.agg(F.sum("n_words").alias("w"), F.sum("n_tokens").alias("t")).first()
@@ -362,7 +402,7 @@ def score_corpus(docs: DataFrame) -> tuple[DataFrame, dict]:
     )
     answered = materialise(
         told.groupBy("kind", "part").applyInArrow(
-            _total, "kind string, part int, chunk long, answer binary, sums array<long>"
+            _total, "kind string, part int, chunk long, answer binary, sums array<long>, keys binary, totals binary"
         ),
         "totals",
     )
@@ -391,9 +431,123 @@ def score_corpus(docs: DataFrame) -> tuple[DataFrame, dict]:
         "partial-scores",
     )
     backed = partial.where("part >= 0").select("part", "chunk", "keys", "seen", "covered", "needed")
-    weights = backed.groupBy("part").applyInArrow(_contexts, ANSWERED)
+    weights = materialise(backed.groupBy("part").applyInArrow(_contexts, ANSWERED), "contexts")
     heads = partial.where("part < 0").select(
         "chunk", "part", F.lit(None).cast("binary").alias("seen"), F.lit(None).cast("binary").alias("covered"),
-        F.col("needed").alias("context"), "docs", "open",
+        F.col("needed").alias("context"), "docs", "open", F.lit(None).cast("binary").alias("keys"),
+    )
+    model = Model(
+        answered.where("chunk IS NULL").select("kind", "part", "keys", "totals"),
+        weights.where("chunk IS NULL").select("part", "keys", "seen", "covered"),
+        sums,
+        word_bits,
+        pair_bits,
+    )
+    answers = weights.where("chunk IS NOT NULL").unionByName(heads)
+    return answers.groupBy("chunk").applyInArrow(_finish, SCORED), model
+
+
+def _asker(word_bits: int, pair_bits: int):
+    """Chunk rows to (kind, part, chunk, keys): what each key range is asked."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = Chunk(row)
+                for kind, keys, bits in (("word", own.words[own.order], word_bits), ("pair", own.pairs, pair_bits)):
+                    cuts = ranges(keys, bits)
+                    some = [(p, cuts[p], cuts[p + 1]) for p in range(1 << bits) if cuts[p + 1] > cuts[p]]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([kind] * len(some)),
+                            pa.array([p for p, _, _ in some], pa.int32()),
+                            pa.array([row["chunk"]] * len(some), pa.int64()),
+                            pa.array([pack_sorted(keys[a:b]) for _, a, b in some], pa.binary()),
+                        ],
+                        ["kind", "part", "chunk", "keys"],
+                    )
+
+    return run
+
+
+def _looked_up(names: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(names):
+        return np.zeros(len(keys), dtype=values.dtype)
+    at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+    return np.where(names[at] == keys, values[at], 0)
+
+
+REPLY = "kind string, part int, chunk long, counts binary, seen binary, covered binary"
+
+
+def _replied(asked: pa.Table, stored: pa.Table) -> pa.Table:
+    """A range's stored values for the keys of each chunk."""
+    values = {
+        name: (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=kind))
+        for name, kind in (("totals", np.int64), ("seen", np.float64), ("covered", np.float64))
+    }
+    for row in stored.to_pylist():
+        for name, (_, empty) in list(values.items()):
+            if row[name] is not None:
+                values[name] = (unpack_sorted(row["names"]), unpack(row[name], empty.dtype))
+    keys = [unpack_sorted(x) for x in asked["keys"].to_pylist()]
+    column = lambda name: pa.array([pack(_looked_up(*values[name], k)) for k in keys], pa.binary())
+    return pa.table(
+        {
+            "kind": asked["kind"], "part": asked["part"], "chunk": asked["chunk"],
+            "counts": column("totals"), "seen": column("seen"), "covered": column("covered"),
+        }
+    )
+
+
+def _evaluator(sums: dict):
+    """A chunk and the replies to it to scores: each token by its pair, or by its word after backing off."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        own, told = Chunk(row), {}
+        for r in right.sort_by([("kind", "ascending"), ("part", "ascending")]).to_pylist():
+            held = told.setdefault(r["kind"], ([], [], []))
+            for part, name, kind in zip(held, ("counts", "seen", "covered"), (np.int64, np.float64, np.float64), strict=True):
+                part.append(unpack(r[name], kind))
+        count, seen, covered = (np.zeros(len(own.words)) for _ in range(3))
+        for whole, parts in zip((count, seen, covered), told["word"], strict=True):
+            whole[own.order] = np.concatenate(parts)
+        count, pair_count = count.astype(np.int64), np.concatenate(told["pair"][0])
+        context = count.copy()
+        context[own.start] = sums["texts"]
+        word_p = np.where(count > 0, _discounted(count, sums["word"]) / (sums["n"] + 1.0), sums["unknown"])
+        base = np.log10((count + 1.0) / (sums["n"] + sums["v"] + 1.0))
+        backoff = np.where(context > 0, (1.0 - seen / (context + 1.0)) / (1.0 - covered), 1.0)
+        first, second = own.before[own.at], own.tokens[own.at]
+        direct = _discounted(pair_count, sums["pair"]) / (context[first] + 1.0)
+        logp = np.log10(np.where(pair_count > 0, direct, backoff[first] * word_p[second]))[own.pair]
+        n = len(own.lengths)
+        return pa.table(
+            {
+                "doc_id": pa.array(row["doc_id"], pa.int64()),
+                "n_tokens": pa.array(own.lengths.astype(np.int64)),
+                "n_known": pa.array(np.bincount(own.doc, count[own.tokens] > 0, n).astype(np.int64)),
+                "base_score": pa.array(np.bincount(own.doc, base[own.tokens], n)),
+                "score": pa.array(np.bincount(own.doc, logp, n)),
+            }
+        )
+
+    return run
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every row of ``docs`` (doc_id, text), by the stored tables."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(False).alias("train"))
+    held = materialise(rows.mapInArrow(_chunker, CHUNK), "chunks")
+    asked = held.select("chunk", "doc_id", "train", "lengths", "words", "tokens").mapInArrow(
+        _asker(model.word_bits, model.pair_bits), "kind string, part int, chunk long, keys binary"
+    )
+    none = F.lit(None).cast("binary")
+    stored = model.counts.select("kind", "part", F.col("keys").alias("names"), "totals", none.alias("seen"), none.alias("covered"))
+    stored = stored.unionByName(
+        model.contexts.select(F.lit("word").alias("kind"), "part", F.col("keys").alias("names"), none.alias("totals"), "seen", "covered")
     )
-    return weights.unionByName(heads).groupBy("chunk").applyInArrow(_finish, SCORED), sums
+    replies = asked.groupBy("kind", "part").cogroup(stored.groupBy("kind", "part")).applyInArrow(_replied, REPLY)
+    replies = materialise(replies, "replies")
+    return held.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_evaluator(model.sums), SCORED)

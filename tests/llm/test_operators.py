@@ -720,6 +720,24 @@ def test_model_sums_to_one_and_scores_like_the_definition(spark, monkeypatch, to
         assert (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) == pytest.approx(want[r["doc_id"]][0])
 
 
+@pytest.mark.parametrize(("tokens", "keys"), [(2_000_000, 1_500_000), (150, 4)])
+def test_stored_tables_score_any_text(spark, monkeypatch, tokens, keys):
+    monkeypatch.setattr(language_model, "CHUNK_TOKENS", tokens)
+    monkeypatch.setattr(language_model, "RANGE_KEYS", keys)
+    rng = random.Random(3)
+    make = lambda n: " ".join(rng.choices(WORDS, [1 / (k + 1) for k in range(len(WORDS))], k=n))
+    docs = spark.createDataFrame([(i, make(rng.randint(0, 60))) for i in range(80)] + [(90, None), (91, "new words")], "doc_id long, text string")
+    marked = docs.withColumn("train", F.col("doc_id") < 60)
+    plain = lambda df: sorted((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 8), round(r["score"], 8)) for r in df.collect())
+    want = plain(language_model.score_corpus(marked)[0])
+    model = language_model.fit(marked)
+    assert plain(language_model.score(docs.repartition(5), model)) == want
+    outside = spark.createDataFrame([(1, "kan lort unheard"), (1, "kan lort unheard"), (2, "")], "doc_id long, text string")
+    among = marked.unionByName(outside.selectExpr("doc_id + 1000 as doc_id", "text", "false as train"))
+    both = [(i - 1000, *rest) for i, *rest in plain(language_model.score_corpus(among)[0]) if i > 1000]
+    assert plain(language_model.score(outside, model)) == both
+
+
 @pytest.mark.parametrize("kind", [np.uint64, np.int32, np.float64, bool])
 def test_packing_is_exact(kind):
     for n in (0, 1, 1000):
