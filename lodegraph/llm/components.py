@@ -28,12 +28,12 @@ def components(edges: DataFrame) -> DataFrame:
     seal = _seal(now)
     while seal[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "large-star")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = (
             both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
         large = materialise(large.distinct(), "large")
-        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "small-star")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialise(_tidy(moved.unionByName(least.select("a", F.col("m").alias("b")))), "edges")
         before, seal = seal, _seal(now)

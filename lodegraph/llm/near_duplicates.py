@@ -420,31 +420,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         sketched.where(F.col("seal").isNotNull()).groupBy("seal").agg(F.min("row").alias("node"), F.min("doc_id").alias("id")),
         "nodes",
     )
-    heads = nodes.select("node")
+    # sketches are as many as rows, so this join is never a broadcast's
+    heads = nodes.select("node").hint("merge")
     first = sketched.select(F.col("row").alias("node"), "bands").join(heads, "node", "left_semi")
     keys = first.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
     shared = materialise(shared.where("least < most").select("key", "least"), "bands")
     met = keys.join(shared, "key").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    families = components(met.distinct())
-    heads = families.select(F.col("component").alias("node"), F.col("component").alias("family")).distinct()
-    placed = materialise(families.select("node", F.col("component").alias("family")).unionByName(heads), "placed")
+    placed = whole(components(met.distinct())).withColumnRenamed("root", "family")
     of_row = sketched.select(F.col("row").alias("node"), "doc_id", "mark", "n_shingles", "registers")
     members = materialise(of_row.join(_bounded(placed), "node"), "members")
 
-    rows_of = sketched.select("doc_id", "n_shingles", "seal").join(nodes.select("seal", "node"), "seal", "left")
+    rows_of = sketched.select("doc_id", "n_shingles", "seal").join(nodes, "seal", "left")
     rows_of = materialise(rows_of.drop("seal"), "rows")
     by_id = rows_of.where("doc_id is not null and node is not null").groupBy("doc_id")
     several = by_id.agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("doc_id", "b")
     same_id = rows_of.join(several, "doc_id").select(F.col("node").alias("a"), "b").where("a > b").distinct()
-    joined = materialise(components(_links(members, docs, shingle, percent).unionByName(same_id)), "components")
-
-    roots = joined.withColumnRenamed("component", "root")
-    of_node = materialise(nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "roots")
-    least = materialise(of_node.groupBy("root").agg(F.min("id").alias("least")), "least")
-    reach = materialise(of_node.join(least, "root").select("node", "least", F.lit(True).alias("found")), "reach")
-    out = rows_of.join(reach, "node", "left")  # apart from any other step, so that a hot node's rows can be dealt to tasks
-    reached = F.when(F.col("found"), F.col("least")).otherwise(F.col("doc_id"))
+    joined = whole(components(_links(members, docs, shingle, percent).unionByName(same_id)))
+    ids = joined.join(nodes.select("node", "id"), "node")
+    least = ids.groupBy("root").agg(F.min("id").alias("least"))
+    # apart from other steps, so that a hot node's rows can be dealt to tasks
+    reach = materialise(joined.join(least, "root").select("node", "least", F.lit(True).alias("found")), "least")
+    out = rows_of.join(reach, "node", "left")
+    reached = F.when(F.col("found"), F.col("least")).when(F.col("node").isNotNull(), F.col("id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", reached.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
+
+
+def whole(found: DataFrame) -> DataFrame:
+    """node, root of all nodes of ``components``, the roots included."""
+    roots = found.select(F.col("component").alias("node"), F.col("component").alias("root")).distinct()
+    return found.select("node", F.col("component").alias("root")).unionByName(roots)
