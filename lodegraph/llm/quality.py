@@ -12,7 +12,7 @@ but theirs; word vectors, the network and the temperature all come from this one
 sample, so the model's size is bounded at any size of the corpus.  Scoring is a narrow map over all texts.
 
 Words the sample has less than ``LEAST_COUNT`` times, and unseen ones, stand for
-their shape (runs of character classes), so that every word has a vector.
+their shape (runs of character classes); shapes as rare share one vector of zeros.
 
 Defined cases: null and empty texts are pooled to zeros and scored like any;
 rows without a label never train; several labels of a document, and several texts
@@ -92,7 +92,7 @@ def learn_names(texts: list[bytes]) -> list[bytes]:
     for word, n in counts.items():
         if word not in known:
             shapes[shape(word)] += n
-    return names + sorted(shapes, key=lambda s: (-shapes[s], s))
+    return names + sorted((s for s, n in shapes.items() if n >= LEAST_COUNT), key=lambda s: (-shapes[s], s))
 
 
 def context_vectors(documents: list[np.ndarray], names: list[bytes]) -> np.ndarray:
