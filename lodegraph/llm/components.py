@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     seal = _seal(now)
     while seal[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # written, so that the join is apart from the aggregate and a hub's rows can be dealt to tasks
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "large-star")
         large = (
             both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
