@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, languages, licenses, mixing, near_duplicates, outliers, quality, secrets, urls
+from . import conversations, decontamination, language_model, languages, licenses, mixing, near_duplicates, outliers, quality, secrets, urls
 from .common import fold, table
 
 URL_RULES = [
@@ -133,6 +133,12 @@ def op10_mixing(spark, sf_dir):
     )
 
 
+def op12_conversations(spark, sf_dir):
+    original = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    damaged = conversations.damage(original)
+    return conversations.digests(conversations.repair(damaged, conversations.reports(damaged, original)))
+
+
 def _level_sql(name: str, children: str) -> str:
     """CTEs that give each row of ``children`` (n, k, prior, ...) its posterior a, b."""
     return f"""
@@ -335,6 +341,70 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
 FROM docs d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+hashed AS (
+  SELECT *, xor(4294967295, list_reduce(
+           flatten(list_transform(string_split(key, ''), lambda c: [unicode(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+           lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END,
+           4294967295::BIGINT)) % 20 AS kind
+  FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM damaged),
+judged AS (
+  SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS initial,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE 'sound' END AS fault
+  FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id),
+free AS (SELECT * FROM (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')) AS t(p, q, role)),
+inserted AS (
+  SELECT p AS q, p, '' AS letters, [] :: VARCHAR[] AS lines FROM free
+  UNION ALL SELECT p, q, 'I', [role || ':'] FROM free
+  UNION ALL SELECT a.p, b.q, 'II', [a.role || ':', b.role || ':'] FROM free a JOIN free b ON b.p = a.q),
+kept AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)) AS t(p, initial, q)),
+edits AS (
+  SELECT conv_id, i, p, p AS q, 'D' AS letter, 3 AS cost, [] :: VARCHAR[] AS lines FROM judged, free
+  UNION ALL
+  SELECT conv_id, i, p, q, 'K', CASE fault WHEN 'truncated' THEN 1 ELSE 0 END, [role || ':' || text]
+  FROM judged JOIN kept USING (initial) WHERE fault IN ('truncated', 'sound')
+  UNION ALL
+  SELECT conv_id, i, p, q, 'R', CASE fault WHEN 'truncated' THEN 3 ELSE 2 END, [f.role || ':' || text]
+  FROM judged, free f WHERE fault IN ('truncated', 'sound')),
+ways AS (
+  SELECT conv_id, i, n.q AS p, e.q AS q, 2 * length(letters) + cost AS cost, letters || letter AS letters,
+         list_concat(n.lines, e.lines) AS lines
+  FROM edits e JOIN inserted n USING (p)),
+best AS (
+  SELECT conv_id, max(i) + 1 AS i, q, {'cost': 2 * length(letters), 'audit': letters, 'lines': lines} AS w
+  FROM judged, (SELECT q, min(letters) AS letters, arg_min(lines, letters) AS lines FROM inserted WHERE p IN (0, 3) GROUP BY q)
+  GROUP BY conv_id, q, letters, lines
+  UNION ALL
+  SELECT s.conv_id, s.i, s.p,
+         min({'cost': s.cost + b.w.cost, 'audit': s.letters || b.w.audit, 'lines': list_concat(s.lines, b.w.lines)})
+  FROM best b JOIN ways s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.i = b.i - 1 AND s.q = b.q
+  GROUP BY s.conv_id, s.i, s.p)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.w.cost, 0)::BIGINT AS cost,
+       coalesce(b.w.audit, '') AS audit, sha256(coalesce(array_to_string(b.w.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.i = 1 AND b.q = 0
+"""
+
 
 def queries() -> dict:
     return {
@@ -348,6 +418,7 @@ def queries() -> dict:
         "op8_decontamination": op8_decontamination,
         "op9_language_model": op9_language_model,
         "op10_mixing": op10_mixing,
+        "op12_conversations": op12_conversations,
     }
 
 
@@ -358,4 +429,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_licenses": OP6_SQL,
         "op8_decontamination": OP8_SQL,
         "op10_mixing": OP10_SQL,
+        "op12_conversations": OP12_SQL,
     }
