@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import conversations, decontamination, language_model, languages, licenses, mixing, near_duplicates, outliers, quality, secrets, urls
+from . import alignment, conversations, decontamination, language_model, languages, licenses, mixing, near_duplicates, outliers, quality, secrets, urls
 from .common import fold, table
 
 URL_RULES = [
@@ -139,6 +139,13 @@ def op12_conversations(spark, sf_dir):
     return conversations.digests(conversations.repair(damaged, conversations.reports(damaged, original)))
 
 
+def op13_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align(docs)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def _level_sql(name: str, children: str) -> str:
     """CTEs that give each row of ``children`` (n, k, prior, ...) its posterior a, b."""
     return f"""
@@ -419,6 +426,7 @@ def queries() -> dict:
         "op9_language_model": op9_language_model,
         "op10_mixing": op10_mixing,
         "op12_conversations": op12_conversations,
+        "op13_alignment": op13_alignment,
     }
 
 
