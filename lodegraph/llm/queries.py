@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import alignment, conversations, decontamination, language_model, languages, licenses, mixing, near_duplicates, outliers, quality, secrets, urls
+from . import alignment, conversations, decontamination, language_model, languages, licenses, main_text, mixing, near_duplicates, outliers, quality, secrets, urls
 from .common import fold, table
 
 URL_RULES = [
@@ -133,6 +133,12 @@ def op10_mixing(spark, sf_dir):
     )
 
 
+def op11_main_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = main_text.extract(pages, main_text.fit(pages), keep=["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op12_conversations(spark, sf_dir):
     original = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     damaged = conversations.damage(original)
@@ -425,6 +431,7 @@ def queries() -> dict:
         "op8_decontamination": op8_decontamination,
         "op9_language_model": op9_language_model,
         "op10_mixing": op10_mixing,
+        "op11_main_text": op11_main_text,
         "op12_conversations": op12_conversations,
         "op13_alignment": op13_alignment,
     }
