@@ -14,11 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_tokens, tokens
-from ..sources.tables import written
-
-K1, B = 1.2, 0.75
-#: Terms in more than this share of the documents are left for the second look of a top-k search.
-COMMON = 0.1
+from ..sources.tables import dealt, written
+from . import ranking
+from .ranking import B, K1
 
 
 def bags(docs: DataFrame, key: str, fields: dict[str, float], domain: str | None = None) -> DataFrame:
@@ -28,7 +26,8 @@ def bags(docs: DataFrame, key: str, fields: dict[str, float], domain: str | None
     """
     own = [F.col(key), *([F.col(domain).alias("domain")] if domain else [])]
     names = ["domain"] if domain else []
-    out = docs.select(*own, *[F.array_sort(tokens(F.col(name))).alias(f"w{i}") for i, name in enumerate(fields)])
+    docs = dealt(docs.select(*own, *fields).toDF(key, *names, *fields))
+    out = docs.select(key, *names, *[F.array_sort(tokens(F.col(name))).alias(f"w{i}") for i, name in enumerate(fields)])
     starts = lambda w: F.filter(
         F.sequence(F.lit(0), F.size(w)), lambda i: (i == 0) | ~F.get(w, i).eqNullSafe(F.get(w, i - 1))
     )
@@ -81,8 +80,9 @@ class Index:
 
 def doc_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf: one row per document and term; counted inside each row, so nothing is shuffled."""
-    found = bags(docs, key, {text: 1.0}).select(key, F.explode("terms").alias("x"))
-    return found.select(key, "x.term", F.col("x.weight").cast("long").alias("tf"))
+    # an outer explode: the plain one lets the optimizer repeat the tokeniser, lambdas and all, in a filter below
+    found = bags(docs, key, {text: 1.0}).select(key, F.explode_outer("terms").alias("x"))
+    return found.select(key, "x.term", F.col("x.weight").cast("long").alias("tf")).where("term is not null")
 
 
 def doc_frequency(docs: DataFrame, text: str) -> DataFrame:
@@ -142,33 +142,11 @@ def bm25(asked: DataFrame, index: Index) -> DataFrame:
 
 
 def bm25_top(asked: DataFrame, index: Index, k: int) -> DataFrame:
-    """query_id, key, score, rank: the k best documents of each question, exactly as ``top_k(bm25(...))``.
-
-    A question is first scored over its rare terms alone.  Its common terms can
-    add no more than their bound, so a document further than that below the k-th
-    best is out, and so is one with common terms only where the k-th best
-    exceeds the bound.  What is left is scored in full; so are questions that
-    have too few documents with rare terms to tell.
-    """
-    key = index.key
+    """query_id, key, score, rank: the k best documents of each question, exactly as ``top_k(bm25(...))``; see ``ranking``."""
     wanted, ranked = _wanted(asked, index)
-    terms = written(
-        asked.select("query_id", "term").join(ranked, "term").withColumn("common", F.col("df") > F.lit(COMMON * index.n)), "asked-by-query"
-    )
-    part = _part(index)
-    rare = terms.where("not common").join(wanted, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
-    rare = written(rare, "rare-scores")
-    bound = terms.groupBy("query_id").agg(F.sum(F.when(F.col("common"), F.col("idf") * (K1 + 1)).otherwise(0.0)).alias("more"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc())
-    kth = rare.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).where(F.col("place") == k)
-    level = bound.join(kth.select("query_id", F.col("score").alias("kth")), "query_id", "left")
-    level = written(level.withColumn("told", F.coalesce(F.col("kth") > F.col("more") + 1e-6, F.lit(False))), "levels")
-    near = rare.join(level.where("told"), "query_id").where(F.col("score") >= F.col("kth") - F.col("more") - 1e-6)
-    whole = near.select("query_id", key).join(terms, "query_id").join(wanted, [key, "term"])
-    told = whole.groupBy("query_id", key).agg(F.sum(part).alias("score"))
-    rest = terms.join(level.where("not told"), "query_id", "left_semi")
-    untold = rest.join(wanted, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
-    return top_k(told.unionByName(untold), key, k)
+    known = asked.select("query_id", "term").distinct().join(ranked, "term")
+    found = ranking.best(known, wanted.withColumnRenamed("wtf", "weight"), index.key, index.n, index.mean_length, k)
+    return top_k(found.drop("added"), index.key, k)
 
 
 def top_k(scored: DataFrame, key: str, k: int, score: str = "score", by: str = "query_id") -> DataFrame:

@@ -25,6 +25,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many parts as the session has cores, for work on long texts that lie in few row groups."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def commit(df: DataFrame, root: str, publish: bool = True) -> str:
     """A new version of the table under ``root``; readers see it only once its one-row commit record is written.
 
