@@ -22,7 +22,7 @@ the highest count of a B id all are best.  Only the columns named are read.
 
 from __future__ import annotations
 
-import os
+import json
 from collections.abc import Iterator
 from itertools import islice
 
@@ -38,8 +38,10 @@ from .language_model import pack, unpack
 
 #: Where the tokenizers' files lie on every machine, and their names.
 FOLDER, BYTE_LEVEL, PIECES = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Texts that are cut at once.
-ENCODE_ROWS = 64
+#: How a byte-level tokenizer of this kind splits a text before its merges.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts that are cut at once; bytes of text in a chunk, and chunks that a task of the second pass takes, about.
+ENCODE_ROWS, CHUNK_BYTES, TASK_CHUNKS = 64, 1_000_000, 16
 #: A pair is one number: B's id times this, plus A's id.
 SHIFT = 32
 
@@ -55,17 +57,19 @@ class Pair:
     """Both tokenizers with their tokens' bytes."""
 
     def __init__(self, folder: str = FOLDER, byte_level: str = BYTE_LEVEL, pieces: str = PIECES):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(f"{folder}/{byte_level}")
-        self.a.encode_special_tokens = True  # their strings in a text are ordinary text
+        import tiktoken
+
+        with open(f"{folder}/{byte_level}", encoding="utf-8") as file:
+            model = json.load(file)
+        alphabet = byte_level_alphabet()
+        special = {x["id"] for x in model["added_tokens"] if x["special"]}
+        ranks = {bytes(map(alphabet.__getitem__, t)): i for t, i in model["model"]["vocab"].items() if i not in special}
+        # ids are in the order of the merges, so they serve as ranks; special tokens are left out, their strings are ordinary text
+        self.a = tiktoken.Encoding(byte_level, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{pieces}")
-        alphabet, size = byte_level_alphabet(), self.b.get_piece_size()
-        special = {x for x, t in self.a.get_added_tokens_decoder().items() if t.special}
-        vocabulary = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items() if i not in special}
-        self.bytes_a = [bytes(map(alphabet.__getitem__, vocabulary.get(i, ""))) for i in range(max(vocabulary) + 1)]
+        size, names_of = self.b.get_piece_size(), {i: t for t, i in ranks.items()}
+        self.bytes_a = [names_of.get(i, b"") for i in range(max(names_of) + 1)]
         names = self.b.id_to_piece(list(range(size)))
         self.bytes_b = [
             bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i)
@@ -81,25 +85,33 @@ class Pair:
         todo = iter(texts)
         while part := list(islice(todo, ENCODE_ROWS)):
             strings = [t.decode() for t in part]
-            left = self.a.encode_batch_fast([" " + t for t in strings], add_special_tokens=False)
-            for raw, x, b in zip(part, left, self.b.encode(strings, num_threads=1)):
-                a, whole = x.ids, b" " + raw
+            for raw, text, b in zip(part, strings, self.b.encode(strings, num_threads=1)):
+                a, whole = self.a.encode_ordinary(" " + text), b" " + raw
                 same = raw and all(
                     b"".join(map(side.__getitem__, ids)) == whole for side, ids in ((self.bytes_a, a), (self.bytes_b, b))
                 )
                 yield (a, b) if same else ([], [])
 
 
-def cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[int], list[int]]:
     """Numbers of A and of B tokens up to each byte at which tokens of both end."""
     index_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1)))
     index_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1)))
     common = sorted(index_a.keys() & index_b.keys())
-    return tuple(np.fromiter(map(x.__getitem__, common), np.int64, len(common)) for x in (index_a, index_b))
+    return list(map(index_a.__getitem__, common)), list(map(index_b.__getitem__, common))
+
+
+def ranked(ids: np.ndarray) -> tuple[bytes, bytes]:
+    """Ids as numbers of a list that begins with the frequent ones, and that list: smaller when packed."""
+    distinct, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    return pack(place[inverse]), pack(distinct[order].astype(np.int32))
 
 
 def expand(ends_a, ends_b, cuts_a, cuts_b) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the A and B tokens of all links, group by group.
+    """Places of the A and B tokens of all links, group by group (arguments: arrays of ends, arrays of cuts).
 
     In a group where one side has a single token, that token is linked with all
     of the other side; elsewhere both sides are walked from end to end.
@@ -128,7 +140,7 @@ def chunked(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
         [
             T.StructField("chunk", T.LongType()),
             T.StructField("doc_id", T.ArrayType(docs.schema["doc_id"].dataType)),
-            *T.StructType.fromDDL("sizes binary, a binary, b binary, cuts binary, pairs array<long>, counts array<long>"),
+            *T.StructType.fromDDL("sizes binary, a binary, a_ids binary, b binary, b_ids binary, cuts binary, pairs array<long>, counts array<long>"),
         ]
     )
 
@@ -136,21 +148,22 @@ def chunked(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out_schema, both, number = to_arrow_schema(schema), None, TaskContext.get().partitionId() << 32
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, size=CHUNK_BYTES):
             both = both or Pair(folder)
             tables = both.lengths()
-            sides, sizes = ([], []), []
-            for a, b in both.encode(texts):
-                sides[0].append(np.array(a, np.int32))
-                sides[1].append(np.array(b, np.int32))
-                sizes.append((len(a), len(b)))
+            sides, sizes, at = ([], []), [], ([], [])
+            for ids in both.encode(texts):
+                ids = [np.array(x, np.int32) for x in ids]
+                for side, x, steps, now in zip(sides, ids, at, cuts(*[np.cumsum(t[x]) for t, x in zip(tables, ids)])):
+                    side.append(x)
+                    steps.append(np.diff(np.array(now, np.int32), prepend=0))
+                sizes.append((len(ids[0]), len(ids[1])))
             a, b = (np.concatenate(x) for x in sides)
-            ends = [np.cumsum(table[ids]) for table, ids in zip(tables, (a, b))]
-            at = cuts(*ends)
-            i, j = expand(*ends, *at)
+            steps = [np.concatenate(x) for x in at]
+            i, j = expand(*[np.cumsum(t[x]) for t, x in zip(tables, (a, b))], *[np.cumsum(x) for x in steps])
             pairs, counts = np.unique((b[j].astype(np.int64) << SHIFT) + a[i], return_counts=True)
-            steps = np.concatenate([np.diff(x, prepend=0) for x in at]).astype(np.int32)
-            row = [number, batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), pack(np.array(sizes, np.int32).ravel()), pack(a), pack(b), pack(steps), pairs, counts]
+            docs_of = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            row = [number, docs_of, pack(np.array(sizes, np.int32).ravel()), *ranked(a), *ranked(b), pack(np.concatenate(steps).astype(np.int32)), pairs, counts]
             yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, out_schema)], schema=out_schema)
             number += 1
 
@@ -190,7 +203,7 @@ def align(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
             for row in range(batch.num_rows):
                 get = lambda name: batch.column(batch.schema.get_field_index(name))[row]  # noqa: B023, E731
                 sizes = unpack(get("sizes").as_py(), np.int32).reshape(-1, 2).astype(np.int64)
-                a, b = (unpack(get(x).as_py(), np.int32).astype(np.int64) for x in "ab")
+                a, b = (unpack(get(f"{x}_ids").as_py(), np.int32).astype(np.int64)[unpack(get(x).as_py(), np.int32)] for x in "ab")
                 steps = unpack(get("cuts").as_py(), np.int32).astype(np.int64).reshape(2, -1)
                 m, n = steps
                 cuts_a, cuts_b = np.cumsum(m), np.cumsum(n)
@@ -221,4 +234,5 @@ def align(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
                 columns = [get("doc_id").as_py(), sizes[:, 0], sizes[:, 1], groups, per_doc(None), per_doc(best[at]), count_sum, texts]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, out_schema)], schema=out_schema)
 
-    return held.drop("pairs", "counts").join(sums.hint("merge"), "chunk", "left").drop("chunk").mapInArrow(finish, schema)
+    rows = held.drop("pairs", "counts").repartition(max(1, -(-held.count() // TASK_CHUNKS)), "chunk")
+    return rows.join(sums.hint("merge"), "chunk", "left").drop("chunk").mapInArrow(finish, schema)

@@ -93,14 +93,17 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with their texts as UTF-8, about ``CHUNK_BYTES`` of text each; null is empty."""
+def chunks(
+    batches: Iterable[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with their texts as UTF-8, about ``size`` bytes of text each; null is empty."""
+    most = size
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
         start, size = 0, 0
         for row, length in enumerate(np.diff(offsets).tolist(), 1):
             size += length
-            if size >= CHUNK_BYTES or row == batch.num_rows:
+            if size >= most or row == batch.num_rows:
                 yield batch.slice(start, row - start), [x or b"" for x in column.slice(start, row - start).to_pylist()]
                 start, size = row, 0

@@ -91,6 +91,7 @@ def test_links_of_any_cuts(seed):
     own = lambda ends: np.searchsorted(ends, np.arange(size), "right")
     want = sorted(set(zip(own(a).tolist(), own(b).tolist())))
     cuts = alignment.cuts(a, b)
+    cuts = [np.array(x) for x in cuts]
     assert a[cuts[0] - 1].tolist() == b[cuts[1] - 1].tolist() == sorted({*a.tolist()} & {*b.tolist()})
     assert sorted(zip(*(x.tolist() for x in alignment.expand(a, b, *cuts)))) == want
 
