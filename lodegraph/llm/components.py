@@ -3,6 +3,9 @@
 Every round is a few aggregates and joins; nothing is collected but two numbers
 that tell whether a round changed anything.  Rounds grow with the logarithm of
 the table, and each is written to the shared folder, which keeps lineage short.
+A round's tables have about as many rows as the one before, so they are written
+to a number of files that goes with its rows: many tasks that hold next to
+nothing each would leave thousands of small files per round.
 """
 
 from __future__ import annotations
@@ -12,6 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Rows of a file, about.
+FILE_ROWS = 100_000
+
 
 def _tidy(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -27,16 +33,17 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(_tidy(edges), "edges")
     seal = _seal(now)
     while seal[0]:
+        files = 1 + 2 * seal[0] // FILE_ROWS
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # written, so that the join is apart from the aggregate and a hub's rows can be dealt to tasks
-        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "large-star")
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "large-star", files)
         large = (
             both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
-        large = materialise(large.distinct(), "large")
+        large = materialise(large.distinct(), "large", files)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialise(_tidy(moved.unionByName(least.select("a", F.col("m").alias("b")))), "edges")
+        now = materialise(_tidy(moved.unionByName(least.select("a", F.col("m").alias("b")))), "edges", files)
         before, seal = seal, _seal(now)
         if before == seal:
             break

@@ -259,18 +259,20 @@ def _estimator(percent: int):
     return run
 
 
-SETS = "family long, chunk int, node long, shingles array<long>"
+SETS = "family long, chunk int, node long, registers binary, shingles array<long>"
 
 
 def _setter(size: int):
     def run(batches):
         memo = WordHashes()
         for batch, texts in chunks(batches):
-            sets = [shingle_set(t, size, memo).view(np.int64) for t in texts]
+            sets = [shingle_set(t, size, memo) for t in texts]
             keep = ["family", "chunk", "node"]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keep], pa.array(sets, pa.list_(pa.int64()))], [*keep, "shingles"]
-            )
+            # only large families estimate pairs again; registers follow from the set
+            large = [c >= 0 for c in batch.column("chunk").to_pylist()]
+            own = [registers(s).tobytes() if big and len(s) else None for s, big in zip(sets, large, strict=True)]
+            rest = [pa.array(own, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *rest], [*keep, "registers", "shingles"])
 
     return run
 
@@ -335,14 +337,14 @@ def _able(large: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
 
 
 def _large_links(large: DataFrame, percent: int) -> DataFrame:
-    """a, b: links that join what is linked in large families: ``large`` (SETS and registers)."""
+    """a, b: links that join what is linked in large families: ``large`` (SETS)."""
     link = _linker(percent)
     own = F.size("shingles")
     order = Window.partitionBy("family").orderBy(F.xxhash64("node"))
     fit = large.where(own <= SHINGLES // HEADS).select("family", "node")
     heads = fit.withColumn("place", F.row_number().over(order)).where(F.col("place") <= HEADS)
     heads = materialise(heads, "heads")
-    able = materialise(_able(large, heads, percent), "able")
+    able = large.join(materialise(_able(large, heads, percent).select("family", "node"), "able"), ["family", "node"], "left_semi")
     families = able.groupBy("family").agg(_parts(F.count("*"), F.sum(own)).alias("parts"))
     families = materialise(families, "parts")
     able = able.drop("chunk").join(families, "family").withColumn("chunk", _dealt(F.col("parts"))).select(*large.columns)
@@ -396,11 +398,10 @@ def _links(members: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     sets = materialise(found.mapInArrow(_setter(shingle), SETS), "sets")
     if sets.count() > wanted.count():  # rows repeated with their id and text
         sets = materialise(sets.dropDuplicates(["node"]), "sets")
-    links = sets.where("chunk < 0").groupBy("family").applyInArrow(_linker(percent), EDGES)
+    links = sets.where("chunk < 0").drop("registers").groupBy("family").applyInArrow(_linker(percent), EDGES)
     if families.where("not small").isEmpty():
         return links
-    large = sets.where("chunk >= 0").join(members.select("node", "registers"), "node").select(*sets.columns, "registers")
-    return links.unionByName(_large_links(materialise(large, "large"), percent))
+    return links.unionByName(_large_links(sets.where("chunk >= 0"), percent))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
