@@ -25,14 +25,33 @@ GLUE_POS = "article preposition pronoun conjunction auxiliary determiner particl
 OWN_TOOLS = ("list_files", "read_file", "write_file", "edit_file", "verify")
 
 
+#: Pieces of a payload: a string in quotes of either kind, a bracket or mark, a run of anything else, a stray quote.
+_PIECE = r"""(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|[{}\[\],:]|[^{}\[\],:"']++|["']"""
+
+
 def loose_json(raw: Column) -> Column:
-    """A variant of JSON that may stand in a fence or in prose, with trailing commas or single quotes; or null."""
-    fence = F.trim(F.regexp_extract(raw, r"(?is)```(?:json)?\s*(.*?)```", 1))
-    bare = F.when(fence != "", fence).otherwise(F.trim(raw))
-    span = F.regexp_extract(bare, r"(?s)^[^\[{]*(\{.*\}|\[.*\])", 1)
-    closed = F.regexp_replace(span, r",\s*([}\]])", "$1")
-    quoted = F.regexp_replace(closed, r"'([^'\"]*)'(\s*[:,}\]])", '"$1"$2')
-    return F.coalesce(*[F.try_parse_json(x) for x in (bare, span, quoted)])
+    """A variant of what a reply holds as JSON, or null.
+
+    The reply itself may be JSON.  Else its first object or list is read piece by
+    piece up to the bracket that closes it, whatever stands around it; strings in
+    single quotes are put into double ones, and commas before a closing bracket go.
+    """
+    pieces = F.regexp_extract_all(F.regexp_extract(raw, r"(?s)[{\[].*", 0), F.lit(_PIECE), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("stop"))
+
+    def walk(state, piece):
+        depth = state["depth"] + F.when(piece.isin("{", "["), 1).when(piece.isin("}", "]"), -1).otherwise(0)
+        stop = F.when((state["stop"] == 0) & (depth == 0), state["at"] + 1).otherwise(state["stop"])
+        return F.struct(depth.alias("depth"), (state["at"] + 1).alias("at"), stop.alias("stop"))
+
+    whole = F.slice(pieces, F.lit(1), F.aggregate(pieces, start, walk)["stop"])
+    told = F.filter(whole, lambda p: F.trim(p) != "")
+    quoted = lambda p: F.concat(
+        F.lit('"'), F.replace(F.replace(F.substring(p, F.lit(2), F.length(p) - 2), F.lit("\\'"), F.lit("'")), F.lit('"'), F.lit('\\"')), F.lit('"')
+    )
+    kept = F.filter(told, lambda p, i: ~((p == ",") & F.coalesce(F.get(told, i + 1).isin("}", "]"), F.lit(False))))
+    mended = F.transform(kept, lambda p: F.when(p.startswith("'") & (F.length(p) > 1), quoted(p)).otherwise(p))
+    return F.coalesce(F.try_parse_json(F.trim(raw)), F.try_parse_json(F.array_join(mended, "")))
 
 
 def masked_key(key: Column) -> Column:

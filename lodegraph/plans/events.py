@@ -109,10 +109,8 @@ def token_bucket(spark, sf_dir):
 SELECT key, id, "at", (max("at" - 900 * i) OVER (PARTITION BY key ORDER BY "at", id) + 900 * i)::BIGINT AS release FROM r""",
 )
 def min_interval_pacing(spark, sf_dir):
-    rows = requests_of(spark, sf_dir).join(
-        events_of(spark, sf_dir).select(F.col("event_id").alias("id"), "event_type"), "id"
-    )
-    keyed = rows.select(F.col("event_type").alias("key"), (F.col("at_ms") / 1000).cast("long").alias("at"), "id")
+    at = (F.unix_millis(F.col("ts").cast("timestamp")) / 1000).cast("long")
+    keyed = events_of(spark, sf_dir).select(F.col("event_type").alias("key"), at.alias("at"), F.col("event_id").alias("id"))
     return tables.paced(keyed, 900)
 
 

@@ -2,7 +2,7 @@
 
 An engine is a row of facts: which element opens a result, in which element of it
 the link stands (empty: anywhere), and which element holds the summary.  One
-reader serves all engines: the page is cut before each opening tag, and of every
+reader serves all engines: the page is cut at each opening tag, and of every
 piece the first link and the summary are taken.
 """
 
@@ -13,6 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import MARK
 from ..functions.web import decode_entities, is_junk, strip_tags, unwrap_redirect
 
 
@@ -60,8 +61,9 @@ def _read(engine: Engine):
 
 
 def _pieces(html: Column, engine: Engine) -> Column:
-    start = opening(*engine.result)
-    return F.filter(F.split(html, f"(?={start})"), lambda p: p.rlike("^" + start))
+    """The page from each result's opening tag to the next one's: one pass marks the tags, then the page is cut at the marks."""
+    marked = F.split(F.regexp_replace(html, f"({opening(*engine.result)})", f"{MARK}$1"), MARK)
+    return F.slice(marked, 2, F.size(marked))
 
 
 def results(pages: DataFrame, engine: Column, html: Column) -> DataFrame:

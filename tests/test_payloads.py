@@ -25,6 +25,10 @@ def value(spark, col):
         ('{"a": [1, 2,], }', {"a": [1, 2]}),
         ("{'a': 'x'}", {"a": "x"}),
         ("[1, 2] tail", [1, 2]),
+        ("It's this: {'a': 'it\\'s \"b\"', \"c\": \"d, }\",} and {x}", {"a": 'it\'s "b"', "c": "d, }"}),
+        ("[{'a': [1, 2 , ] , } , ]", [{"a": [1, 2]}]),
+        ('{"a": "' + "x" * 20_000 + '"', None),
+        ("12", 12),
         ("no payload", None),
         ('{"a": ', None),
         ("", None),
