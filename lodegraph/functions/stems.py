@@ -1,4 +1,4 @@
-"""Porter's stems of English words, as column expressions and as SQL from the same tables of rules.
+"""Porter's stems of English words, for rows and as SQL, from the same tables of rules.
 
 A word's vowels are ``aeiou`` and a ``y`` after a consonant.  ``m`` counts the
 runs of vowels that consonants follow; conditions on it are patterns on what
@@ -8,7 +8,10 @@ than ``a-z``, stay as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 _C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
 M0 = f"^({_C})?{_V}{_C}"  # m > 0
@@ -42,23 +45,16 @@ AT_END = "[st]$"  # what stands before -ion
 DOUBLES = "(bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx)$"
 
 
-class _Spark:
-    """Column operations by the names that the rules use."""
+class _Words:
+    """Operations on a word by the names that the rules use."""
 
-    case = staticmethod(lambda pairs, other: _when(pairs, other))
-    matches = staticmethod(lambda w, pattern: w.rlike(pattern))
+    case = staticmethod(lambda pairs, other: next((v for c, v in pairs if c), other))
+    matches = staticmethod(lambda w, pattern: re.search(pattern, w) is not None)
     ends = staticmethod(lambda w, end: w.endswith(end))
-    cut = staticmethod(lambda w, n: F.substring(w, F.lit(1), F.length(w) - n))
-    add = staticmethod(lambda w, end: F.concat(w, F.lit(end)))
-    both = staticmethod(lambda a, b: a & b)
-    no = staticmethod(lambda a: ~a)
-
-
-def _when(pairs, other):
-    out = F
-    for condition, value in pairs:
-        out = out.when(condition, value)
-    return out.otherwise(other)
+    cut = staticmethod(lambda w, n: w[: max(len(w) - n, 0)])
+    add = staticmethod(lambda w, end: w + end)
+    both = staticmethod(lambda a, b: a and b)
+    no = staticmethod(lambda a: not a)
 
 
 class _Sql:
@@ -133,12 +129,42 @@ def steps(o) -> list:
 PLAIN = "^[a-z][a-z][a-z]+$"
 
 
-def stemmed(words, column: str):
-    """The rows of ``words`` with the column replaced by its stems; one projection per step, so no step is spelled out twice."""
-    out = words.withColumn("_stem", F.col(column))
-    for one in steps(_Spark):
-        out = out.withColumn("_stem", F.when(F.col(column).rlike(PLAIN), one(F.col("_stem"))).otherwise(F.col(column)))
-    return out.withColumn(column, F.col("_stem")).drop("_stem")
+def stem(word: str) -> str:
+    if re.search(PLAIN, word):
+        for one in steps(_Words):
+            word = one(word)
+    return word
+
+
+class Stems(dict):
+    """A bounded memo of stems."""
+
+    limit = 200_000
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = found = stem(word)
+        return found
+
+
+def stemmed(words: DataFrame, column: str) -> DataFrame:
+    """The rows of ``words`` with the column replaced by its stems.
+
+    As a map over Arrow batches: as expressions the steps would be spelled out within each other wherever the optimizer
+    puts a filter on the result.
+    """
+    place = words.columns.index(column)
+
+    def run(batches):
+        memo = Stems()
+        for batch in batches:
+            found = [None if w is None else memo[w] for w in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, batch.schema.field(place).type) if i == place else c for i, c in enumerate(batch.columns)], schema=batch.schema
+            )
+
+    return words.mapInArrow(run, words.schema)
 
 
 def stem_sql(source: str, column: str, name: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checks, events, fittings, graphs, indexed, routing, lexical, payloads, stores, streams, texts  # noqa: F401
+from . import checks, events, fittings, graphs, indexed, learned, routing, lexical, payloads, stores, streams, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
