@@ -53,7 +53,10 @@ def command_lines(code: Column) -> Column:
 
 
 def _named(words: Column, command: Command) -> Column:
-    """Names that a simple command gives to ``command``: after program and verb, without options, up to what is none."""
+    """Names that a simple command gives to ``command``: after program and verb, without options, up to what is none.
+
+    A name may carry a version after ``=``; it is the last one then.
+    """
     low = F.transform(words, F.lower)
     found = F.array(*[F.array_position(low, F.lit(p)) for p in command.programs])
     at = F.array_max(found).cast("int")
@@ -61,6 +64,9 @@ def _named(words: Column, command: Command) -> Column:
     after = F.slice(words, at + 1, F.size(words))
     after = F.filter(after, lambda w: ~w.startswith("-") | F.lower(w).isin(*options))
     names = F.slice(after, 2, F.size(words))
+    versioned = F.array_position(F.transform(names, lambda w: F.contains(w, F.lit("="))), F.lit(True)).cast("int")
+    names = F.when(versioned > 0, F.slice(names, 1, versioned)).otherwise(names)
+    names = F.transform(names, lambda w: F.substring_index(w, "=", 1))
     wrong = F.transform(names, lambda w: ~w.rlike(NAME))
     ends = F.array_position(wrong, F.lit(True)).cast("int")
     names = F.when(ends > 0, F.slice(names, 1, ends - 1)).otherwise(names)

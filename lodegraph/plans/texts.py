@@ -286,28 +286,57 @@ def resolve_alternatives(spark, sf_dir):
     return out.withColumn("activation", F.round("activation", 6))
 
 
-#: Sample commands, since the tables hold none.
-COMMANDS = (
-    (1, "sudo apt-get install -y nginx php8.3-fpm mariadb-server"),
-    (2, "apk add --no-cache redis postgresql-client"),
-    (3, "dnf install httpd && systemctl enable --now nginx.service"),
-    (4, "docker run -d --name db postgres:16"),
-    (5, "composer require laravel/framework"),
-    (6, "./configure --with-openssl --enable-gd\nextension=redis"),
+STOPS = ", ".join(f"'{x}'" for x in tx.STOP_TOKENS)
+#: What commands over a part's words (a, b) and size name: form, extractor, context, confidence, the name as SQL.
+NAMED_BY_FORM = (
+    (0, "apt-install", "install-cmd", 0.95, "a"),
+    (0, "apt-install", "install-cmd", 0.95, "b"),
+    (1, "apk-add", "install-cmd", 0.95, "a"),
+    (1, "apk-add", "install-cmd", 0.95, "b"),
+    (2, "dnf-yum-install", "install-cmd", 0.95, "a"),
+    (2, "systemctl-unit", "install-cmd", 0.95, "b || '.service'"),
+    (3, "docker-run", "install-cmd", 0.95, "a"),
+    (4, "composer-require", "install-cmd", 0.95, "a || b"),
+    (5, "configure-with", "package-list", 0.85, "a"),
+    (5, "configure-enable", "package-list", 0.85, "b"),
+    (5, "ext-directive", "package-list", 0.85, "a"),
+    (6, "docker-compose-image", "install-cmd", 0.95, "a"),
+    (8, "pip-install", "install-cmd", 0.95, "a"),
+    (9, "pacman-install", "install-cmd", 0.95, "a"),
+    (9, "pacman-install", "install-cmd", 0.95, "'php-' || b"),
+    (9, "php-ext-dash", "package-list", 0.85, "b"),
 )
 
 
-@query("install_commands", """SELECT * FROM (VALUES
-(1, 'apt-install', 'install-cmd', 0.95::DOUBLE, 'nginx'), (1, 'apt-install', 'install-cmd', 0.95, 'php-fpm'),
-(1, 'apt-install', 'install-cmd', 0.95, 'mariadb'), (1, 'php-ext-dash', 'package-list', 0.85, 'fpm'),
-(2, 'apk-add', 'install-cmd', 0.95, 'redis'), (2, 'apk-add', 'install-cmd', 0.95, 'postgresql'),
-(3, 'dnf-yum-install', 'install-cmd', 0.95, 'httpd'), (3, 'systemctl-unit', 'install-cmd', 0.95, 'nginx.service'),
-(4, 'docker-run', 'install-cmd', 0.95, 'db'), (5, 'composer-require', 'install-cmd', 0.95, 'laravelframework'),
-(6, 'configure-with', 'package-list', 0.85, 'openssl'), (6, 'configure-enable', 'package-list', 0.85, 'gd'),
-(6, 'ext-directive', 'package-list', 0.85, 'redis')) AS t(id, extractor, context, confidence, term)""")
+@query(
+    "install_commands",
+    f"""WITH p AS (
+  SELECT p_partkey AS id, p_partkey % 10 AS form, lower(string_split(p_name, ' ')[1]) AS a, lower(string_split(p_name, ' ')[2]) AS b FROM part),
+named AS ({" UNION ALL ".join(
+    f"SELECT id, '{x}' AS extractor, '{c}' AS context, {v}::DOUBLE AS confidence, {t} AS term FROM p WHERE form = {f}"
+    for f, x, c, v, t in NAMED_BY_FORM)})
+SELECT * FROM named WHERE length(term) BETWEEN 2 AND 40 AND term NOT IN ({STOPS})""",
+)
 def install_commands(spark, sf_dir):
-    rows = spark.createDataFrame(COMMANDS, "id int, code string")
-    return extraction.from_code(rows, "id", F.col("code"))
+    """Commands and declarations over the parts' words: with versions, options, several names, prefixes, and one sentence of prose."""
+    part = table(spark, sf_dir, "part")
+    words, size = F.split("p_name", " "), F.col("p_size").cast("string")
+    a, b = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    forms = (
+        text("sudo apt-get install -y ", a, " ", b, "-server=", size),
+        text("apk add --no-cache lib", a, " ", b, size),
+        text("dnf install ", a, " && systemctl enable --now ", b, ".service"),
+        text("docker pull ", a, ":", size),
+        text("composer require ", a, "/", b),
+        text("./configure --with-", a, " --enable-", b, "\nextension=", a),
+        text("  image: \"", a, ":", size, "\"\n  ports: [80]"),
+        text("They like ", a, " and ", b, " and never install them."),
+        text("pip3 install --user ", a, "==", size, " && echo done"),
+        text("pacman -Syu ", a, " php8.3-", b),
+    )
+    code = F.element_at(F.array(*forms), (F.col("p_partkey") % 10 + 1).cast("int"))
+    return extraction.from_code(part.select(F.col("p_partkey").alias("id"), code.alias("code")), "id", F.col("code"))
 
 
 @query(
