@@ -17,11 +17,16 @@ from ..functions.scores import npmi, npmi_to_weight, rescale_weight
 from .corpus import Index
 
 
-def lexicon(index: Index, low: float = 0.02, high: float = 0.12, size: int = 200) -> list[str]:
-    """The ``size`` most frequent terms of four letters or more in a middle band of document shares."""
+def lexicon_table(index: Index, low: float = 0.02, high: float = 0.12, size: int = 200) -> DataFrame:
+    """term: the ``size`` most frequent terms of four letters or more in a middle band of document shares."""
     held = index.frequency().where(F.length("term") >= 4)
     band = held.where((F.col("df") >= low * index.n) & (F.col("df") <= high * index.n))
-    return [r["term"] for r in band.orderBy(F.col("df").desc(), "term").limit(size).collect()]
+    return band.orderBy(F.col("df").desc(), "term").limit(size).select("term")
+
+
+def lexicon(index: Index, low: float = 0.02, high: float = 0.12, size: int = 200) -> list[str]:
+    """The terms of ``lexicon_table`` in their order."""
+    return [r["term"] for r in lexicon_table(index, low, high, size).collect()]
 
 
 def _among(names: list[str]) -> Column:
@@ -38,6 +43,13 @@ def held_terms(index: Index, names: list[str]) -> DataFrame:
     return index.rows.select(index.key, "domain", lexicon_terms(F.col("terms.term"), names).alias("held"))
 
 
+def held_of_table(index: Index, terms: DataFrame) -> DataFrame:
+    """key, domain, held as ``held_terms``, with the lexicon as a table (term) of any size."""
+    rows = index.rows.select(index.key, "domain", F.explode_outer(F.array_distinct("terms.term")).alias("term"))
+    known = rows.where("term is not null").join(terms, "term")
+    return known.groupBy(index.key, "domain").agg(F.sort_array(F.collect_list("term")).alias("held"))
+
+
 def pairs(docs: DataFrame, terms: Column, *keep: str) -> DataFrame:
     """a, b (a < b) and ``keep`` for each pair of a row's terms."""
     later = F.transform(

@@ -3,49 +3,126 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-def token_bucket(requests: DataFrame, capacity: float, per_minute: float, idle_ms: int | None = None) -> DataFrame:
-    """key, id, allowed, retry_after for a stream of (key, at_ms, id, cost).
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
-    State is a bucket's level and time.  With ``idle_ms`` it goes after that long
-    without a request; from ``capacity / per_minute`` minutes on, forgetting
-    changes nothing.  (A stream that runs once over what there is must not set
-    it: Spark would go on until every timeout has passed.)
-    """
-    rate = per_minute / 60000.0
-
-    def fold(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["at_ms", "id"])  # of one micro-batch, which the source bounds
-        left, last = state.get if state.exists else (capacity, int(rows["at_ms"].iloc[0]))
-        allowed, wait = [], []
-        for at, cost in zip(rows["at_ms"], rows["cost"], strict=True):
-            left, last = min(capacity, left + (at - last) * rate), int(at)
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Queries started inside keep their state in a store that knows time to live; the session's own choice comes back after."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+
+
+def _in_order(rows: Iterator[pd.DataFrame], *columns: str) -> zip:
+    """A key's rows of one micro-batch by time and id; only the named columns are held, and the source bounds a micro-batch."""
+    narrow = pd.concat([x[list(columns)] for x in rows], ignore_index=True).sort_values(list(columns[:2]))
+    return zip(*[narrow[c].tolist() for c in columns])
+
+
+class Bucket(StatefulProcessor):
+    """A token bucket per key: its level and the time of its last request, forgotten after ``idle_ms`` without one."""
+
+    def __init__(self, capacity: float, per_minute: float, idle_ms: int | None):
+        self.capacity, self.rate, self.idle_ms = capacity, per_minute / 60000.0, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.level = handle.getValueState("level", "held double, last long", self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.level.get() if self.level.exists() else None
+        left, last = held if held is not None else (self.capacity, None)
+        out = []
+        for at, number, cost in _in_order(rows, "at_ms", "id", "cost"):
+            left, last = min(self.capacity, left + (at - (at if last is None else last)) * self.rate), at
             fine = left >= cost
-            allowed.append(fine)
-            wait.append(0 if fine else max(1, math.ceil((cost - left) / rate / 1000.0)))
+            out.append((key[0], number, fine, 0 if fine else max(1, math.ceil((cost - left) / self.rate / 1000.0))))
             left -= cost if fine else 0
-        state.update((float(left), last))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"key": rows["key"], "id": rows["id"], "allowed": allowed, "retry_after": wait})
+        self.level.update((float(left), int(last)))
+        yield pd.DataFrame(out, columns=["key", "id", "allowed", "retry_after"])
+
+    def close(self) -> None:
+        pass
+
 
+def token_bucket(requests: DataFrame, capacity: float, per_minute: float, idle_ms: int | None = None) -> DataFrame:
+    """key, id, allowed, retry_after for a stream of (key, at_ms, id, cost); start it within ``keyed_state``.
+
+    Micro-batches must come in the order of time, as files of a log do.  With
+    ``idle_ms`` a bucket is forgotten that long (of the cluster's time) after its last
+    request; from ``capacity / per_minute`` minutes on, forgetting changes nothing.  (A stream
+    that runs once over what there is must not set it: Spark would go on for as long as
+    there is time to live.)
+    """
     kind = dict(requests.dtypes)
-    return requests.groupBy("key").applyInPandasWithState(
-        fold,
+    return requests.groupBy("key").transformWithStateInPandas(
+        Bucket(capacity, per_minute, idle_ms),
         f"key {kind['key']}, id {kind['id']}, allowed boolean, retry_after long",
-        "held double, last long",
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout,
+        "Append",
+        "ProcessingTime" if idle_ms else "None",
+    )
+
+
+class Cache(StatefulProcessor):
+    """What a key's last answer is good for: requests within ``ttl_ms`` of it are hits, later ones make a new answer.
+
+    A timer in the stream's own time removes an answer that has run out, so state holds live answers only.
+    """
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.stored = handle.getValueState("stored", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        kept = self.stored.get()[0] if self.stored.exists() else None
+        before, out = kept, []
+        for at, number in _in_order(rows, "at_ms", "id"):
+            hit = kept is not None and at < kept + self.ttl_ms
+            kept = kept if hit else at
+            out.append((key[0], number, hit))
+        if kept != before:
+            if before is not None:
+                self.handle.deleteTimer(int(before + self.ttl_ms))
+            self.stored.update((int(kept),))
+            self.handle.registerTimer(int(kept + self.ttl_ms))
+        yield pd.DataFrame(out, columns=["key", "id", "hit"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.stored.clear()
+        yield pd.DataFrame({"key": [], "id": [], "hit": []})
+
+    def close(self) -> None:
+        pass
+
+
+def cache(requests: DataFrame, ttl_ms: int, late: str) -> DataFrame:
+    """key, id, hit for a stream of (key, at: timestamp, at_ms, id); start it within ``keyed_state``.
+
+    An answer is removed once the watermark, ``late`` behind the newest request, has passed its end.
+    """
+    kind = dict(requests.dtypes)
+    marked = requests.withWatermark("at", late)
+    return marked.groupBy("key").transformWithStateInPandas(
+        Cache(ttl_ms), f"key {kind['key']}, id {kind['id']}, hit boolean", "Append", "EventTime"
     )
 
 
@@ -69,20 +146,29 @@ def sessions(events: DataFrame, at: str, gap: str, late: str, by: str) -> DataFr
     )
 
 
+def in_parts(rows: DataFrame, part: Column, parts: int, folder: str) -> str:
+    """``rows`` written part by part (0 to ``parts`` - 1), one after the other: a folder that a stream reads in this order."""
+    marked = rows.withColumn("_part", part)
+    for i in range(parts):
+        marked.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def run_once(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Everything there is, through the stream, into Parquet at ``path``; read back as a table."""
     writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint")
-    writer.outputMode(mode).trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
+    with keyed_state(stream.sparkSession):
+        writer.outputMode(mode).trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def learn_stream(pages: DataFrame, path: str, lexicon: Callable[[DataFrame], list[str]], observe: Callable[[DataFrame, list[str]], DataFrame]):
+def learn_stream(pages: DataFrame, path: str, lexicon: Callable[[DataFrame], DataFrame], observe: Callable[[DataFrame, DataFrame], DataFrame]):
     """Writer of a stream of pages that only ever adds: every batch looks at its own new pages.
 
-    A page is learned once, by its url.  ``lexicon(batch)`` gives the terms of a
-    batch; they join those of the batches before, so that later pages reinforce
-    what earlier ones brought.  ``observe(pages, terms)`` turns the new pages into
-    rows of evidence, kept by batch; a batch that is run again replaces its own.
+    A page is learned once, by its url.  ``lexicon(batch)`` gives the terms (term) of a
+    batch; they join those of the batches before in a table, so that later pages
+    reinforce what earlier ones brought.  ``observe(pages, terms)`` turns the new pages
+    into rows of evidence, kept by batch; a batch that is run again replaces its own.
     """
 
     def before(folder: str, number: int) -> str:
@@ -97,10 +183,8 @@ def learn_stream(pages: DataFrame, path: str, lexicon: Callable[[DataFrame], lis
         fresh.write.mode("overwrite").parquet(before("pages", number))
         kept = spark.read.schema(batch.schema).parquet(before("pages", number))
         kept.select("url").write.mode("overwrite").parquet(before("urls", number))
-        new = spark.createDataFrame([(x,) for x in lexicon(kept)], "term string")
-        new.write.mode("overwrite").parquet(before("terms", number))
+        lexicon(kept).select("term").write.mode("overwrite").parquet(before("terms", number))
         known = spark.read.schema("term string, batch int").parquet(f"{path}/terms").where(F.col("batch") <= number)
-        terms = sorted(r["term"] for r in known.select("term").distinct().collect())
-        observe(kept, terms).write.mode("overwrite").parquet(before("evidence", number))
+        observe(kept, known.select("term").distinct()).write.mode("overwrite").parquet(before("evidence", number))
 
     return pages.writeStream.foreachBatch(absorb).option("checkpointLocation", f"{path}/checkpoint")

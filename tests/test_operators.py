@@ -226,6 +226,30 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     assert key(got) == key(want)
 
 
+def test_buckets_are_forgotten_after_their_time_to_live(spark, tmp_path):
+    """A bucket emptied by one file is full again in the next if its state has run out in between."""
+    import time
+
+    from lodegraph.streaming import state
+
+    schema = "key string, at_ms long, id long, cost int"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put([("a", 0, 1, 2), ("a", 1, 2, 1)])
+    stream = state.token_bucket(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 2.0, 0.001, idle_ms=1_500)
+    with state.keyed_state(spark):
+        running = stream.writeStream.format("memory").queryName("buckets").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        running.processAllAvailable()
+        time.sleep(2)
+        put([("a", 2, 3, 2)])
+        deadline = time.time() + 60
+        while spark.table("buckets").count() < 3 and time.time() < deadline:
+            time.sleep(0.5)
+    finally:
+        running.stop()
+    assert {r["id"]: r["allowed"] for r in spark.table("buckets").collect()} == {1: True, 2: False, 3: True}
+
+
 def test_names_of_any_length_are_found(spark):
     texts = spark.createDataFrame([(1, " the one two three four five way "), (2, " one two three four ")], "id long, text string")
     names = spark.createDataFrame([("one two three four five",), ("two",)], "name string")
@@ -324,8 +348,9 @@ def test_pages_are_learned_once_and_the_lexicon_grows(spark, tmp_path):
 
     for n, part in enumerate([[("u1", "alpha beta"), ("u2", "beta")], [("u2", "gone"), ("u3", "alpha gamma")]]):
         spark.createDataFrame(part, "url string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        words = lambda pages: [r[0] for r in pages.select(F.explode(F.split("text", " "))).distinct().collect()]
-        held = lambda pages, terms: pages.select("url", F.array_sort(F.array_intersect(F.split("text", " "), F.array(*map(F.lit, terms)))).alias("t"))
+        words = lambda pages: pages.select(F.explode(F.split("text", " ")).alias("term")).distinct()
+        cut = lambda pages: pages.select("url", F.explode(F.split("text", " ")).alias("term"))
+        held = lambda pages, terms: cut(pages).join(terms, "term").groupBy("url").agg(F.sort_array(F.collect_set("term")).alias("t"))
         stream = spark.readStream.schema("url string, text string").parquet(str(tmp_path / "in"))
         state.learn_stream(stream, str(tmp_path / "out"), words, held).trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out" / "evidence")).collect()
