@@ -238,13 +238,17 @@ def test_buckets_are_forgotten_after_their_time_to_live(spark, tmp_path):
     stream = state.token_bucket(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 2.0, 0.001, idle_ms=1_500)
     with state.keyed_state(spark):
         running = stream.writeStream.format("memory").queryName("buckets").option("checkpointLocation", str(tmp_path / "c")).start()
+
+    def wait(rows):
+        deadline = time.time() + 60
+        while spark.table("buckets").count() < rows and time.time() < deadline:
+            time.sleep(0.5)
+
     try:
-        running.processAllAvailable()
+        wait(2)
         time.sleep(2)
         put([("a", 2, 3, 2)])
-        deadline = time.time() + 60
-        while spark.table("buckets").count() < 3 and time.time() < deadline:
-            time.sleep(0.5)
+        wait(3)
     finally:
         running.stop()
     assert {r["id"]: r["allowed"] for r in spark.table("buckets").collect()} == {1: True, 2: False, 3: True}
