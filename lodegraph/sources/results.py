@@ -63,7 +63,7 @@ def _read(engine: Engine):
 def _pieces(html: Column, engine: Engine) -> Column:
     """The page from each result's opening tag to the next one's: one pass marks the tags, then the page is cut at the marks."""
     marked = F.split(F.regexp_replace(html, f"({opening(*engine.result)})", f"{MARK}$1"), MARK)
-    return F.slice(marked, 2, F.size(marked))
+    return F.slice(marked, 2, 2**30)
 
 
 def results(pages: DataFrame, engine: Column, html: Column) -> DataFrame:
@@ -76,5 +76,6 @@ def results(pages: DataFrame, engine: Column, html: Column) -> DataFrame:
         found = F.when(engine == e.name, F.transform(_pieces(html, e), _read(e))).otherwise(found)
     good = F.filter(found, lambda r: (r["title"] != "") & (r["url"] != "") & ~is_junk(r["url"]))
     keep = [c for c in pages.columns if c != "html"]
-    cut = pages.select(*keep, F.posexplode(good).alias("place", "r"))
+    # an outer explode: the plain one lets the optimizer repeat the reading in a filter below
+    cut = pages.select(*keep, F.posexplode_outer(good).alias("place", "r")).where("r is not null")
     return cut.select(*keep, (F.col("place") + 1).alias("rank"), "r.url", "r.title", "r.snippet")
