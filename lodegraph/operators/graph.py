@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import npmi, npmi_to_weight, rescale_weight
+from ..sources.tables import written
 from .corpus import Index
 
 
@@ -146,11 +147,13 @@ def spread_activation(
 
     All of a hop's flows use the activations at its start.  ``table`` has
     rescaled weights; only nodes first reached in a hop, and above tau, go on.
+    Flows and activations are written after each hop, so a hop never computes
+    the ones before it again.
     """
     state = seeds.select("query_id", "id", F.lit(1.0).alias("activation"), F.lit(0).alias("hop")).distinct()
     frontier, all_flows = state, None
     for hop in range(1, hops + 1):
-        flows = hop_flows(frontier, table, hop, decay, alternative)
+        flows = written(hop_flows(frontier, table, hop, decay, alternative), "flows")
         got = flows.groupBy("query_id", F.col("dst").alias("id")).agg(F.sum("contribution").alias("more"))
         state = state.join(got, ["query_id", "id"], "full").select(
             "query_id",
@@ -160,6 +163,7 @@ def spread_activation(
             ).alias("activation"),
             F.coalesce("hop", F.lit(hop)).alias("hop"),
         )
+        state = written(state, "activations")
         frontier = state.where((F.col("hop") == hop) & (F.col("activation") >= tau))
         flows = flows.withColumn("hop", F.lit(hop))
         all_flows = flows if all_flows is None else all_flows.unionByName(flows)
