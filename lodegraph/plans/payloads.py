@@ -52,7 +52,8 @@ def result_html(spark, sf_dir):
     url, engine = F.col("url"), F.col("page_id") % 3
     title = F.concat(F.lit("Page "), F.col("page_id").cast("string"), F.lit(" &amp; more"))
     address = F.replace(url, F.lit("&"), F.lit("&amp;"))
-    coded = F.rtrim(F.translate(F.base64(url.cast("binary")), "+/", "-_"), F.lit("="))
+    # Spark breaks base64 into lines of 76 signs, links have none
+    coded = F.rtrim(F.translate(F.base64(url.cast("binary")), "+/\r\n", "-_"), F.lit("="))
     block = (
         F.when(engine == 0, F.concat(F.lit('<a class="result__a" href="//duckduckgo.com/l/?uddg='), F.url_encode(url),
                                      F.lit('&amp;rut=x"><b>'), title, F.lit('</b></a> <a class="result__snippet" href="#">About '), title, F.lit("</a>")))

@@ -124,3 +124,15 @@ def test_seeded_edges_are_eligible_both_ways(spark):
     pairs = spark.createDataFrame([("a", "b", "requires"), ("b", "a", "requires")], "src string, dst string, relation string")
     rows = graph.eligible(graph.seeded(pairs).withColumn("n_domains", F.lit(0))).collect()
     assert sorted((r["src"], r["dst"], r["n_obs"]) for r in rows) == [("a", "b", 99), ("b", "a", 99)]
+
+
+def test_result_pages_with_long_links(spark, tmp_path):
+    """Spark breaks base64 of more than 76 signs into lines; such links must be written and read whole."""
+    from lodegraph.plans import payloads as plans
+
+    urls = {i: "https://example.org/" + "a" * i for i in range(1, 200, 3)}
+    spark.createDataFrame(list(urls.items()), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = plans.result_pages(spark, str(tmp_path)).collect()
+    assert {(r["engine"], r["url"]) for r in got} == {("bing", u) for u in urls.values()}
+    coded = F.base64(F.lit(urls[100]).cast("binary"))
+    assert value(spark, results.unwrap_redirect(F.concat(F.lit("https://x/ck/a?u=a1"), coded))) == urls[100]
