@@ -34,17 +34,16 @@ MENTION = "struct<term:string,confidence:double,context:string,sentence:int>"
 
 def _mentions(cut: Column, known: Column) -> Column:
     def of(sentence: Column, number: Column) -> Column:
+        # the cue is looked for once in a sentence, not for each of its terms
+        def found(confidence: float, context: str) -> Column:
+            return F.transform(
+                F.array_intersect(F.array_distinct(tokens(sentence)), known),
+                lambda t: F.struct(t.alias("term"), F.lit(confidence).alias("confidence"), F.lit(context).alias("context"), number.alias("sentence")),
+            )
+
+        none = F.array().cast(f"array<{MENTION}>")
         cue = sentence.rlike(REQUIREMENT_CUES)
-        found = F.transform(
-            F.array_intersect(F.array_distinct(tokens(sentence)), known),
-            lambda t: F.struct(
-                t.alias("term"),
-                F.when(cue, 0.6).otherwise(0.25).alias("confidence"),
-                F.when(cue, "requirements-list").otherwise("prose").alias("context"),
-                number.alias("sentence"),
-            ),
-        )
-        return F.when(F.length(sentence).between(8, 600), found).otherwise(F.array().cast(f"array<{MENTION}>"))
+        return F.when(~F.length(sentence).between(8, 600), none).when(cue, found(0.6, "requirements-list")).otherwise(found(0.25, "prose"))
 
     return F.flatten(F.transform(cut, of))
 
@@ -68,6 +67,9 @@ def records(pages: DataFrame, key: str, names: list[str]) -> DataFrame:
 
     ``terms``: the best mention of each term (highest confidence, then first sentence), sorted by term; ``skipped``: why the
     page teaches nothing, or null.  Pages without text are empty; a null domain is a domain of its own.
+
+    Records are written: a filter on them would otherwise move below, where all that makes ``skipped`` and ``terms`` is spelled
+    out again for each mention.
     """
     known = _among(names)
     cut = dealt(pages.select(key, "domain", "text")).select(key, "domain", sentences(F.coalesce("text", F.lit(""))).alias("s"))
@@ -81,7 +83,7 @@ def records(pages: DataFrame, key: str, names: list[str]) -> DataFrame:
     rows = rows.withColumn("terms", terms)
     count = F.size("terms")
     skipped = F.when(F.col("n") == 0, "empty").when(count < FEWEST_TERMS, F.concat(F.lit("only "), count.cast("string"), F.lit(" terms")))
-    return rows.select(key, "domain", "mentions", "alternatives", "terms", skipped.alias("skipped"))
+    return written(rows.select(key, "domain", "mentions", "alternatives", "terms", skipped.alias("skipped")), "records")
 
 
 def glue(breadth: DataFrame, names: list[str]) -> list[str]:

@@ -82,3 +82,10 @@ def test_deliveries_equal_a_rebuild(spark, seed):
 def pairs_of(held):
     held = sorted(held)
     return [(a, b) for i, a in enumerate(held) for b in held[i + 1 :]]
+
+
+def test_filters_on_records_do_not_read_the_pages_again(spark):
+    """A filter below the records would spell out all mentions for each mention."""
+    rows = learning.records(as_pages(spark, [(1, "a", "You need redis and nginx.")]), "page_id", NAMES)
+    plan = learning.taught(rows, "page_id", ["redis"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and learning.taught(rows, "page_id", []).first()["held"] == ["nginx", "redis"]
