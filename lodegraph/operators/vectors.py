@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors, and rows, that a task compares at once.
 BLOCK, CHUNK = 2048, 20_000
+#: Scores that a task holds at once: a chunk is compared in slices of so many.
+CELLS = 1 << 20
 #: Bins of scores between -1 and 1.
 BINS = 1024
 
@@ -54,15 +56,15 @@ class Best:
 
     def add(self, own: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
         n = len(own)
-        query, row, value = np.repeat(np.arange(len(self.ids)), n), np.tile(own, len(self.ids)), score.ravel()
+        if self.k is not None and self.k < n:  # a slice's own best first
+            edge = np.partition(score, n - self.k, axis=1)[:, n - self.k] - 1e-9
+            query, at = np.nonzero(score >= edge[:, None])
+            row, value = own[at], score[query, at]
+        else:
+            query, row, value = np.repeat(np.arange(len(self.ids)), n), np.tile(own, len(self.ids)), score.ravel()
         if self.k is None:
             yield _batch({"query_id": self.ids[query], "id": row, "score": value})
             return
-        if self.k < n:  # a chunk's own best first
-            part = np.argpartition(-score, self.k - 1, axis=1)[:, : self.k]
-            edge = np.take_along_axis(score, part, 1).min(axis=1) - 1e-9
-            keep = value >= edge[query]
-            query, row, value = query[keep], row[keep], value[keep]
         query, row, value = (np.concatenate(x) for x in zip(self.held, (query, row, value), strict=True))
         order = np.lexsort((row, -np.round(value, 9), query))
         query, row, value = query[order], row[order], value[order]
@@ -143,8 +145,10 @@ def _searched(queries: DataFrame, vectors: DataFrame, schema: str, start: Callab
 
     def gather(ids, unit, extra, batches):
         found = start(np.array(ids, dtype=np.int64), np.array(extra))
+        step = max(1, CELLS // len(unit))
         for own, vecs in batches:
-            yield from found.add(own, unit @ _unit(vecs).T)
+            for i in range(0, len(own), step):
+                yield from found.add(own[i : i + step], unit @ _unit(vecs[i : i + step]).T)
         yield from found.end()
 
     few = asked.limit(BLOCK + 1).collect()

@@ -370,3 +370,34 @@ def test_recovered_calls_in_odd_texts():
     ]
     assert calls_of('{"name": "run", "arguments": "open', names) == [] and calls_of("{{}} [] } {", names) == []
     assert calls_of('{"name": "run", "function": 3} {"name": 7}', names) == [{"name": "run", "arguments": None}]
+
+
+def test_tasks_hold_few_scores_at_once(spark, monkeypatch):
+    """Scores of questions and rows are made in slices, with the same best rows as at once."""
+    import random
+
+    from lodegraph.operators import vectors
+
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)], "id long, vec array<double>").coalesce(1)
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vec")
+    told = lambda df: sorted((r["query_id"], r["id"], round(r["score"], 9)) for r in corpus.top_k(df, "id", 5).collect())
+    whole = told(vectors.similarities(asked, rows, 5))
+    monkeypatch.setattr(vectors, "CELLS", 100)
+    assert told(vectors.similarities(asked, rows, 5)) == whole and len(whole) == 75
+
+    class Sizes:
+        def __init__(self, ids, extra):
+            self.most = 0
+
+        def add(self, own, score):
+            self.most = max(self.most, score.size)
+            return iter(())
+
+        def end(self):
+            import pyarrow as pa
+
+            yield pa.RecordBatch.from_pydict({"most": [self.most]})
+
+    sizes = vectors._searched(asked.withColumn("extra", F.lit(0)), rows, "most long", Sizes)
+    assert sizes.agg(F.max("most")).first()[0] <= 100
