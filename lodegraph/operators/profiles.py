@@ -32,15 +32,26 @@ def context_block(rows: DataFrame, by: str, head: Column, body: Column, *order:
     return rows.groupBy(by).agg(F.array_join(F.transform(listed, lambda x: x["block"]), "\n\n").alias("context"))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def accessible_shade(r: Column, g: Column, b: Column, back: Column, needed: float) -> Column:
     """The first of twenty steps towards black (on light grounds) or white that reads on ``back``; null if none does."""
     from ..functions.scores import contrast, luminance
 
-    goal = F.when(back > 0.35, F.lit(0.0)).otherwise(F.lit(255.0))
+    def first(x: Column) -> Column:
+        def reads(step: Column) -> Column:
+            mixed = F.struct(*[F.round(x[c] + (x["goal"] - x[c]) * step / F.lit(20.0)).alias(c) for c in "rgb"])
+            lum = _let(mixed, lambda m: luminance(m["r"], m["g"], m["b"]))
+            return _let(lum, lambda y: contrast(y, x["back"])) >= needed
+
+        found = lambda so_far, step: F.when(so_far.isNotNull(), so_far).when(reads(step), step)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.lit(None).cast("int"), found)
 
-    def shade(step: Column) -> Column:
-        mixed = [F.round(c + (goal - c) * step / F.lit(20.0)) for c in (r, g, b)]
-        return F.struct(step.alias("step"), contrast(luminance(*mixed), back).alias("ratio"))
+    def known(ground: Column) -> Column:
+        goal = F.when(ground > 0.35, F.lit(0.0)).otherwise(F.lit(255.0))
+        return _let(F.struct(r.alias("r"), g.alias("g"), b.alias("b"), ground.alias("back"), goal.alias("goal")), first)
 
-    steps = F.transform(F.sequence(F.lit(1), F.lit(20)), shade)
-    return F.try_element_at(F.filter(steps, lambda s: s["ratio"] >= needed), F.lit(1))["step"]
+    return _let(back, known)

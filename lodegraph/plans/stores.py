@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import profiles, tables
+from ..sources.tables import dealt
 from .checks import LINEAR, LUM
 from .registry import query, table
 
@@ -181,4 +182,5 @@ def accessible_shade(spark, sf_dir):
     k, s = F.col("p_partkey"), F.col("p_size")
     front = [(k * 7 % 256).cast("double"), (k * 13 % 256).cast("double"), (s * 5 % 256).cast("double")]
     back = scores.luminance(s * 3 % 256, k % 256, k * 31 % 256)
-    return table(spark, sf_dir, "part").select("p_partkey", profiles.accessible_shade(*front, back, 4.5).alias("step"))
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
+    return parts.select("p_partkey", profiles.accessible_shade(*front, back, 4.5).alias("step"))

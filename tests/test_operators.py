@@ -401,3 +401,22 @@ def test_tasks_hold_few_scores_at_once(spark, monkeypatch):
 
     sizes = vectors._searched(asked.withColumn("extra", F.lit(0)), rows, "most long", Sizes)
     assert sizes.agg(F.max("most")).first()[0] <= 100
+
+
+def test_shades_compute_each_luminance_once(spark):
+    """Named values, not copies of their expressions: three components of the ground and three of the mixed colour."""
+    from lodegraph.functions.scores import luminance
+    from lodegraph.operators.profiles import accessible_shade
+
+    rows = spark.createDataFrame([(200, 200, 200, 250), (0, 0, 0, 255), (255, 255, 255, 100), (None, 1, 1, 1)], "r int, g int, b int, k int")
+    ground = luminance(F.col("k"), F.col("k"), F.col("k"))
+    shade = rows.select(accessible_shade(F.col("r"), F.col("g"), F.col("b"), ground, 4.5).alias("step"))
+    assert shade._jdf.queryExecution().optimizedPlan().toString().upper().count("POWER(") <= 6
+    linear = lambda v: v / 255 / 12.92 if v / 255 <= 0.03928 else ((v / 255 + 0.055) / 1.055) ** 2.4
+
+    def plain(v, k):
+        back, goal = linear(k), 0 if linear(k) > 0.35 else 255
+        lum = {i: linear(int(v + (goal - v) * i / 20 + 0.5)) for i in range(1, 21)}
+        return next((i for i, x in lum.items() if (max(x, back) + 0.05) / (min(x, back) + 0.05) >= 4.5), None)
+
+    assert [r["step"] for r in shade.collect()] == [plain(200, 250), plain(0, 255), plain(255, 100), None]
