@@ -350,7 +350,8 @@ AND t NOT IN ({", ".join(f"'{x}'" for x in tx.STOP_TOKENS)})""",
 )
 def canon_tokens(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
-    out = words.distinct().withColumn("canonical", tx.canon_token(F.col("term")))
+    # an outer explode keeps the filter above: below, each occurrence of a word would be made canonical, not each word
+    out = words.distinct().select("term", F.explode_outer(F.array(tx.canon_token(F.col("term")))).alias("canonical"))
     return out.where(F.col("canonical").isNotNull())
 
 

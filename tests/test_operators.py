@@ -420,3 +420,12 @@ def test_shades_compute_each_luminance_once(spark):
         return next((i for i, x in lum.items() if (max(x, back) + 0.05) / (min(x, back) + 0.05) >= 4.5), None)
 
     assert [r["step"] for r in shade.collect()] == [plain(200, 250), plain(0, 255), plain(255, 100), None]
+
+
+def test_canonical_names_are_made_after_the_words_are_distinct(spark):
+    from lodegraph.plans import texts
+
+    from .conftest import DATA
+
+    plan = texts.canon_tokens(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "server|client|common" not in plan[plan.index("Aggregate") :]
