@@ -429,3 +429,31 @@ def test_canonical_names_are_made_after_the_words_are_distinct(spark):
 
     plan = texts.canon_tokens(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "server|client|common" not in plan[plan.index("Aggregate") :]
+
+
+def test_tokens_are_those_of_cut_and_trimmed_words(spark):
+    texts = ["", None, "-", "a-", "-a-b.", "..a..", "a b cd -e. f-g .-.", "Ünï-Çode İstanbul ΣΑΣ x²", "𝒜𝒷 𝒜 日本語 한 é", "a.b.c... c++ c# -.-a-.-b"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id long, x string")
+    parts = F.split(F.lower("x"), r"[^\p{L}\p{N}_+#.\-]+")
+    plain = F.filter(F.transform(parts, lambda t: F.btrim(t, F.lit("-."))), lambda t: F.length(t) >= 2)
+    found = rows.select("id", plain.alias("plain"), text.tokens(F.col("x")).alias("t"))
+    assert all(r["plain"] == r["t"] for r in found.collect())
+    bags = {r["id"]: r for r in corpus.bags(rows, "id", {"x": 1.0}).collect()}
+    for r in found.collect():
+        words = r["plain"] or []
+        assert bags[r["id"]]["length"] == (None if r["plain"] is None else len(words))
+        assert [tuple(t) for t in bags[r["id"]]["terms"]] == [(w, float(words.count(w))) for w in sorted(set(words), key=str.encode)]
+
+
+def test_bags_add_up_what_fields_share(spark):
+    rows = spark.createDataFrame([(1, "aa bb aa", "aa cc")], "id long, x string, y string")
+    got = corpus.bags(rows, "id", {"x": 4.0, "y": 1.0}).first()
+    assert [tuple(t) for t in got["terms"]] == [("aa", 9.0), ("bb", 4.0), ("cc", 1.0)] and got["length"] == 5
+
+
+def test_pairs_are_counted_before_they_travel(spark):
+    rows = [("x", ["a", "b", "c"]), ("x", ["a", "b"]), ("y", ["a", "b"]), (None, ["b", "c"]), ("y", []), ("y", ["a"]), ("z", None)]
+    held = spark.createDataFrame(rows, "domain string, held array<string>")
+    found = graph.cooccurrence(held)
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "b", 3, 2), ("a", "c", 1, 1), ("b", "c", 2, 1)]
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
