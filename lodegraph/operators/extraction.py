@@ -113,35 +113,43 @@ def _mention(name: str, context: str, confidence: float):
     )
 
 
+def _cut(rows: DataFrame, key: str, text: Column, most: int) -> DataFrame:
+    """key, sentence (its number), s: sentences of 8 to ``most`` characters.
+
+    An outer explode, here and below: the plain one lets the optimizer repeat what it explodes in filters below.
+    """
+    cut = rows.select(key, F.posexplode_outer(sentences(text)).alias("sentence", "s"))
+    return cut.where(F.length("s").between(8, most))
+
+
+def _known(text: Column, names: list[str]) -> Column:
+    """Distinct tokens that are among ``names``, in their order."""
+    return F.array_distinct(F.filter(tokens(text), lambda t: t.isin(*names)))
+
+
 def from_prose(rows: DataFrame, key: str, text: Column, names: list[str]) -> DataFrame:
     """key, sentence (its number), term, context, confidence: lexicon terms by sentence of 8 to 600 characters.
 
-    Containment is an intersection of the sentence's tokens with the lexicon.
+    Tokens are looked up in the lexicon; cues are looked for where a term was found.
     """
-    known = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
-    cut = rows.select(key, F.posexplode(sentences(text)).alias("sentence", "s")).where(F.length("s").between(8, 600))
+    held = _cut(rows, key, text, 600).select(key, "sentence", "s", F.explode_outer(_known(F.col("s"), names)).alias("term"))
     cue = F.col("s").rlike(REQUIREMENT_CUES)
-    held = cut.select(
+    return held.where("term is not null").select(
         key,
         "sentence",
         F.when(cue, "requirements-list").otherwise("prose").alias("context"),
         F.when(cue, 0.6).otherwise(0.25).alias("confidence"),
-        F.explode(F.array_intersect(F.array_distinct(tokens(F.col("s"))), known)).alias("term"),
+        "term",
     )
-    return held
 
 
 def alternatives(rows: DataFrame, key: str, text: Column, names: list[str]) -> DataFrame:
     """key, sentence, a, b (a < b): pairs of two to four lexicon terms in a sentence with a cue of choice."""
     from .graph import pairs
 
-    known = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
-    cut = rows.select(key, F.posexplode(sentences(text)).alias("sentence", "s")).where(
-        F.length("s").between(8, 400) & F.col("s").rlike(ALTERNATIVE_CUES)
-    )
-    terms = F.array_sort(F.array_intersect(F.array_distinct(tokens(F.col("s"))), known))
-    few = cut.withColumn("t", terms).where(F.size("t").between(2, 4))
-    return pairs(few, F.col("t"), key, "sentence")
+    cut = _cut(rows, key, text, 400).where(F.col("s").rlike(ALTERNATIVE_CUES))
+    held = cut.select(key, "sentence", F.explode_outer(F.array(F.sort_array(_known(F.col("s"), names)))).alias("t"))
+    return pairs(held.where(F.size("t").between(2, 4)), F.col("t"), key, "sentence")
 
 
 def best_mention(mentions: DataFrame, key: str, *order: str) -> DataFrame:

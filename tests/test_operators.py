@@ -457,3 +457,16 @@ def test_pairs_are_counted_before_they_travel(spark):
     found = graph.cooccurrence(held)
     assert sorted(tuple(r) for r in found.collect()) == [("a", "b", 3, 2), ("a", "c", 1, 1), ("b", "c", 2, 1)]
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sentences_are_cut_once(spark):
+    rows = spark.createDataFrame([(1, "You need nginx or apache. Short. nginx nginx and redis run.\n\nno names here"), (2, None)], "id long, x string")
+    names = ["nginx", "apache", "redis"]
+    prose, pairs = extraction.from_prose(rows, "id", F.col("x"), names), extraction.alternatives(rows, "id", F.col("x"), names)
+    assert sorted((r["sentence"], r["term"], r["context"], r["confidence"]) for r in prose.collect()) == [
+        (0, "apache", "requirements-list", 0.6), (0, "nginx", "requirements-list", 0.6), (2, "nginx", "prose", 0.25), (2, "redis", "prose", 0.25),
+    ]
+    assert [tuple(r) for r in pairs.collect()] == [(1, 0, "apache", "nginx")]
+    for df in (prose, pairs):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == plan.count("regexp_extract_all(") == 1
