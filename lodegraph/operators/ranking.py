@@ -34,8 +34,8 @@ def group_of(key: Column, groups: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")
 
 
-def _best_of_group(postings: pa.Table, asked: pa.Table, key: str, mean_length: float, k: int) -> Iterator[tuple]:
-    """(question, keys, scores, postings added) per question."""
+def _parts_of_group(postings: pa.Table, key: str, mean_length: float) -> tuple:
+    """The group's keys; document and part (without idf) of each posting, by term; terms, where their postings start and stop."""
     keys = postings[key].combine_chunks()
     distinct = keys.unique().sort()
     doc = pa.compute.index_in(keys, distinct).to_numpy(zero_copy_only=False)
@@ -44,7 +44,34 @@ def _best_of_group(postings: pa.Table, asked: pa.Table, key: str, mean_length: f
     term, doc = term[order], doc[order]
     part = weight[order] * (K1 + 1) / (weight[order] + K1 * (1 - B + B * length[order] / mean_length))
     terms, starts = np.unique(term, return_index=True)
-    stops = np.append(starts[1:], len(term))
+    return distinct, term, doc, part, terms, starts, np.append(starts[1:], len(term))
+
+
+def _best_question_of_group(postings: pa.Table, asked: pa.Table, key: str, mean_length: float) -> tuple:
+    """Keys, the best score of each over all questions, and its question: the smaller one on ties in the ninth decimal."""
+    distinct, _, doc, part, terms, starts, stops = _parts_of_group(postings, key, mean_length)
+    number = {t: i for i, t in enumerate(terms.tolist())}
+    best, which = np.full(len(distinct), -1.0), np.zeros(len(distinct), np.int64)
+    question, asked_term, idf = (asked[c].to_numpy() for c in ("question", "term", "idf"))
+    by = np.argsort(question, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(question[by]) != 0)) if len(by) else []
+    for x, y in zip(cuts, [*cuts[1:], len(by)]):
+        sums, held = np.zeros(len(distinct)), np.zeros(len(distinct), bool)
+        for t, w in zip(asked_term[by[x:y]].tolist(), idf[by[x:y]].tolist()):
+            if t in number:
+                at = slice(starts[number[t]], stops[number[t]])
+                sums[doc[at]] += w * part[at]
+                held[doc[at]] = True
+        sums = np.where(held, np.round(sums, 9), -1.0)
+        better = sums > best
+        best[better], which[better] = sums[better], question[by[x]]
+    found = np.flatnonzero(best >= 0)
+    return distinct.take(pa.array(found)), best[found], which[found]
+
+
+def _best_of_group(postings: pa.Table, asked: pa.Table, key: str, mean_length: float, k: int) -> Iterator[tuple]:
+    """(question, keys, scores, postings added) per question."""
+    distinct, term, doc, part, terms, starts, stops = _parts_of_group(postings, key, mean_length)
     n, blocks = len(distinct), -(-len(distinct) // BLOCK)
     block = doc // BLOCK
     edges = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(block) != 0))) if len(term) else np.zeros(0, np.int64)
@@ -80,17 +107,44 @@ def _best_of_group(postings: pa.Table, asked: pa.Table, key: str, mean_length: f
         yield question[by[x]], distinct.take(pa.array(best)), sums[best], added
 
 
+def _hashed(postings: DataFrame, key: str, groups: int) -> DataFrame:
+    return postings.select(group_of(F.col(key), groups).alias("group"), key, F.xxhash64("term").alias("term"), F.col("weight").cast("double"), F.col("length").cast("double"))
+
+
+def _groups(spark, n: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-n // GROUP))
+
+
+def best_question(asked: DataFrame, postings: DataFrame, key: str, n: int, mean_length: float) -> DataFrame:
+    """key, best_score, best_query: each document's best score over all questions (query_id long); arguments as of ``best``.
+
+    A group's task keeps one sum per document, so pairs of questions and documents never travel.
+    """
+    groups = _groups(asked.sparkSession, n)
+    schema = T.StructType([T.StructField(key, postings.schema[key].dataType), *T.StructType.fromDDL("best_score double, best_query long")])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        want = to_arrow_schema(schema)
+        columns = _best_question_of_group(left, right, key, mean_length)
+        return pa.Table.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, want)], schema=want)
+
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    dealt = asked.select(F.col("query_id").cast("long").alias("question"), F.xxhash64("term").alias("term"), F.col("idf").cast("double"), everywhere.alias("group"))
+    return _hashed(postings, key, groups).groupBy("group").cogroup(dealt.groupBy("group")).applyInArrow(score, schema)
+
+
 def best(asked: DataFrame, postings: DataFrame, key: str, n: int, mean_length: float, k: int) -> DataFrame:
     """query_id, key, score, added: at least the k best of each question.
 
     ``asked``: query_id, term, idf, one row per question and term; ``postings``: key, term, weight, length, one row per
     document and term; ``n``: documents.  ``added``: postings of the question that were added up in the group.
     """
-    spark = asked.sparkSession
-    groups = max(spark.sparkContext.defaultParallelism, -(-n // GROUP))
+    groups = _groups(asked.sparkSession, n)
     query_type, key_type = asked.schema["query_id"].dataType, postings.schema[key].dataType
     schema = T.StructType([T.StructField("question", T.LongType()), T.StructField(key, key_type), *T.StructType.fromDDL("score double, added long")])
-    hashed = postings.select(group_of(F.col(key), groups).alias("group"), key, F.xxhash64("term").alias("term"), F.col("weight").cast("double"), F.col("length").cast("double"))
+    hashed = _hashed(postings, key, groups)
     # questions travel by number; a question's rows meet again by it
     numbered = asked.select("query_id", F.xxhash64("query_id").alias("question"), F.xxhash64("term").alias("term"), F.col("idf").cast("double").alias("idf"))
 

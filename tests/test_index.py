@@ -178,3 +178,16 @@ def test_stems_of_one_document_are_one_posting(spark):
     index = Inverted.create(docs, "id", {"a": 2.0, "b": 1.0}, stem=True)
     rows = index.asked_rows(spark.createDataFrame([("cat",)], "term string"), places=True).collect()
     assert [(r["n"], r["keys"], r["weights"], r["lengths"], r["fields"], r["at"]) for r in rows] == [(1, [1], [5.0], [3], [0, 0, 1], [0, 1, 0])]
+
+
+@pytest.mark.parametrize("group", [16_384, 10])
+def test_best_question_of_each_document(spark, asked, monkeypatch, group):
+    """As the maximum over all pairs, which are never made; the smaller question on ties."""
+    monkeypatch.setattr(ranking, "GROUP", group)
+    twice = {**asked, **{q + 100: ts for q, ts in asked.items()}}
+    index = corpus.Index.build(as_rows(spark, {**corpus_of(1, 200), 900: ["unasked"]}), "id", {"text": 1.0})
+    rows = lambda df: sorted((r["id"], round(r["best_score"], 6), r["best_query"]) for r in df.collect())
+    every = corpus.max_over_queries(corpus.bm25(asked_rows(spark, twice), index), "id")
+    found = corpus.best_question(asked_rows(spark, twice), index)
+    assert rows(found) == rows(every) and max(r[2] for r in rows(found)) < 100
+    assert "query_id" not in [c for c in found.columns]
