@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 K1, B = 1.2, 0.75
 #: Documents of a group (one task's work) and of a block (one bound), about.
-GROUP, BLOCK = 16_384, 16
+GROUP, BLOCK = 4_096, 16
 SAMPLED = 16
 #: Sums of the same parts in another order differ by less.
 ROUNDING = 1e-6
