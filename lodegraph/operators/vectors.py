@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 #: Query vectors, and rows, that a task compares at once.
 BLOCK, CHUNK = 2048, 20_000
 #: Scores that a task holds at once: a chunk is compared in slices of so many.
@@ -215,6 +217,7 @@ def field_statistics(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     held = counts.where((F.col("upto") > F.col("middle")) & (F.col("upto") - F.col("n") <= F.col("middle"))).select(
         "query_id", "bin", "top", (F.col("middle") - F.col("upto") + F.col("n")).alias("place")
     )
+    held = written(held, "middles")  # read several times below, each of which would bin all pairs anew
     asked = queries.join(held, "query_id").withColumn("extra", F.col("bin"))
     inside = _searched(asked, vectors, Inside.schema, lambda ids, bins: Inside(ids, bins))
     inside = inside.groupBy("query_id", "score").agg(F.sum("n").alias("n"))

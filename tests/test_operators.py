@@ -470,3 +470,12 @@ def test_sentences_are_cut_once(spark):
     for df in (prose, pairs):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("split(") == plan.count("regexp_extract_all(") == 1
+
+
+def test_scores_are_binned_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7 - 3), 1.0, float(i % 3)]) for i in range(60)], "id long, vec array<double>")
+    asked = rows.where("id % 4 = 0").withColumnRenamed("id", "query_id")
+    for block, step in ((2048, "MapInArrow"), (7, "FlatMapCoGroupsInArrow")):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        plan = vectors.field_statistics(asked, rows)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(step) == 1  # the second pass alone: bins were written
