@@ -479,3 +479,13 @@ def test_scores_are_binned_once(spark, monkeypatch):
         monkeypatch.setattr(vectors, "BLOCK", block)
         plan = vectors.field_statistics(asked, rows)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count(step) == 1  # the second pass alone: bins were written
+
+
+def test_every_task_looks_for_a_part_of_a_stream(spark, tmp_path, monkeypatch):
+    from lodegraph.streaming import state
+
+    plans, write = [], type(spark.range(0).write).parquet
+    monkeypatch.setattr(type(spark.range(0).write), "parquet", lambda self, *a, **b: (plans.append(self._df.rdd.getNumPartitions()), plans.append("Coalesce" in self._df._jdf.queryExecution().executedPlan().toString()), write(self, *a, **b))[-1])
+    state.in_parts(spark.range(0, 100, 1, 4), F.col("id") % 2, 2, str(tmp_path / "in"))
+    assert plans == [1, False] * 2
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "in")).collect()) == list(range(100))
