@@ -8,11 +8,15 @@ pairs of tokens whose bytes overlap; they are expanded within each group.
 
 How often an id pair is linked is counted over the corpus.  Tasks cut slices of
 texts into tokens once and write one row per slice, the *chunk*: packed ids,
-packed cuts and its distinct pairs with counts.  Pairs are summed in Spark (a
-frequent pair is one row per chunk, so no pair is heavier than another), the
-sums go back to the chunks that asked, and tasks expand the chunks' links again
-for the results by document.  Nothing is broadcast and no table of pairs is
-held whole: a task holds one chunk and the sums of that chunk's pairs.
+packed cuts and its distinct pairs with counts.  Neither tokenizer has a token
+over the end of a word (white space and what follows up to the next), so a
+worker cuts each word once and remembers its tokens and groups, within bounds;
+a model that has such a token is cut by whole texts.  Pairs are summed in
+Spark (a frequent pair is one row per chunk, so no pair is heavier than
+another), the sums go back to the chunks that asked, and tasks expand the
+chunks' links again for the results by document.  Nothing is broadcast and no
+table of pairs is held whole: a task holds one chunk and the sums of that
+chunk's pairs.
 
 Defined cases: a text that is null, empty, or whose tokens do not give back its
 bytes (U+2581 in a text, for one) has no tokens and no groups, all its numbers
@@ -23,8 +27,9 @@ the highest count of a B id all are best.  Only the columns named are read.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +45,12 @@ from .language_model import pack, unpack
 FOLDER, BYTE_LEVEL, PIECES = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: How a byte-level tokenizer of this kind splits a text before its merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts that are cut at once; bytes of text in a chunk, and chunks that a task of the second pass takes, about.
-ENCODE_ROWS, CHUNK_BYTES, TASK_CHUNKS = 64, 1_000_000, 16
+#: White space of that pattern, beside blanks and line ends.  A word begins with one of these two that follows no white space.
+OTHER = "\t\v-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+RUN = rf"[ \n{OTHER}]*[^ \n{OTHER}]*"
+WORD = re.compile(rf"[ \n]{RUN}(?:[{OTHER}]{RUN})*")
+#: Texts that are cut at once; words and tokens of them that a worker remembers; bytes of text in a chunk, and chunks that a task of the second pass takes, about.
+ENCODE_ROWS, HELD_WORDS, HELD_TOKENS, CHUNK_BYTES, TASK_CHUNKS = 64, 120_000, 1_500_000, 1_000_000, 16
 #: A pair is one number: B's id times this, plus A's id.
 SHIFT = 32
 
@@ -76,29 +85,106 @@ class Pair:
             else x.replace("▁", " ").encode()
             for i, x in enumerate(names)
         ]
+        # where no piece of B goes on over the start of a word, its merges end at words as those of A do
+        over = re.compile(rf"[^ \n{OTHER}][ \n]| \n")
+        self.by_words = not any(over.search(x.replace("▁", " ")) for x in names)
+        self.blank = self.b.piece_to_id("▁")
+        self.lengths_a = self.lengths()[0]
 
     def lengths(self) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.array([len(x) for x in side], dtype=np.int64) for side in (self.bytes_a, self.bytes_b))
 
-    def encode(self, texts: list[bytes]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of A and B per text; none if B's do not give back a space and the text.
+    def words(self, text: str) -> list[str]:
+        """A space and the text, cut into words; nothing of an empty text."""
+        return [] if not text else WORD.findall(" " + text) if self.by_words else [" " + text]
 
-        A's always do: it has a token for every byte, and merges keep the bytes.
-        """
-        todo = iter(texts)
-        while part := list(islice(todo, ENCODE_ROWS)):
-            strings = [t.decode() for t in part]
-            for raw, text, b in zip(part, strings, self.b.encode(strings, num_threads=1)):
-                same = raw and b"".join(map(self.bytes_b.__getitem__, b)) == b" " + raw
-                yield (self.a.encode_ordinary(" " + text), b) if same else ([], [])
+    def encode(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of A and of B, and how many of each per word; none of a word that B does not give back.
 
+        A's ids always do: it has a token for every byte, and merges keep the bytes.  B adds a space itself, but not to
+        nothing; before a line end it is a token of its own, which goes again.  A takes the words joined, but for those
+        that end in white space, whose cut hangs on what follows.
+        """
+        b = [(x or [self.blank])[w[0] != " " :] for w, x in zip(words, self.b.encode([w.removeprefix(" ") for w in words], num_threads=1))]
+        given = lambda ids: b"".join(map(self.bytes_b.__getitem__, ids))
+        if given(chain.from_iterable(b)) != "".join(words).encode():  # B's bytes of a word are never more than the word's
+            fine = [given(x) == w.encode() for w, x in zip(words, b)]
+            b = [x if ok else [] for x, ok in zip(b, fine)]
+            words = [w if ok else "" for w, ok in zip(words, fine)]
+        a, sizes, held = [], [], []
+        for word in [*words, None]:
+            if word is not None and not (open_end := word[-1:].isspace()):
+                held.append(word)
+                continue
+            ids = self.a.encode_ordinary("".join(held))
+            ends = np.cumsum(self.lengths_a[ids]) if ids else np.zeros(0, np.int64)
+            stops = np.cumsum([len(w.encode()) for w in held])
+            sizes.append(np.diff(np.searchsorted(ends, stops, "right"), prepend=0))
+            a.append(np.array(ids, np.int32))
+            held = []
+            if word is not None and open_end:
+                a.append(np.array(self.a.encode_ordinary(word), np.int32))
+                sizes.append([len(a[-1])])
+        flat = np.fromiter(chain.from_iterable(b), np.int32)
+        return [np.concatenate(a), flat], [np.concatenate(sizes).astype(np.int64), np.fromiter(map(len, b), np.int64, len(b))]
+
+
+def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``values`` of the runs at ``starts``, one run after the other."""
+    return values[np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)]
+
+
+class Words(dict):
+    """Word -> number, with the tokens and groups of each word: ``flat`` of ``a``, ``b``, ``m`` and ``n``, ``sizes`` and ``starts``.
+
+    ``m`` and ``n`` are the tokens of A and of B per group.  A word without tokens is one that B does not give back.
+    """
 
-def cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[int], list[int]]:
+    names = ("a", "b", "m", "n")
+
+    def __init__(self, both: Pair):
+        super().__init__()
+        self.both, self.lengths = both, both.lengths()
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.flat = {x: np.zeros(0, np.int32) for x in self.names}
+        self.sizes = {x: np.zeros(0, np.int64) for x in self.names}
+        self.starts = dict(self.sizes)
+
+    def learn(self, words: list[str]) -> None:
+        ids, sizes = self.both.encode(words)
+        at = cuts(*[np.cumsum(t[x]) for t, x in zip(self.lengths, ids)])
+        groups = np.diff(np.searchsorted(at[0], np.cumsum(sizes[0]), "right"), prepend=0)
+        steps = [np.diff(x, prepend=0) for x in at]
+        for name, values, size in zip(self.names, (*ids, *steps), (*sizes, groups, groups)):
+            self.flat[name] = np.append(self.flat[name], values.astype(np.int32))
+            self.sizes[name] = np.append(self.sizes[name], size)
+            self.starts[name] = np.cumsum(self.sizes[name]) - self.sizes[name]
+        self.update(zip(words, range(len(self), len(self) + len(words))))
+
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's words; none of a text that B does not give back.  They hold until the next call."""
+        if len(self) > HELD_WORDS or len(self.flat["a"]) > HELD_TOKENS:
+            self.forget()
+        out = []
+        for at in range(0, len(texts), ENCODE_ROWS):
+            cut = [self.both.words(t) for t in texts[at : at + ENCODE_ROWS]]
+            new = [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in self]
+            if new:
+                self.learn(new)
+            out += [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in cut]
+        return [x if self.sizes["a"][x].all() else x[:0] for x in out]
+
+    def of(self, name: str, numbers: np.ndarray) -> np.ndarray:
+        return ragged(self.flat[name], self.starts[name][numbers], self.sizes[name][numbers])
+
+
+def cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of A and of B tokens up to each byte at which tokens of both end."""
-    index_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1)))
-    index_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1)))
-    common = sorted(index_a.keys() & index_b.keys())
-    return list(map(index_a.__getitem__, common)), list(map(index_b.__getitem__, common))
+    _, a, b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+    return a + 1, b + 1
 
 
 def ranked(ids: np.ndarray) -> tuple[bytes, bytes]:
@@ -147,23 +233,24 @@ def chunked(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        out_schema, both, number = to_arrow_schema(schema), None, TaskContext.get().partitionId() << 32
+        out_schema, known, number = to_arrow_schema(schema), None, TaskContext.get().partitionId() << 32
         for batch, texts in chunks(batches, size=CHUNK_BYTES):
-            both = both or Pair(folder)
-            tables = both.lengths()
-            sides, sizes, at = ([], []), [], ([], [])
-            for ids in both.encode(texts):
-                ids = [np.array(x, np.int32) for x in ids]
-                for side, x, steps, now in zip(sides, ids, at, cuts(*[np.cumsum(t[x]) for t, x in zip(tables, ids)])):
-                    side.append(x)
-                    steps.append(np.diff(np.array(now, np.int32), prepend=0))
-                sizes.append((len(ids[0]), len(ids[1])))
-            a, b = (np.concatenate(x) for x in sides)
-            steps = [np.concatenate(x) for x in at]
-            i, j = expand(*[np.cumsum(t[x]) for t, x in zip(tables, (a, b))], *[np.cumsum(x) for x in steps])
-            pairs, counts = np.unique((b[j].astype(np.int64) << SHIFT) + a[i], return_counts=True)
+            known = known or Words(Pair(folder))
+            numbers = known.numbers([t.decode() for t in texts])
+            per_text = np.cumsum([0, *map(len, numbers)])
+            numbers = np.concatenate(numbers)
+            of_text = lambda x: np.diff(np.append(0, np.cumsum(known.sizes[x][numbers]))[per_text])  # noqa: B023, E731
+            sizes = np.stack([of_text("a"), of_text("b")], axis=1)
+            a, b, *steps = (known.of(x, numbers) for x in known.names)
+            # links of each different word, as often as the word stands here
+            words, often = np.unique(numbers, return_counts=True)
+            word_a, word_b, *at = (known.of(x, words) for x in known.names)
+            i, j = expand(*[np.cumsum(t[x]) for t, x in zip(known.lengths, (word_a, word_b))], *map(np.cumsum, at))
+            often = often[np.searchsorted(np.cumsum(known.sizes["a"][words]), i, "right")]
+            pairs, which = np.unique((word_b[j].astype(np.int64) << SHIFT) + word_a[i], return_inverse=True)
+            counts = np.bincount(which, often, len(pairs)).astype(np.int64)
             docs_of = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            row = [number, docs_of, pack(np.array(sizes, np.int32).ravel()), *ranked(a), *ranked(b), pack(np.concatenate(steps).astype(np.int32)), pairs, counts]
+            row = [number, docs_of, pack(sizes.astype(np.int32).ravel()), *ranked(a), *ranked(b), pack(np.concatenate(steps).astype(np.int32)), pairs, counts]
             yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, out_schema)], schema=out_schema)
             number += 1
 

@@ -77,6 +77,26 @@ def test_against_a_walk_over_bytes(spark, monkeypatch):
     assert sum(r[1] > 0 for r in want) > 50 and any(r[6] > r[4] for r in want)
 
 
+def test_a_word_is_cut_once(monkeypatch):
+    """Words are told from whole texts by their tokens alone, whatever white space parts them and however few are remembered."""
+    both = alignment.Pair()
+    asked, encode = [], both.encode
+    monkeypatch.setattr(both, "encode", lambda words: asked.extend(words) or encode(words))
+    rng = random.Random(5)
+    signs = ["a", "the", "don't", "Ünï", ";", " ", "  ", "\n", "\n ", " \n", "\r\n", "\t", "\xa0", "\u2003", "\x1c", "\x85", "}"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    for held in (3, 150_000):
+        monkeypatch.setattr(alignment, "HELD_WORDS", held)
+        known = alignment.Words(both)
+        asked.clear()
+        for at in range(0, 300, 20):
+            part = [*texts[at : at + 20], "a▁b", ""]
+            for text, numbers in zip(part, known.numbers(part)):
+                want = both.a.encode_ordinary(" " + text), both.b.encode(text)
+                assert [known.of(x, numbers).tolist() for x in "ab"] == (list(want) if text and "▁" not in text else [[], []])
+    assert both.by_words and len(asked) == len(set(asked))
+
+
 def test_empty_table(spark):
     none = alignment.align(spark.createDataFrame([], SCHEMA))
     assert none.collect() == [] and none.columns[-1] == "groups"
