@@ -319,6 +319,22 @@ def test_urls(spark):
 # 4 -----------------------------------------------------------------------------------------------------------------
 
 
+def test_components_of_long_paths(spark, monkeypatch):
+    """A table of one file is finished by the task that contracts it; more files give the same, whatever lies in which."""
+    rng = np.random.default_rng(4)
+    node = rng.permutation(900) - 100
+    pairs = [(int(node[i]), int(node[i + 1])) for i in range(899) if i not in (300, 640)] + [(7, 7)]
+    ends = [0, 301, 641, 900]
+    want = {int(x): int(min(node[i:j])) for i, j in zip(ends, ends[1:]) for x in node[i:j] if x != min(node[i:j])}
+    written, materialise = [], components.materialise
+    monkeypatch.setattr(components, "materialise", lambda *args: written.append(args[1]) or materialise(*args))
+    for rows in (100_000, 200):
+        monkeypatch.setattr(components, "FILE_ROWS", rows)
+        found = components.components(spark.createDataFrame(pairs, "a long, b long").repartition(6)).collect()
+        assert len(found) == len(want) and {r["node"]: r["component"] for r in found} == want
+        assert rows < 900 or len(written) == 2
+
+
 def brute_components(texts: dict, size: int, percent: int):
     sets = {}
     for i, t in texts.items():
