@@ -144,10 +144,13 @@ def from_prose(rows: DataFrame, key: str, text: Column, names: list[str]) -> Dat
 
 
 def alternatives(rows: DataFrame, key: str, text: Column, names: list[str]) -> DataFrame:
-    """key, sentence, a, b (a < b): pairs of two to four lexicon terms in a sentence with a cue of choice."""
+    """key, sentence, a, b (a < b): pairs of two to four lexicon terms in a sentence with a cue of choice.
+
+    Only texts that hold a cue are cut: a cue has no white space at its ends, so one in a sentence is one in its text.
+    """
     from .graph import pairs
 
-    cut = _cut(rows, key, text, 400).where(F.col("s").rlike(ALTERNATIVE_CUES))
+    cut = _cut(rows.where(text.rlike(ALTERNATIVE_CUES)), key, text, 400).where(F.col("s").rlike(ALTERNATIVE_CUES))
     held = cut.select(key, "sentence", F.explode_outer(F.array(F.sort_array(_known(F.col("s"), names)))).alias("t"))
     return pairs(held.where(F.size("t").between(2, 4)), F.col("t"), key, "sentence")
 

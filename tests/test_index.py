@@ -191,3 +191,17 @@ def test_best_question_of_each_document(spark, asked, monkeypatch, group):
     found = corpus.best_question(asked_rows(spark, twice), index)
     assert rows(found) == rows(every) and max(r[2] for r in rows(found)) < 100
     assert "query_id" not in [c for c in found.columns]
+
+
+def test_frequencies_without_a_written_index(spark, monkeypatch):
+    """Counts of slices add up to those of the index, and nothing is written for them."""
+    from lodegraph.operators import corpus
+
+    texts = ["one two two Three", None, "", "two-. one", "three four three", "one"] * 5
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+    want = {"one": 15, "two": 10, "three": 10, "four": 5}
+    monkeypatch.setattr(corpus, "TALLY", 2)
+    index = corpus.Index.build(docs, "id", {"text": 1.0})
+    monkeypatch.setattr(corpus, "written", None)
+    for found in (corpus.frequency_of(docs, "text"), index.frequency()):
+        assert {r["term"]: r["df"] for r in found.collect()} == want
