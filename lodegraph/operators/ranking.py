@@ -14,7 +14,7 @@ each question there is a threshold that all groups share from their start.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,17 +142,29 @@ def best(asked: DataFrame, postings: DataFrame, key: str, n: int, mean_length: f
     document and term; ``n``: documents.  ``added``: postings of the question that were added up in the group.
     """
     groups = _groups(asked.sparkSession, n)
-    query_type, key_type = asked.schema["query_id"].dataType, postings.schema[key].dataType
+    return best_of_groups(asked, _hashed(postings, key, groups), groups, key, postings.schema[key].dataType, mean_length, k)
+
+
+def best_of_groups(
+    asked: DataFrame, hashed: DataFrame, groups: int, key: str, key_type: T.DataType, mean_length: float, k: int, unpack: Callable[[pa.Table], pa.Table] | None = None
+) -> DataFrame:
+    """As ``best``; ``hashed`` has a column group, all rows of a document in one, and key, term (its hash), weight, length.
+
+    With ``unpack`` it may have other columns, of which ``unpack`` makes these in the group's task.
+    """
+    query_type = asked.schema["query_id"].dataType
     schema = T.StructType([T.StructField("question", T.LongType()), T.StructField(key, key_type), *T.StructType.fromDDL("score double, added long")])
-    hashed = _hashed(postings, key, groups)
     # questions travel by number; a question's rows meet again by it
     numbered = asked.select("query_id", F.xxhash64("query_id").alias("question"), F.xxhash64("term").alias("term"), F.col("idf").cast("double").alias("idf"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        out = [(np.full(len(keys), q, np.int64), keys, scores, np.full(len(keys), added, np.int64)) for q, keys, scores, added in _best_of_group(left, right, key, mean_length, k)]
         want = to_arrow_schema(schema)
+        if not len(left) or not len(right):
+            return want.empty_table()
+        left = left if unpack is None else unpack(left)
+        out = [(np.full(len(keys), q, np.int64), keys, scores, np.full(len(keys), added, np.int64)) for q, keys, scores, added in _best_of_group(left, right, key, mean_length, k)]
         if not out:
             return want.empty_table()
         columns = [

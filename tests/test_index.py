@@ -205,3 +205,24 @@ def test_frequencies_without_a_written_index(spark, monkeypatch):
     monkeypatch.setattr(corpus, "written", None)
     for found in (corpus.frequency_of(docs, "text"), index.frequency()):
         assert {r["term"]: r["df"] for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("most", [3, 200_000])
+def test_search_ranks_packed_postings(spark, asked, monkeypatch, most):
+    """No row of a single posting is made, though a segment replaces documents of another, and whatever number of terms is asked."""
+    monkeypatch.setattr(inverted, "MOST_TERMS", most)
+    monkeypatch.setattr(inverted, "BLOCK_TOKENS", 500)
+    old, new = corpus_of(6, 90), corpus_of(7, 40) | {200: []}
+    index = Inverted.create(as_rows(spark, old), "id", {"text": 1.0}, buckets=8).append(as_rows(spark, new))
+    monkeypatch.setattr(Inverted, "_flat", None)
+    want = {q: [(i, round(s, 6)) for i, s in rows[:5]] for q, rows in plain_scores({**old, **new}, asked).items() if rows}
+    assert told(index.search(asked_rows(spark, asked), 5)) == want
+
+
+def test_packed_rows_are_small(spark):
+    """Rows that are dealt and sorted hold compressed bytes: less than a third of plain arrays (24 bytes a posting, 8 a place)."""
+    rng = random.Random(8)
+    texts = {i: [f"w{int(rng.paretovariate(0.9)) % 5000}" for _ in range(200)] for i in range(1000)}
+    rows = inverted.packed(as_rows(spark, texts), "id", {"text": 1.0}, False, 8).where("bucket >= 0")
+    size = rows.agg(F.sum(F.length("postings") + F.length("places"))).first()[0]
+    assert 3 * size < sum(24 * len(set(t)) + 8 * len(t) for t in texts.values())
