@@ -226,3 +226,12 @@ def test_packed_rows_are_small(spark):
     rows = inverted.packed(as_rows(spark, texts), "id", {"text": 1.0}, False, 8).where("bucket >= 0")
     size = rows.agg(F.sum(F.length("postings") + F.length("places"))).first()[0]
     assert 3 * size < sum(24 * len(set(t)) + 8 * len(t) for t in texts.values())
+
+
+def test_stemmed_search_ranks_packed_postings(spark, monkeypatch):
+    """Forms of one stem are one posting of the packed rows; no row of a single posting is made."""
+    texts = {1: "cats cat dog", 2: "dogs running", 3: "a run of cats", 4: "", 5: "nothing here"}
+    index = Inverted.create(spark.createDataFrame(list(texts.items()), "id long, text string"), "id", {"text": 1.0}, stem=True, buckets=4)
+    monkeypatch.setattr(Inverted, "_flat", None)
+    got = told(index.search(spark.createDataFrame([(1, "cat"), (1, "cats"), (2, "runs")], "query_id long, term string"), 5))
+    assert {q: [i for i, _ in rows] for q, rows in got.items()} == {1: [1, 3], 2: [2, 3]}
