@@ -267,3 +267,24 @@ def test_packing_gets_texts_and_not_lists_of_tokens(spark, stem):
         got |= {(r["term"], k): [next(at) for _ in range(n)] for k, n in zip(r["keys"], r["tf"])}
     cats = "cat" if stem else "cats"
     assert got == {(cats, 1): [0, 1], ("b.c", 1): [2], ("+1", 1): [3], ("cat", 4): [0], ("c++", 4): [1]}
+
+
+def test_max_over_queries_asks_for_all_of_a_question(spark, tmp_path, compare):
+    """A question's words from the 25th on count, in the query and in its SQL."""
+    import duckdb
+
+    from lodegraph.plans import catalogue
+
+    words = [f"w{i}" for i in range(40)]
+    tables = {
+        "documents": ([(1, "w39 here", "a"), (2, "w2 w3", "b"), (3, "none of it", "a"), (4, "w30 w31 w0", "b")], "doc_id long, text string, source string"),
+        "benchmark": ([(1, " ".join(words)), (2, "w2 w0")], "item_id long, text string"),
+    }
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found, sql = catalogue.queries()["bm25_max_over_queries"](spark, str(tmp_path)), catalogue.oracle_sql()["bm25_max_over_queries"]
+    assert {r["id"]: r["best_query"] for r in found.collect()} == {1: 1, 2: 1, 4: 1}
+    assert "24" not in sql
+    compare(found, con, sql)
